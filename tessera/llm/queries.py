@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .near_dedup import op8_minhash
+from .secrets import op1_secrets
+from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op3_warc": op3_warc,
     "op5_bpe": op5_bpe,
+    "op8_minhash": op8_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": OP3_SQL,
+}

@@ -20,8 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="tessera-shared-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
+        spark.conf.set("spark.checkpoint.dir", path) if spark.conf.isModifiable("spark.checkpoint.dir") else sc.setCheckpointDir(path)
     return path
 
 
@@ -31,10 +30,12 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder, so that later steps neither compute them again
-    nor depend on the executors that made them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, written as a table to the shared folder, so that later steps neither compute
+    them again nor depend on the executors that made them."""
+    spark = df.sparkSession
+    path = scratch(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
