@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .decontaminate import op6_decontaminate
+from .language import op4_language
 from .near_dedup import op8_minhash
 from .secrets import op1_secrets
+from .sharding import OP9_SQL, op9_sharding
 from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op3_warc": op3_warc,
+    "op4_language": op4_language,
     "op5_bpe": op5_bpe,
+    "op6_decontaminate": op6_decontaminate,
     "op8_minhash": op8_minhash,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": OP3_SQL,
+    "op9_sharding": OP9_SQL,
 }
