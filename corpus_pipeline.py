@@ -1,13 +1,57 @@
-"""Five corpus stages in a row, each written as Parquet and read again by the next."""
+"""Five corpus stages in a row, each written as Parquet and read again by the next.
+
+1. language ID: texts without a known language go.
+2. near-dedup: of each group of near copies, the document with the smallest id stays.
+3. decontamination: documents that hold a benchmark passage go.
+4. secrets: reported spans give way to marks of their kind.
+5. BPE: the texts that are left, as token ids and decoded text.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, decontaminate, language, near_dedup, secrets
+from tessera.llm.shared import cut
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.known_only(docs, language.train(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = near_dedup.near_components(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean_only(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), digest=True)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", decontaminate_documents),
+    ("secret_scan", mask_secrets),
+    ("bpe", encode),
+]
+
+#: SQL can express neither the classifier nor the tokenizer; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = cut(stage(spark, docs, sf_dir))
     return docs
