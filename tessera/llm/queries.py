@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .decontaminate import op6_decontaminate
+from .html import op2_html
 from .language import op4_language
 from .near_dedup import op8_minhash
 from .secrets import op1_secrets
@@ -12,6 +13,7 @@ from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_html": op2_html,
     "op3_warc": op3_warc,
     "op4_language": op4_language,
     "op5_bpe": op5_bpe,
