@@ -9,6 +9,7 @@ from .language import op4_language
 from .near_dedup import op8_minhash
 from .secrets import op1_secrets
 from .sharding import OP9_SQL, op9_sharding
+from .substring_dedup import op7_substring_dedup
 from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_bpe": op5_bpe,
     "op6_decontaminate": op6_decontaminate,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_minhash": op8_minhash,
     "op9_sharding": op9_sharding,
 }
