@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .chroma import op10_chroma
 from .decontaminate import op6_decontaminate
 from .html import op2_html
 from .language import op4_language
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_minhash": op8_minhash,
     "op9_sharding": op9_sharding,
+    "op10_chroma": op10_chroma,
 }
 
 ORACLE_SQL: dict[str, str] = {
