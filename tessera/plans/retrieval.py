@@ -42,12 +42,17 @@ def _coverage(t, k=10):
 
 
 def _gold(t):
-    """Documents that hold the passage: candidates share its first five words, then the whole is looked for."""
-    words = lambda c: F.split(c, r"[\n ]+")
-    b = t("benchmark").select("item_id", F.col("text").alias("passage"))
-    b = b.withColumn("key", F.array_join(F.slice(words(F.col("passage")), 2, 4), " "))
-    d = t("documents").select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words(F.col("text"))) - 3)), lambda i: F.array_join(F.slice(words(F.col("text")), i, 4), " ")))).alias("key"))
-    return d.select("doc_id", "key").join(b.select("item_id", "key"), "key").select("doc_id", "item_id").distinct().join(t("documents").select("doc_id", "text"), "doc_id").join(b, "item_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
+    """Documents that hold the passage (of six words or more): candidates share its second to fifth
+    word in a row, then the whole is looked for."""
+    names = [f"w{k}" for k in range(4)]
+    words = F.split("text", r"[\n ]+")
+    b = t("benchmark").select("item_id", F.col("text").alias("passage"), words.alias("w")).select("item_id", "passage", *(F.get("w", F.lit(k + 1)).alias(n) for k, n in enumerate(names)))
+    rows = t("documents").select("doc_id", words.alias("w"))
+    shifted = F.arrays_zip("w", *(F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0))) for k in (1, 2, 3)))
+    d = rows.select("doc_id", F.explode(shifted).alias("z")).select("doc_id", *(F.col("z").getField(f).alias(n) for f, n in zip(("w", "1", "2", "3"), names, strict=True)))
+    met = d.join(b.select("item_id", *names), names).select("doc_id", "item_id").distinct()
+    whole = met.join(b.select("item_id", "passage"), "item_id").join(t("documents").select("doc_id", "text"), "doc_id")
+    return whole.where(F.contains("text", "passage")).select("item_id", "doc_id")
 
 
 @query("term_stats", f"WITH {BM25} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, st")
