@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import text, retrieval, dataset, labels, graphs, stateful  # noqa: E402, F401, I001  they register themselves
+from . import text, retrieval, dataset, labels, graphs, stateful, extra  # noqa: E402, F401, I001  they register themselves
