@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import in_parts, table
 
 LEAF = 4_096
 #: Words whose ids a worker keeps; the table is emptied when it is full.
@@ -157,7 +157,7 @@ def coder(path: str) -> Coder:
 def _short(path: str, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         c = coder(path)
-        for batch in batches:
+        for batch in in_parts(batches, 1_000):
             rows = ([], [], [])
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 words = [w for w in (text.as_py() or "").translate(_PLAIN_SPACE).split(" ") if w]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .minhash import list_array
-from .shared import build_bitmap, cut, table
+from .shared import build_bitmap, cut, in_parts, table
 from .words import MARKS, Words, mix
 
 #: 1: a place that counts, 0: one that is ignored.
@@ -34,7 +34,7 @@ MASKS = ("111111", "11011011", "101101101", "1110000111")
 COVERAGE = 0.5
 GAP = 3
 STRETCH = 6
-_PART = 2_000
+_PART = 500
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,31 +84,29 @@ def _hits(near):
     """Documents with at least one hash that an item may have: their words and those hashes."""
 
     def run(batches):
-        for batch in batches:
-            for lo in range(0, len(batch), _PART):
-                part = batch.slice(lo, _PART)
-                words = Words(part.column("text"), MARKS)
-                h, at = seeds(words)
-                hit = near.value.has(h)
-                h, at = h[hit], at[hit]
-                if not len(h):
-                    continue
-                order = np.argsort(at, kind="stable")
-                h, at = h[order], at[order]
-                of = words.text_of()[at]
-                docs, starts = np.unique(of, return_index=True)
-                own = [words.hash[words.first[k] : words.first[k + 1]].tobytes() for k in docs]
-                first = np.r_[starts, len(of)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").take(pa.array(docs)),
-                        pa.array([hashlib.md5(w).digest() for w in own], pa.binary()),
-                        pa.array(own, pa.binary()),
-                        list_array(h, first),
-                        list_array((at - words.first[of]).astype(np.int64), first),
-                    ],
-                    names=["doc_id", "text_key", "words", "seeds", "places"],
-                )
+        for part in in_parts(batches, _PART):
+            words = Words(part.column("text"), MARKS)
+            h, at = seeds(words)
+            hit = near.value.has(h)
+            h, at = h[hit], at[hit]
+            if not len(h):
+                continue
+            order = np.argsort(at, kind="stable")
+            h, at = h[order], at[order]
+            of = words.text_of()[at]
+            docs, starts = np.unique(of, return_index=True)
+            own = [words.hash[words.first[k] : words.first[k + 1]].tobytes() for k in docs]
+            first = np.r_[starts, len(of)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id").take(pa.array(docs)),
+                    pa.array([hashlib.md5(w).digest() for w in own], pa.binary()),
+                    pa.array(own, pa.binary()),
+                    list_array(h, first),
+                    list_array((at - words.first[of]).astype(np.int64), first),
+                ],
+                names=["doc_id", "text_key", "words", "seeds", "places"],
+            )
 
     return run
 

@@ -19,53 +19,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .minhash import BANDS, ROWS, band_keys, link_classes, list_array, sketch
-from .shared import cut, table
+from .shared import cut, in_parts, table
 from .words import Words, distinct, shingles
 
 PERCENT = 75
-_PART = 2_000  # texts handled together, for memory
+_PART = 500  # texts handled together, for memory
 
 
 def _sets(column: pa.Array):
-    """For parts of a column: where it starts, the distinct shingles, their starts, and digests."""
-    for lo in range(0, len(column), _PART):
-        words = Words(column.slice(lo, _PART))
-        values, first = distinct(*shingles(words), len(words))
-        nodes = [hashlib.md5(values[s:e].tobytes()).digest() if e > s else None for s, e in zip(first[:-1], first[1:], strict=True)]
-        yield lo, values, first, nodes
+    """The distinct shingles of texts, where each text's start, and digests of the sets."""
+    words = Words(column)
+    values, first = distinct(*shingles(words), len(words))
+    nodes = [hashlib.md5(values[s:e].tobytes()).digest() if e > s else None for s, e in zip(first[:-1], first[1:], strict=True)]
+    return values, first, nodes
 
 
 def _sketches(bands: int, rows: int):
     def run(batches):
-        for batch in batches:
-            for lo, values, first, nodes in _sets(batch.column("text")):
-                keys = band_keys(sketch(values, first, bands * rows), bands, rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(lo, len(nodes)),
-                        pa.array(np.diff(first).astype(np.int64)),
-                        pa.array(nodes, pa.binary()),
-                        list_array(keys.reshape(-1), np.arange(len(nodes) + 1) * bands),
-                    ],
-                    names=["doc_id", "n_shingles", "node", "keys"],
-                )
+        for batch in in_parts(batches, _PART):
+            values, first, nodes = _sets(batch.column("text"))
+            keys = band_keys(sketch(values, first, bands * rows), bands, rows)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array(np.diff(first).astype(np.int64)),
+                    pa.array(nodes, pa.binary()),
+                    list_array(keys.reshape(-1), np.arange(len(nodes) + 1) * bands),
+                ],
+                names=["doc_id", "n_shingles", "node", "keys"],
+            )
 
     return run
 
 
 def _elements(near):
     def run(batches):
-        for batch in batches:
-            for _, values, first, nodes in _sets(batch.column("text")):
-                own = [k for k, x in enumerate(nodes) if x is not None]
-                if not own:
-                    continue
-                h = np.array([int.from_bytes(nodes[k][:8], "big") for k in own], dtype=np.uint64)
-                own = [k for k, hit in zip(own, near.value.has(h), strict=True) if hit]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([nodes[k] for k in own], pa.binary()), pa.array([values[first[k] : first[k + 1]].tobytes() for k in own], pa.binary())],
-                    names=["node", "elements"],
-                )
+        for batch in in_parts(batches, _PART):
+            values, first, nodes = _sets(batch.column("text"))
+            own = [k for k, x in enumerate(nodes) if x is not None]
+            if not own:
+                continue
+            h = np.array([int.from_bytes(nodes[k][:8], "big") for k in own], dtype=np.uint64)
+            own = [k for k, hit in zip(own, near.value.has(h), strict=True) if hit]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([nodes[k] for k in own], pa.binary()), pa.array([values[first[k] : first[k + 1]].tobytes() for k in own], pa.binary())],
+                names=["node", "elements"],
+            )
 
     return run
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import in_parts, table
 
 #: In the order in which spans with equal starts are listed.
 KINDS = ("assign", "access", "hex", "ident", "token", "endpoint")
@@ -91,7 +91,7 @@ _PART = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64
 
 
 def _find(batches):
-    for batch in batches:
+    for batch in in_parts(batches, 1_000):
         out = []
         for text in batch.column("text"):
             value = text.as_py()
@@ -151,7 +151,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _masked(batches):
-    for batch in batches:
+    for batch in in_parts(batches, 1_000):
         names = batch.schema.names
         texts = []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):

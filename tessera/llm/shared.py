@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of one bitmap that bitmap_construct_agg makes (4,096 bytes).
@@ -83,5 +86,14 @@ def build_bitmap(hashes: DataFrame, column: str, bits: int = 1 << 25) -> Bitmap:
     return Bitmap(words, bits)
 
 
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows. What numpy and Arrow have freed goes back to the system
+    after each whole batch: Python workers live on, and share an executor's memory."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
