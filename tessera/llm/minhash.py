@@ -12,10 +12,14 @@ nothing and are left out.
 2. ``bands`` bands of ``rows`` coordinates make buckets. A pair of similarity s meets in none with
    probability (1 - s^rows)^bands: 3e-8 at 0.75 with 64 bands of 5.
 3. In each bucket, members are compared with a pivot, the member that meets most others. Verified
-   pairs become links, links become components, and later rounds compare only members whose
-   components still differ, each with more pivots (``pivots``), and at last with all others left.
-   So a large group of near copies costs a few comparisons a member and not all pairs, and no
-   link between different components is lost.
+   pairs become links, and links become components. Only members of buckets with more than one
+   component go on: those outside their neighbourhood's largest component are compared with all of
+   the neighbourhood, in pairs of blocks, of which nothing but links leaves. So a large group of
+   near copies costs a few comparisons a member, and no link between components is lost.
+4. Before that, elements that only one candidate set holds are counted. A set of n elements, u of
+   them its own, shares at most n - u with any other; pairs for which this is too few can't be
+   links and are never made. Copies with many changes of their own, and texts that share a passage
+   but not the rest, drop out here.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ from .shared import Bitmap, build_bitmap, cut
 from .words import mix
 
 BANDS, ROWS = 64, 5
-#: Pivots of a bucket in each round before the last, which compares all.
-PIVOTS = (1, 16, 128)
+#: Sets in a block of the last comparison.
+BLOCK = 256
 _LOW48 = np.uint64((1 << 48) - 1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ROUND = np.uint64(0xD6E8FEB86659FD93)
@@ -122,45 +126,122 @@ def busy_buckets(keyed: DataFrame) -> DataFrame:
     return each.join(shared, "bucket")
 
 
-def link_classes(keyed: DataFrame, sets_of, *, percent: int, pivots: tuple[int, ...] = PIVOTS) -> DataFrame:
+def _each(batches):
+    """A row for each element of each set, with the set's first 8 bytes."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column("elements")]
+        if sets:
+            h = np.repeat(node_hashes(batch.column("node")).view(np.int64), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate(sets))], names=["h", "element"])
+
+
+def own_elements(sets: DataFrame) -> DataFrame:
+    """node, size and own: how many elements a set has, and how many that no other set here has."""
+    once = sets.mapInArrow(_each, "h long, element long").groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("h")).where("n = 1")
+    own = once.groupBy("h").agg(F.count(F.lit(1)).alias("own"))
+    sized = sets.select("node", node_hash("node").alias("h"), (F.octet_length("elements") / 8).cast("long").alias("size"))
+    return sized.join(own, "h", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def link_classes(keyed: DataFrame, sets_of, *, percent: int) -> DataFrame:
     """node, root of all nodes with a link. keyed: node (binary, one for each class), keys.
     sets_of(bitmap) gives node, elements of at least the nodes whose first 8 bytes are in it."""
     members = cut(busy_buckets(keyed))
     nodes = cut(members.groupBy("node").agg(F.sum("n").alias("meets")))
     near: Bitmap = build_bitmap(nodes.select(node_hash("node").alias("h")), "h")
     sets = cut(sets_of(near).join(nodes.select("node"), "node", "left_semi"))
-    members = members.drop("n").join(nodes, "node")
+    bounds = cut(own_elements(sets).where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size")))
     state = nodes.select("node", F.col("node").alias("root"))
-    tested = links = None
-    left = cut(members.withColumn("root", F.col("node")))
-    for k, slots in enumerate((*pivots, 0)):
-        side = left.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"), "meets")
-        if slots:
-            slot = F.pmod(F.xxhash64("b", F.lit(k)), F.lit(slots))
-            side = side.groupBy("bucket", slot.alias("slot")).agg(F.max_by(F.struct("b", "root_b"), F.struct("meets", "b")).alias("p")).select("bucket", "p.b", "p.root_b")
-        else:
-            side = side.drop("meets")
-        met = left.select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a")).join(side, "bucket").where("root_a <> root_b" if slots else "root_a < root_b")
-        pairs = met.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        checked = cut(verify(pairs, sets, percent))
-        tested = checked if tested is None else tested.unionByName(checked)
-        found = checked.where("linked")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            root = state.select(F.col("node"), F.col("root"))
-            contracted = found.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-            state = cut(relabel(state, components(contracted)))
-        if not slots:
-            break
-        # Buckets whose members are all in one component are settled.
-        left = left.drop("root").join(state, "node")
-        mixed = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        left = cut(left.join(mixed, "bucket"))
-        if left.isEmpty():
-            break
-    return state
+    left = mixed(members.drop("n").withColumn("root", F.col("node")).join(nodes, "node").join(bounds, "node"))
+    if left.isEmpty():
+        return state
+    about = ("size", "own")
+    one = F.struct(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in about))
+    pivot = left.groupBy("bucket").agg(F.max_by(one, F.struct("meets", "node")).alias("p")).select("bucket", "p.*")
+    met = left.select("bucket", F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in about)).join(pivot, "bucket").where("a <> b")
+    most = F.least(F.col("size_a") - F.col("own_a"), F.col("size_b") - F.col("own_b"))
+    pairs = met.where(100 * most >= percent * (F.col("size_a") + F.col("size_b") - most)).select("a", "b").distinct()
+    state = _joined(state, cut(verify(pairs, sets, percent).where("linked").select("a", "b")))
+    left = mixed(left.drop("root").join(state, "node"))
+    if left.isEmpty():
+        return state
+    return _joined(state, cut(compare_blocks(left, sets, percent)))
+
+
+def _joined(state: DataFrame, links: DataFrame) -> DataFrame:
+    """state(node, root) after links(a, b)."""
+    if links.isEmpty():
+        return state
+    between = links.join(state.toDF("a", "ra"), "a").join(state.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    return cut(relabel(state, components(between)))
+
+
+def compare_blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components of each neighbourhood. left: bucket, node, root, size,
+    own. A neighbourhood is what buckets connect; its members outside its largest component (asking)
+    meet all its members (asked), a block of each at a time."""
+    first = left.groupBy("bucket").agg(F.min("node").alias("a"))
+    star = left.join(first, "bucket").where("a <> node").select("a", F.col("node").alias("b"))
+    place = components(star).toDF("node", "hood")
+    nodes = left.select("node", "root", "size", "own").distinct().join(place, "node")
+    counts = nodes.groupBy("hood", "root").agg(F.count(F.lit(1)).alias("c"))
+    hoods = counts.groupBy("hood").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("top")).select("hood", "all", F.col("top.root").alias("main"), F.col("top.c").alias("in_main"))
+    nodes = cut(nodes.join(hoods, "hood").join(sets, "node"))
+    asking_blocks, asked_blocks = F.ceil((F.col("all") - F.col("in_main")) / BLOCK), F.ceil(F.col("all") / BLOCK)
+    asking = nodes.where("root <> main").withColumns({"x": F.pmod(F.xxhash64("node"), asking_blocks), "y": F.explode(F.sequence(F.lit(0).cast("long"), asked_blocks - 1)), "asks": F.lit(True)})
+    asked = nodes.withColumns({"y": F.pmod(F.xxhash64("node"), asked_blocks), "x": F.explode(F.sequence(F.lit(0).cast("long"), asking_blocks - 1)), "asks": F.lit(False)})
+    columns = ["hood", "x", "y", "asks", "node", "root", "size", "own", "elements"]
+    both = asking.select(columns).unionByName(asked.select(columns))
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(n, "hood", "x", "y").sortWithinPartitions("hood", "x", "y", "asks")
+    return dealt.mapInArrow(_compare(percent), "a binary, b binary").distinct()
+
+
+def _compare(percent: int):
+    """Streams block pairs: the asked come first, then each asking set is held against all of them."""
+
+    def links(asked, root, size, own, elements):
+        roots, sizes, owns, values, starts = asked
+        both = np.minimum(size - own, sizes - owns)
+        may = np.flatnonzero((100 * both >= percent * (size + sizes - both)) & (roots != root))
+        if not len(may):
+            return []
+        a = np.frombuffer(elements, dtype=np.uint64)
+        near = [values[starts[k] : starts[k + 1]] for k in may]
+        flat = np.concatenate(near)
+        at = np.minimum(np.searchsorted(a, flat), len(a) - 1)
+        shared = np.add.reduceat((a[at] == flat).astype(np.int64), np.r_[0, np.cumsum([len(x) for x in near])[:-1]])
+        return may[100 * shared >= percent * (size + sizes[may] - shared)]
+
+    def run(batches):
+        key, rows, asked, names, out = None, [], None, [], []
+        for batch in batches:
+            for *place, asks, node, root, size, own, elements in zip(*(batch.column(k).to_pylist() for k in ("hood", "x", "y", "asks", "node", "root", "size", "own", "elements")), strict=True):
+                if place != key:
+                    key, rows, asked = place, [], None
+                if not asks:
+                    rows.append((node, root, size, own, np.frombuffer(elements, dtype=np.uint64)))
+                    continue
+                if asked is None and rows:
+                    names = [r[0] for r in rows]
+                    asked = (np.array([r[1] for r in rows], dtype=object), np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.concatenate([r[4] for r in rows]), np.r_[0, np.cumsum([len(r[4]) for r in rows])])
+                if asked is not None:
+                    seen = set()
+                    for k in links(asked, root, size, own, elements):
+                        if asked[0][k] not in seen:  # one link to a component is enough
+                            seen.add(asked[0][k])
+                            out.append((min(node, names[k]), max(node, names[k])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["a", "b"])
+                out = []
+
+    return run
+
+
+def mixed(members: DataFrame) -> DataFrame:
+    """The members of buckets that still hold more than one component."""
+    kept = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    return cut(members.join(kept, "bucket"))
 
 
 def node_hash(node: str):
