@@ -180,7 +180,7 @@ def compare_blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the components of each neighbourhood. left: bucket, node, root, size,
     own. A neighbourhood is what buckets connect; its members outside its largest component (asking)
     meet all its members (asked), a block of each at a time."""
-    first = left.groupBy("bucket").agg(F.min("node").alias("a"))
+    first = left.groupBy("bucket").agg(F.max_by("node", F.struct("meets", "node")).alias("a"))  # most buckets of a hood have the same
     star = left.join(first, "bucket").where("a <> node").select("a", F.col("node").alias("b"))
     place = components(star).toDF("node", "hood")
     nodes = left.select("node", "root", "size", "own").distinct().join(place, "node")
