@@ -3,7 +3,7 @@
 Two kinds of paragraphs are compared:
 
 * lines of at least ``least_words`` words, by Jaccard similarity of their five-word shingles: bands
-  tuned for recall (24 bands of 3 rows miss a pair of similarity 0.75 once in 500,000 times) make
+  tuned for recall (24 bands of 4 rows miss a pair of similarity 0.75 once in 9,000 times) make
   candidates, which are verified on the full sets;
 * paragraphs that the text itself marks off inside longer lines: windows of ``window`` words that
   start where a word group has the smallest hash among ``spread`` neighbours. Any run of
@@ -31,15 +31,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .minhash import band_keys, link_classes, list_array, sketch
-from .shared import cut, table
+from .shared import cut, in_parts, table
 from .words import MARKS, Words, distinct, mix, shingles
 
 LEAST_WORDS = 50
 WINDOW = 40
 SPREAD = 11
-BANDS, ROWS = 24, 3
+BANDS, ROWS = 24, 4
 PERCENT = 75
-_PART = 1_000
+_PART = 500
 _NO_ID = -(1 << 63)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,41 +109,38 @@ _UNIT = "doc_id long, first_word int, n_words int, node binary, keys array<long>
 
 def _units(least: int, window: int, spread: int):
     def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-            for lo in range(0, len(batch), _PART):
-                words = Words(batch.column("text").slice(lo, _PART), MARKS)
-                own, text = ids[lo : lo + _PART], words.text_of()
-                first, end, values, at, nodes = _line_sets(words, least)
-                keys = band_keys(sketch(values, at, BANDS * ROWS), BANDS, ROWS)
-                start, both = windows(words, window, spread)
-                of = np.r_[text[first], text[start]] if len(text) else np.zeros(0, np.int64)
-                place = np.r_[first, start] - words.first[of]
-                size = np.r_[end - first, np.full(len(start), window)]
-                packed = both.astype(">u8").tobytes()
-                both_nodes = [*nodes, *(packed[16 * k : 16 * k + 16] for k in range(len(start)))]
-                lists = list_array(keys.reshape(-1), np.r_[np.arange(len(first) + 1) * BANDS, np.full(len(start), len(first) * BANDS)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[of]), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(both_nodes, pa.binary()), lists],
-                    names=["doc_id", "first_word", "n_words", "node", "keys"],
-                )
+        for batch in in_parts(batches, _PART):
+            words = Words(batch.column("text"), MARKS)
+            own, text = batch.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False), words.text_of()
+            first, end, values, at, nodes = _line_sets(words, least)
+            keys = band_keys(sketch(values, at, BANDS * ROWS), BANDS, ROWS)
+            start, both = windows(words, window, spread)
+            of = np.r_[text[first], text[start]] if len(text) else np.zeros(0, np.int64)
+            place = np.r_[first, start] - words.first[of]
+            size = np.r_[end - first, np.full(len(start), window)]
+            packed = both.astype(">u8").tobytes()
+            both_nodes = [*nodes, *(packed[16 * k : 16 * k + 16] for k in range(len(start)))]
+            lists = list_array(keys.reshape(-1), np.r_[np.arange(len(first) + 1) * BANDS, np.full(len(start), len(first) * BANDS)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[of]), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(both_nodes, pa.binary()), lists],
+                names=["doc_id", "first_word", "n_words", "node", "keys"],
+            )
 
     return run
 
 
 def _elements(near, least: int):
     def run(batches):
-        for batch in batches:
-            for lo in range(0, len(batch), _PART):
-                _, _, values, at, nodes = _line_sets(Words(batch.column("text").slice(lo, _PART), MARKS), least)
-                if not nodes:
-                    continue
-                hit = near.value.has(np.array([int.from_bytes(x[:8], "big") for x in nodes], dtype=np.uint64))
-                own = np.flatnonzero(hit)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([nodes[k] for k in own], pa.binary()), pa.array([values[at[k] : at[k + 1]].tobytes() for k in own], pa.binary())],
-                    names=["node", "elements"],
-                )
+        for batch in in_parts(batches, _PART):
+            _, _, values, at, nodes = _line_sets(Words(batch.column("text"), MARKS), least)
+            if not nodes:
+                continue
+            hit = near.value.has(np.array([int.from_bytes(x[:8], "big") for x in nodes], dtype=np.uint64))
+            own = np.flatnonzero(hit)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([nodes[k] for k in own], pa.binary()), pa.array([values[at[k] : at[k + 1]].tobytes() for k in own], pa.binary())],
+                names=["node", "elements"],
+            )
 
     return run
 
