@@ -210,7 +210,7 @@ def _sound(batches):
     of its values say, so that close vectors sound alike."""
     t = np.arange(SEGMENT) / RATE
     tones = np.sin(2 * np.pi * (220.0 * 2 ** (np.arange(12) / 12))[:, None] * t).astype(np.float32)
-    for batch in batches:
+    for batch in (b.slice(k, 100) for b in batches for k in range(0, len(b), 100)):
         out = []
         for vector in batch.column("embedding"):
             v = np.array(vector.as_py() or [], dtype=np.float32)
@@ -228,5 +228,6 @@ def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no audio, so the vectors of ``embeddings`` are made into sound. Every
     recording whose id is divisible by 20 is searched among all."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("media_id"), "embedding")
-    prints = cut(fingerprints(vectors.mapInArrow(_sound, "media_id long, audio binary")))
+    # Sound and fingerprint in one pass, a hundred recordings at a time: the sound is far larger than either.
+    prints = cut(vectors.mapInArrow(lambda batches: _print(_sound(batches)), "media_id long, prints binary"))
     return links(prints, prints.where("media_id % 20 = 0"))
