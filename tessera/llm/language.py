@@ -5,9 +5,9 @@ machines are fitted on them, one for each pair of families, and one for each pai
 a family. The family with the most won pairs is chosen, then the language with the most won pairs
 in it; equal wins go to the larger sum of margins, then to the first name.
 
-Training takes at most ``per_language`` labelled rows of each language, those with the smallest
-hash of the row, so the sample has a bound and doesn't depend on partitions. Only these rows reach
-the driver, as counts. Prediction is a map over all rows, whole texts included.
+Training takes at most ``per_language`` distinct labelled texts of each language, those with the
+smallest hash, so the sample has a bound and depends neither on partitions nor on copies. Only they
+reach the driver, as counts over whole texts. Prediction is a map over all rows, whole texts included.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if
 no labelled row exists. A null lang is not learned from. Repeated rows have equal results. Columns
@@ -19,16 +19,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import in_parts, table
+from .shared import cut, in_parts, table
 
 DIMENSIONS = 1 << 12
 GRAMS = (1, 2, 3)
-PER_LANGUAGE = 800
-#: Characters of a training text that count; predictions use whole texts.
-TRAIN_CHARS = 20_000
+PER_LANGUAGE = 3_000
 UNKNOWN = "und"
 #: Families of common languages (ISO 639-1). A language that is not listed is a family of its own.
 FAMILIES = {
@@ -103,12 +101,12 @@ def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, *, c: float = 1.0, round
     """A linear support vector machine with hinge loss on the given rows of x, by dual coordinate
     descent. y is 1 or -1. The last weight is the bias."""
     w, bias, a = np.zeros(x.shape[1], dtype=np.float32), 0.0, np.zeros(len(rows), dtype=np.float32)
-    square = np.array([x[k] @ x[k] + 1 for k in rows])
+    square = np.array([np.square(x[k], dtype=np.float32).sum() + 1 for k in rows])
     order = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            own = x[rows[i]]
+            own = x[rows[i]].astype(np.float32)
             g = y[i] * (own @ w + bias) - 1
             new = min(max(a[i] - g / square[i], 0.0), c)
             if new != a[i]:
@@ -177,29 +175,49 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def _least_hashes(most: int):
+    """The ``most`` smallest distinct hashes of each language among a task's rows."""
+
+    def run(batches):
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            lang, h = batch.column("lang").dictionary_encode(), batch.column("row_hash").to_numpy()
+            of = lang.indices.to_numpy()
+            for k, name in enumerate(lang.dictionary.to_pylist()):
+                held[name] = np.unique(np.concatenate([held.get(name, h[:0]), h[of == k]]))[:most]
+        for name, h in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(h)], names=["lang", "row_hash"])
+
+    return run
+
+
 def _count_rows(batches):
     for batch in in_parts(batches, 1_000):
-        x = counts([t[:TRAIN_CHARS] for t in batch.column("text").to_pylist()]).astype(np.float16)
+        x = counts(batch.column("text").to_pylist()).astype(np.float16)
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("row_hash"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "row_hash", "x"])
 
 
-def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> Model:
-    """A model of docs(text, lang). At most ``per_language`` rows of each lang are used."""
+def sample(docs: DataFrame, per_language: int) -> DataFrame:
+    """lang, row_hash and text: of each lang the distinct texts with the smallest hashes."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.col("text"), F.xxhash64("text").alias("row_hash"))
-    # A threshold on the hash first, from counts alone, so that few texts are sorted.
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.col("n"))
-    bound = sizes.select(F.col("lang").alias("_lang"), ((share * 2 - 1) * F.lit(float(2**63))).alias("_most"))
-    near = labelled.join(F.broadcast(bound), F.col("lang") == F.col("_lang")).where(F.col("row_hash") <= F.col("_most")).drop("_lang", "_most")
-    rows = near.mapInArrow(_count_rows, "lang string, row_hash long, x binary").collect()  # under 2 * per_language rows a language
-    taken: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["row_hash"], bytes(r["x"]))):
-        taken.setdefault(r["lang"], []).append(r["x"])
-    taken = {k: v[:per_language] for k, v in taken.items()}
-    model = Model(list(taken))
-    if taken:
-        x = np.vstack([np.frombuffer(bytes(v), dtype=np.float16) for rows in taken.values() for v in rows]).astype(np.float32)
-        model.fit(x, np.array([k for k, v in taken.items() for _ in v]))
+    least = labelled.select("lang", "row_hash").mapInArrow(_least_hashes(per_language), "lang string, row_hash long").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("row_hash"))
+    taken = least.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
+    return labelled.join(F.broadcast(taken), ["lang", "row_hash"]).dropDuplicates(["lang", "row_hash"])  # per_language keys a language
+
+
+def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> Model:
+    """A model of docs(text, lang). At most ``per_language`` distinct texts of each lang are used."""
+    counted = cut(sample(docs, per_language).select("lang", "row_hash", "text").mapInArrow(_count_rows, "lang string, row_hash long, x binary"))
+    rows = sorted((r["lang"], r["row_hash"], bytes(r["x"])) for r in counted.toLocalIterator())  # per_language rows a language
+    labels = np.array([lang for lang, _, _ in rows], dtype=object)
+    model = Model(list(dict.fromkeys(labels)))
+    if rows:
+        x = np.empty((len(rows), DIMENSIONS), dtype=np.float16)
+        for k, (_, _, own) in enumerate(rows):
+            x[k] = np.frombuffer(own, dtype=np.float16)
+        del rows
+        model.fit(x, labels)
     return model
 
 

@@ -39,3 +39,14 @@ def test_empty(spark):
 def test_one_language(spark):
     docs = spark.createDataFrame([("word one", "xx"), ("word two", "xx")], "text string, lang string")
     assert L.identify(spark.createDataFrame([(1, "word")], "doc_id long, text string"), L.train(docs)).first().lang_pred == "xx"
+
+
+def test_copies_and_long_texts_in_the_sample(spark):
+    copied = [(t, "xx") for t in ("kala puu maja", "kivi meri tuul", "lumi jaa talv") for _ in range(1_000)]
+    docs = spark.createDataFrame([*copied, *((f"zq zqw wqz {i} {chr(97 + i % 26)}", "yy") for i in range(500)), ("abc " * 5_000 + "ggh " * 5_000, "ww"), ("abc " * 5_000 + "ppo " * 5_000, "vv")], "text string, lang string")
+    rows = L.sample(docs, 5).collect()
+    assert sorted(r.lang for r in rows) == ["vv", "ww", *["xx"] * 3, *["yy"] * 5] and len({(r.lang, r.text) for r in rows}) == 10
+    ranked = docs.where("lang = 'yy'").selectExpr("xxhash64(text) AS h").distinct().orderBy("h").limit(5).collect()
+    assert {r.row_hash for r in rows if r.lang == "yy"} == {r.h for r in ranked}
+    got = L.identify(spark.createDataFrame([(1, "puu meri maja"), (2, "zqw wqz"), (3, "ggh ggh"), (4, "ppo ppo")], "doc_id long, text string"), L.train(docs, per_language=5))
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "xx", 2: "yy", 3: "ww", 4: "vv"}
