@@ -6,7 +6,8 @@ of the documents. Document hashes that no item can have are thinned out by a bit
 the rest are joined with the items' hashes by a shuffled join. A hit gives a document, an item and
 a diagonal (by how many words they are shifted). Around the hits, document and item are compared
 word by word: stretches of at least ``stretch`` equal words with at most ``gap`` different ones in
-a row, and two thirds equal in all, count as overlap. A document is contaminated by an item if at
+a row, and two thirds equal in all, count as overlap; so do parts of a sparser stretch that are
+dense enough themselves. A document is contaminated by an item if at
 least ``coverage`` of the item's words lie in overlaps as equal words.
 
 A word is a run of letters, digits and non-ASCII characters, A-Z in lower case.
@@ -30,7 +31,9 @@ from .shared import build_bitmap, cut, in_parts, table
 from .words import MARKS, Words, mix
 
 #: 1: a place that counts, 0: one that is ignored.
-MASKS = ("111111", "11011011", "101101101", "1110000111")
+#: Every stretch of more than 60 words with two thirds equal and at most ``GAP`` different ones in a
+#: row holds one of them somewhere (by enumeration; a test repeats it).
+MASKS = ("111111", "11011011", "101101101", "1110000111", "1110111", "101011011", "1011111", "1101111", "10011111", "10101111", "11010111", "11001111")
 COVERAGE = 0.5
 GAP = 3
 STRETCH = 6
@@ -120,10 +123,22 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, *, gap: int = GAP, st
     if len(equal) < stretch:
         return equal[:0]
     runs = np.split(equal, np.flatnonzero(np.diff(equal) > gap + 1) + 1)
-    kept = [r for r in runs if len(r) >= stretch and 3 * len(r) >= 2 * (r[-1] - r[0] + 1)]
+    kept = [_dense(r, stretch) for r in runs if len(r) >= stretch]
     return np.concatenate(kept) if kept else equal[:0]
 
 
+def _dense(run: np.ndarray, stretch: int) -> np.ndarray:
+    """The places of a run that lie in a part of it, from place i to place j, of at least
+    ``stretch`` places and two thirds equal: 3 * (j - i + 1) >= 2 * (run[j] - run[i] + 1)."""
+    n = len(run)
+    value = 3 * np.arange(n) - 2 * run
+    most = np.maximum.accumulate(value[::-1])[::-1]  # of all later places; falls
+    last = n - 1 - np.searchsorted(most[::-1], value - 1)  # the farthest j for each i
+    first = np.flatnonzero(last - np.arange(n) + 1 >= stretch)
+    depth = np.bincount(first, minlength=n + 1) - np.bincount(last[first] + 1, minlength=n + 1)
+    return run[np.cumsum(depth)[:n] > 0]
+
+
 def _check(coverage: float):
     def run(batches):
         for batch in batches:

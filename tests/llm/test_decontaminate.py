@@ -70,3 +70,41 @@ def test_clean_only(spark):
     docs = spark.createDataFrame([(1, "x a b c d e f g h y"), (2, "other"), (None, "z")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
     assert sorted(map(tuple, D.clean_only(docs, b).collect()), key=str) == [(2, "other"), (None, "z")]
+
+
+def dense_places(d, w):
+    """Places of w in parts of any diagonal with six equal words, gaps of three, two thirds equal."""
+    out = set()
+    for shift in range(-len(w), len(d)):
+        e = [k for k in range(max(0, -shift), min(len(w), len(d) - shift)) if w[k] == d[k + shift]]
+        for i in range(len(e)):
+            for j in range(i, len(e)):
+                if j > i and e[j] - e[j - 1] > D.GAP + 1:
+                    break
+                if j - i + 1 >= D.STRETCH and 3 * (j - i + 1) >= 2 * (e[j] - e[i] + 1):
+                    out.update(e[i : j + 1])
+    return out
+
+
+def test_all_diagonals_without_masks(spark):
+    items = [(1, " ".join(f"a{k}" for k in range(80))), (2, " ".join(f"b{k}" for k in range(60)))]
+    docs = [(10 * p + o, " ".join(f"x{k}" if k % p == o else f"a{k}" for k in range(80))) for p in range(3, 9) for o in range(p)]
+    docs.append((200, " ".join(f"b{k}" if k < 31 or k % 4 == 2 else "y" for k in range(60))))  # an exact half, then chance matches
+    docs += [(300, " ".join(f"b{k}" if k < 20 or k % 4 == 2 else "y" for k in range(60))), (301, " ".join(f"x{k}" for k in range(80)))]
+    want = {(i, j): len(p) for i, t in docs for j, s in items if len(p := dense_places(words(t), words(s))) >= D.COVERAGE * len(words(s))}
+    assert {(i, 1) for i in range(40, 44)} <= set(want) and (200, 2) in want and (300, 2) not in want
+    assert {(i, j): n for i, j, n, *_ in ran(spark, docs, items)} == want
+
+
+def test_every_long_overlap_holds_a_mask():
+    masks, size = [int(m, 2) for m in D.MASKS], 1 << max(map(len, D.MASKS))
+    best = {1: 1}  # the last places: three for an equal word less two for each, without a mask
+    for n in range(2, 200):
+        longer = {}
+        for was, value in best.items():
+            for bit in (0, 1):
+                now = (was << 1 | bit) % size
+                if (bit or now & (2 << D.GAP) - 1) and not any(now & m == m for m in masks):
+                    longer[now] = max(longer.get(now, -(10**9)), value + (1 if bit else -2))
+        best = longer
+        assert n <= 60 or all(v < 0 for k, v in best.items() if k & 1)
