@@ -65,3 +65,8 @@ def test_any_shared_run_of_fifty_words_is_found(spark):
 
 def test_empty(spark):
     assert S.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bands_miss_few_pairs():
+    missed = (1 - (S.PERCENT / 100) ** S.ROWS) ** S.BANDS
+    assert missed <= (1 - (S.PERCENT / 100) ** 3) ** 24 < 1 / 500_000
