@@ -8,7 +8,10 @@ tags in links below it. Its composite density is
 with 1 in place of zeros: characters for each tag, lowered where links hold them. The node with
 the largest sum of its children's densities holds the main text. The smallest density on its path
 to the body is the threshold: siblings on that path that reach it are main text as well. Parts that
-a page marks as menus, headers, footers, asides, forms, adverts, notices or comments never count.
+a page marks as menus, headers, footers, asides, forms, adverts, notices or comments never count. A
+class or id marks an element only by a name's first or last word, and not where it says that there
+is or isn't such a part (has-sidebar, ad-free); never an article, nor an element with most of the
+page's text unless an article or main element stands outside it. Density decides on the rest.
 
 Defined results: a null, empty or textless html gives an empty text; unclosed, wrongly nested and
 cut-off markup is read as browsers read it, as far as text goes; each repeated row has its own
@@ -49,6 +52,8 @@ LEFT_OUT = frozenset("nav aside footer form script style noscript template ifram
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner banners cookie cookies consent gdpr notice notices alert sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer footers colophon masthead comment comments commentlist disqus respond replies share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets toolbar pagination pager skip paywall".split()
 )
+#: A name with one of these says what a part has, or hasn't.
+ABOUT = frozenset("has have with without no not non hide hides free less enabled disabled enable disable".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -63,7 +68,36 @@ class Page:
         self.tag, self.parent, self.out = ["#root"], [-1], [False]
         self.pieces: list[tuple[int, str | None]] = []
         self._inside = [False]  # within an article or main element
+        self._named = [False]  # left out by a class or id, if at all
         self._read(source)
+        if any(self._named):
+            self._leave_out_named()
+
+    def _leave_out_named(self) -> None:
+        n = len(self.tag)
+        size, last = [0] * n, list(range(n))
+        for node, text in self.pieces:
+            if text is not None and not self.out[node]:
+                size[node] += sum(map(len, text.split()))
+        for k in range(n - 1, 0, -1):
+            size[self.parent[k]] += size[k]
+            last[self.parent[k]] = max(last[self.parent[k]], last[k])
+        marked = [k for k in range(n) if self.tag[k] in ("article", "main") and size[k] and not self.out[k]]
+        for k in range(1, n):
+            most = self._named[k] and 2 * size[k] > size[0] and not any(a > last[k] or last[a] < k for a in marked)
+            self.out[k] = self.out[k] or self.out[self.parent[k]] or (self._named[k] and not most)
+
+    def _is_named(self, tag: str, attrs: str, at: int) -> bool:
+        if tag in ("html", "body", "main", "article"):
+            return False
+        for m in _ATTR.finditer(attrs):
+            if m[1].lower() in ("class", "id"):
+                for name in (m[2] or m[3] or m[4] or "").split():
+                    words = [w.lower() for w in _WORDS.findall(name)]
+                    ends = {words[0], words[-1]} if words and not ABOUT & set(words) else set()
+                    if ends & NAMES or ("header" in ends and not self._inside[at]):
+                        return True
+        return False
 
     def _left_out(self, tag: str, attrs: str, at: int) -> bool:
         if self.out[at] or tag in LEFT_OUT:
@@ -76,11 +110,7 @@ class Page:
             return False
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name in ("class", "id"):
-                words = {w.lower() for w in _WORDS.findall(value)}
-                if words & NAMES or ("header" in words and not self._inside[at]):
-                    return True
-            elif (
+            if (
                 (name == "role" and value.lower() in ROLES)
                 or name == "hidden"
                 or (name == "aria-hidden" and value.lower() == "true")
@@ -125,6 +155,7 @@ class Page:
         self.tag.append(tag)
         self.parent.append(above)
         self.out.append(self._left_out(tag, attrs, above))
+        self._named.append(not self.out[node] and self._is_named(tag, attrs or "", above))
         self._inside.append(self._inside[above] or tag in ("article", "main"))
         self.pieces.append((node, None))
         if tag in RAW:

@@ -57,3 +57,15 @@ def test_hard_rows(spark):
     assert extract_text(pages.limit(0)).count() == 0
     nodes = node_densities(pages.where("page_id IS NULL")).collect()
     assert [(n.node, n.tag) for n in nodes] == [(0, "#root"), (1, "p")] and nodes[1].density > 0
+
+
+@pytest.mark.parametrize("mark", ["div class='content has-sidebar'", "div class='entry-content share-enabled'", "article class='post ad-free'", "article class=comment", "div id=noSidebar", "div class='page-with-comments'", "div class='sidebar-layout'"])
+def test_names_that_dont_mark_a_part(mark):
+    tag, other = mark.split()[0], f"<div class=side-menu>Menu {LONG}</div><div class='post-comments'>Reader {LONG}</div>"
+    page = f"<html><body>{other}<{mark}><h1>Title</h1><p>First {LONG}</p><p>Second {LONG}</p><p>Third {LONG}</p></{tag}></body></html>"
+    assert Page(page).text().split("\n") == ["Title", *(f"{x} {LONG.strip()}" for x in ("First", "Second", "Third"))]
+
+
+def test_long_comments_beside_an_article():
+    page = f"<body><article><p>Story {LONG}</p></article><div id=comments><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>"
+    assert Page(page).text() == f"Story {LONG.strip()}"
