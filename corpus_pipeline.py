@@ -1,7 +1,7 @@
 """Five corpus stages in a row, each written as Parquet and read again by the next.
 
 1. language ID: texts without a known language go.
-2. near-dedup: of each group of near copies, the document with the smallest id stays.
+2. near-dedup: of each group of near copies, one row with the smallest id stays.
 3. decontamination: documents that hold a benchmark passage go.
 4. secrets: reported spans give way to marks of their kind.
 5. BPE: the texts that are left, as token ids and decoded text.
@@ -22,8 +22,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup.near_components(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Rows are told apart by id and text: components are those of texts, by their hash, and one row
+    of the first id and text of a component stays. Texts without a word are in no component."""
+    texts = docs.where(F.col("text").rlike(r"[^\x09-\x0d ]"))
+    wordless = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x09-\x0d ]"), F.lit(False)))
+    hashed = texts.select(F.xxhash64("text").alias("doc_id"), "text")
+    places = near_dedup.near_components(hashed).select(F.col("doc_id").alias("_text"), "component_id").distinct()
+    least = texts.groupBy(F.xxhash64("text").alias("_text")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("id"))
+    first = least.join(places, "_text").groupBy("component_id").agg(F.min(F.struct("id", "_text")).alias("f")).select(F.col("f.id.doc_id").alias("_id"), F.col("f._text").alias("_text"))
+    keyed = texts.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
+    kept = keyed.alias("k").join(first.alias("f"), (F.col("k._text") == F.col("f._text")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.select(*docs.columns).unionByName(wordless)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -191,6 +191,6 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_only(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones."""
-    dirty = contaminated(docs, benchmark).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_dirty")), "left_anti")
+    """docs without the contaminated ones, by their text: other rows of the same doc_id stay."""
+    dirty = contaminated(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_dirty")).distinct()
+    return docs.join(dirty, F.xxhash64("text") == F.col("_dirty"), "left_anti")
