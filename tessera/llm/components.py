@@ -1,4 +1,4 @@
-"""Connected components of a graph given as rows, by smallest labels and pointer jumping."""
+"""Connected components of a graph given as rows, by contraction to smallest neighbours."""
 
 from __future__ import annotations
 
@@ -7,37 +7,54 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, drop
 
 
 def components(links: DataFrame, *, rounds: int = 64) -> DataFrame:
     """links: columns a, b (any type with an order). Gives node, root (the smallest node reachable)
     for every node that has a link.
 
-    Each round takes the smallest label of a node and its neighbours, then the label's own label,
-    so that chains shorten by half. Partial minima are taken before each shuffle, and a hub's rows
-    are joined by a shuffled join, which Spark may split.
+    Each round points every node to the smallest of itself and its neighbours, follows these pointers
+    to their ends, and puts the ends in place of the nodes. Links within one end are dropped, so a
+    round's joins see what the rounds before have left: a star is gone after two. The smallest node
+    of a component never moves, so it is the last end. Minima are partial before each shuffle; a
+    hub's links are joined by a shuffled join, which Spark may split.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = cut(both)
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
+    left = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    levels: list[DataFrame] = []
     for _ in range(rounds):
-        up = labels.select(F.col("node").alias("b"), F.col("root").alias("near"))
-        near = both.join(up, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        own = step.select(F.col("node").alias("root"), F.col("root").alias("jump"))
-        nxt = cut(step.join(own, "root", "left").select("node", "was", F.least("root", F.coalesce("jump", "root")).alias("root")))
-        labels = nxt.select("node", "root")
+        levels.append(_ends(left))
+        ends = levels[-1].select("node", "root")
+        moved = left.join(ends.toDF("a", "ra"), "a").join(ends.toDF("b", "rb"), "b").where("ra <> rb")
+        nxt = cut(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        drop(left)
+        left = nxt
+        if left.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    out = reduce(lambda upper, lower: relabel(lower, upper), reversed([x.select("node", "root") for x in levels]))
+    if len(levels) > 1:
+        out = cut(out)
+        drop(*levels)
+    drop(left)
+    return out
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    """node, was, root: where the way from each node over smallest neighbours ends."""
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")))
+    while True:  # what is left of the ways halves
+        ways = ends.select("node", "root")
+        nxt = cut(ways.join(ways.toDF("root", "next"), "root").select("node", F.col("root").alias("was"), F.col("next").alias("root")))
+        drop(ends)
+        ends = nxt
         if nxt.where("was <> root").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+            return nxt
 
 
 def relabel(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """nodes(node, root) with each root replaced by its root in roots, where it has one."""
     to = roots.select(F.col("node").alias("root"), F.col("root").alias("_to"))
     return nodes.join(to, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

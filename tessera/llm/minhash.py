@@ -12,11 +12,12 @@ nothing and are left out.
 2. ``bands`` bands of ``rows`` coordinates make buckets. A pair of similarity s meets in none with
    probability (1 - s^rows)^bands: 3e-8 at 0.75 with 64 bands of 5.
 3. In each bucket, members are compared with a pivot, the member that meets most others. Verified
-   pairs become links, and links become components. Only members of buckets with more than one
-   component go on: those outside their neighbourhood's largest component are compared with all of
-   the neighbourhood, in pairs of blocks, of which nothing but links leaves. So a large group of
-   near copies costs a few comparisons a member, and no link between components is lost.
-4. Before that, elements that only one candidate set holds are counted. A set of n elements, u of
+   pairs become links, and links become components. A pivot leaves its bucket, and the others of
+   buckets with more than one component meet the next. What is left after ``PIVOTS`` of them:
+   members outside their neighbourhood's largest component are compared with all of the
+   neighbourhood, in pairs of blocks, of which nothing but links leaves. So a large group of near
+   copies costs a few comparisons a member, and no link between components is lost.
+4. Elements that only one candidate set holds are counted. A set of n elements, u of
    them its own, shares at most n - u with any other; pairs for which this is too few can't be
    links and are never made. Copies with many changes of their own, and texts that share a passage
    but not the rest, drop out here.
@@ -30,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, relabel
-from .shared import Bitmap, build_bitmap, cut
+from .shared import cut, drop
 from .words import mix
 
 BANDS, ROWS = 64, 5
+#: Members of a bucket that meet all others of it one after another, before blocks are compared.
+PIVOTS = 2
 #: Sets in a block of the last comparison.
 BLOCK = 256
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -112,9 +115,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_verify(percent), "a binary, b binary, linked boolean")
 
 
-def busy_buckets(keyed: DataFrame) -> DataFrame:
-    """bucket, node of all buckets with at least two nodes. keyed: node, keys (array of long)."""
-    each = keyed.select("node", F.explode("keys").alias("bucket"))
+def busy_buckets(each: DataFrame) -> DataFrame:
+    """bucket, node, n of all buckets with n >= 2 nodes. each: node, bucket."""
     shared = (
         each.groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.bit_xor(F.xxhash64("node")).alias("all"))
@@ -143,47 +145,58 @@ def own_elements(sets: DataFrame) -> DataFrame:
     return sized.join(own, "h", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own"))
 
 
-def link_classes(keyed: DataFrame, sets_of, *, percent: int) -> DataFrame:
-    """node, root of all nodes with a link. keyed: node (binary, one for each class), keys.
-    sets_of(bitmap) gives node, elements of at least the nodes whose first 8 bytes are in it."""
-    members = cut(busy_buckets(keyed))
-    nodes = cut(members.groupBy("node").agg(F.sum("n").alias("meets")))
-    near: Bitmap = build_bitmap(nodes.select(node_hash("node").alias("h")), "h")
-    sets = cut(sets_of(near).join(nodes.select("node"), "node", "left_semi"))
-    bounds = cut(own_elements(sets).where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size")))
-    state = nodes.select("node", F.col("node").alias("root"))
-    left = mixed(members.drop("n").withColumn("root", F.col("node")).join(nodes, "node").join(bounds, "node"))
-    if left.isEmpty():
-        return state
-    about = ("size", "own")
-    one = F.struct(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in about))
-    pivot = left.groupBy("bucket").agg(F.max_by(one, F.struct("meets", "node")).alias("p")).select("bucket", "p.*")
-    met = left.select("bucket", F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in about)).join(pivot, "bucket").where("a <> b")
-    most = F.least(F.col("size_a") - F.col("own_a"), F.col("size_b") - F.col("own_b"))
-    pairs = met.where(100 * most >= percent * (F.col("size_a") + F.col("size_b") - most)).select("a", "b").distinct()
-    state = _joined(state, cut(verify(pairs, sets, percent).where("linked").select("a", "b")))
-    left = mixed(left.drop("root").join(state, "node"))
-    if left.isEmpty():
-        return state
-    return _joined(state, cut(compare_blocks(left, sets, percent)))
+def link_classes(members: DataFrame, sets: DataFrame, *, percent: int, prune_first: bool = True) -> DataFrame:
+    """node, root of all nodes that meet another. members: bucket, node, n, as busy_buckets() gives
+    them; sets: node, elements. Both are tables that cut() made, and are dropped. ``prune_first``:
+    own elements are counted before any comparison, not after the first ones."""
+    nodes = members.groupBy("node").agg(F.sum("n").alias("meets"))
+    sized = sets.select("node", (F.octet_length("elements") / 8).cast("long").alias("size"), F.lit(0).cast("long").alias("own"))
+    about = own_elements(sets) if prune_first else sized
+    about = cut(about.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size")).join(nodes, "node"))
+    state = cut(members.select("node").distinct().withColumn("root", F.col("node")))
+    left = _mixed(members.drop("n").join(about, "node").withColumn("root", F.col("node")))
+    drop(members, about)
+    for turn in range(PIVOTS):
+        if left.isEmpty():
+            break
+        one = F.struct(F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), F.col("own").alias("own_b"))
+        pivot = left.groupBy("bucket").agg(F.max_by(one, F.struct("meets", "node")).alias("p")).select("bucket", "p.*")
+        met = cut(left.join(pivot, "bucket").where("node <> b"))  # a pivot has met all of its bucket and leaves it
+        most = F.least(F.col("size") - F.col("own"), F.col("size_b") - F.col("own_b"))
+        may = met.where((F.col("root") != F.col("root_b")) & (100 * most >= percent * (F.col("size") + F.col("size_b") - most)))
+        links = cut(verify(may.select(F.col("node").alias("a"), "b").distinct(), sets, percent).where("linked").select("a", "b"))
+        state, was = _joined(state, links), state
+        rest = met.select("bucket", "node", "meets", "size", "own").join(state, "node")
+        nxt = _mixed(rest)
+        if turn == 0 and not prune_first and not nxt.isEmpty():
+            own = own_elements(cut(sets.join(nxt.select("node"), "node", "left_semi")))
+            fit = own.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size"))
+            nxt = _mixed(nxt.drop("size", "own").join(fit, "node"))
+        drop(left, met, links, *([was] if state is not was else []))
+        left = nxt
+    if not left.isEmpty():
+        links = cut(compare_blocks(left, sets, percent))
+        state = _joined(state, links)
+    drop(left, sets)
+    return state
 
 
 def _joined(state: DataFrame, links: DataFrame) -> DataFrame:
     """state(node, root) after links(a, b)."""
     if links.isEmpty():
         return state
-    between = links.join(state.toDF("a", "ra"), "a").join(state.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    between = links.join(state.toDF("a", "ra"), "a").join(state.toDF("b", "rb"), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     return cut(relabel(state, components(between)))
 
 
 def compare_blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the components of each neighbourhood. left: bucket, node, root, size,
-    own. A neighbourhood is what buckets connect; its members outside its largest component (asking)
-    meet all its members (asked), a block of each at a time."""
-    first = left.groupBy("bucket").agg(F.max_by("node", F.struct("meets", "node")).alias("a"))  # most buckets of a hood have the same
-    star = left.join(first, "bucket").where("a <> node").select("a", F.col("node").alias("b"))
-    place = components(star).toDF("node", "hood")
-    nodes = left.select("node", "root", "size", "own").distinct().join(place, "node")
+    own. A neighbourhood is what buckets connect, components being one node each; its members outside
+    its largest component (asking) meet all its members (asked), a block of each at a time."""
+    roots = left.select("bucket", "root").distinct()
+    hub = roots.groupBy("bucket").agg(F.min("root").alias("a"))
+    place = components(roots.join(hub, "bucket").select("a", F.col("root").alias("b"))).toDF("root", "hood")
+    nodes = left.select("node", "root", "size", "own").distinct().join(place, "root")
     counts = nodes.groupBy("hood", "root").agg(F.count(F.lit(1)).alias("c"))
     hoods = counts.groupBy("hood").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("top")).select("hood", "all", F.col("top.root").alias("main"), F.col("top.c").alias("in_main"))
     nodes = cut(nodes.join(hoods, "hood").join(sets, "node"))
@@ -238,7 +251,7 @@ def _compare(percent: int):
     return run
 
 
-def mixed(members: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame) -> DataFrame:
     """The members of buckets that still hold more than one component."""
     kept = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     return cut(members.join(kept, "bucket"))

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .minhash import BANDS, ROWS, band_keys, link_classes, list_array, sketch
-from .shared import cut, in_parts, table
+from .minhash import BANDS, ROWS, band_keys, busy_buckets, link_classes, list_array, node_hash, sketch
+from .shared import build_bitmap, cut, in_parts, table
 from .words import Words, distinct, shingles
 
 PERCENT = 75
@@ -74,21 +74,20 @@ def near_components(docs: DataFrame, *, percent: int = PERCENT, bands: int = BAN
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sketched = cut(own.mapInArrow(_sketches(bands, rows), "doc_id long, n_shingles long, node binary, keys array<long>"))
     classes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.any_value("keys").alias("keys"))
-
-    def sets_of(bitmap):
-        near = docs.sparkSession.sparkContext.broadcast(bitmap)  # 4 MB, whatever the input
-        found = own.select("text").mapInArrow(_elements(near), "node binary, elements binary")
-        return found.groupBy("node").agg(F.any_value("elements").alias("elements"))
-
-    roots = link_classes(classes, sets_of, percent=percent)
+    members = cut(busy_buckets(classes.select("node", F.explode("keys").alias("bucket"))))
+    nodes = members.select("node").distinct()
+    near = docs.sparkSession.sparkContext.broadcast(build_bitmap(nodes.select(node_hash("node").alias("h")), "h"))  # 4 MB, whatever the input
+    found = own.select("text").mapInArrow(_elements(near), "node binary, elements binary").groupBy("node").agg(F.any_value("elements").alias("elements"))
+    sets = cut(found.join(nodes, "node", "left_semi"))
+    roots = link_classes(members, sets, percent=percent)
     thin = sketched.select("doc_id", "n_shingles", "node")
-    rooted = thin.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least_id"))
-    return rooted.join(smallest, "root", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    classes = thin.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    rooted = classes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    named = rooted.join(least, "root").select("node", "least_id")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
+    placed = thin.join(named, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return placed.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,18 +21,28 @@ BITS_PER_BITMAP = 32_768
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. The session's spark.checkpoint.dir wins; a local
-    folder is set only where the session has none, as in tests."""
+    folder is set only where a local session has none, as in tests."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", path) if spark.conf.isModifiable("spark.checkpoint.dir") else sc.setCheckpointDir(path)
     return path
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path inside the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new path inside the shared folder, which goes when the session ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    fs, place = _file_system(spark, path)
+    fs.deleteOnExit(place)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,15 +51,40 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut() made and that nothing reads any more."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            fs, place = _file_system(df.sparkSession, path)
+            fs.delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the files of a shuffle when the driver's garbage holds its last reference: where
+    several large shuffles follow each other, this keeps those that are done from filling the disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def bitmap_bits(n: int) -> int:
+    """Bits for n hashes: eight for each, at least 4 MB and at most 128 MB in all."""
+    return 1 << min(30, max(25, (8 * n - 1).bit_length()))
+
+
 class Bitmap:
-    """A set of 64-bit hashes as a Bloom bitmap of fixed size: two bits for each hash. It may say
+    """A set of 64-bit hashes as a Bloom bitmap of bounded size: two bits for each hash. It may say
     yes wrongly, never no wrongly, so that it thins rows before an exact join. Spark builds it as
     partial bitmaps of 4 KB; at most ``bits / 8`` bytes ever reach the driver or a task, whatever
     the number of hashes (4 MB by default)."""

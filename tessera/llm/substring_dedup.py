@@ -1,18 +1,27 @@
 """Substring dedup by paragraph MinHash banding: passages that repeat across documents.
 
-Two kinds of paragraphs are compared:
+Paragraphs are compared by the Jaccard similarity of their five-word shingles. They are
 
-* lines of at least ``least_words`` words, by Jaccard similarity of their five-word shingles: bands
-  tuned for recall (35 bands of 4 rows miss a pair of similarity 0.75 once in 600,000 times) make
-  candidates, which are verified on the full sets;
-* paragraphs that the text itself marks off inside longer lines: windows of ``window`` words that
-  start where a word group has the smallest hash among ``spread`` neighbours. Any run of
-  ``window + spread - 1`` words (50) that two documents share holds such a window at the same place
-  in both, and windows of equal words are equal paragraphs.
+* the lines of a text of at least five words;
+* the pieces of its lines of at least ``LONG`` words, cut where a word group has the smallest hash
+  among the ``REACH`` groups before and after it. What stands elsewhere in the line doesn't move such
+  a cut, so a passage inside a long line has its own pieces wherever it stands.
 
-Linked paragraphs form components. Of a component that occurs in at least two documents, the first
-occurrence (smallest doc_id, then place) is kept and the others are removals; overlapping ones of
-a document become one span.
+24 bands of 3 rows make candidates (a pair of similarity 0.75 is missed once in 500,000 times), which
+are verified on their full sets. Linked paragraphs form components.
+
+In addition, windows of ``window`` words are taken as paragraphs where they start at a word group with
+the smallest hash among ``spread`` neighbours; of these only equal ones are linked. Any run of
+``window + spread - 1`` words (50) that two documents share holds one at the same place in both.
+
+Of a component that occurs in at least two documents, the first occurrence (smallest doc_id, then
+place) is kept and the others are removals. Those of a text that touch or overlap become one span, so
+that repeated short lines one after another are a passage; spans of ``least_words`` words or more are
+reported.
+
+Most paragraphs repeat nowhere. What may repeat is found from their 64-bit keys alone (``repeats``),
+and a bitmap of bounded size tells the second pass over the texts which rows to write. Above 128 MB
+of bitmap more rows are written that repeat nowhere, and later joins drop them.
 
 Words are runs of letters, digits and non-ASCII characters, with A-Z in lower case. Rows of one
 doc_id count as one document.
@@ -23,42 +32,57 @@ doc_id is a document of its own that comes before all others; other columns are
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .minhash import band_keys, link_classes, list_array, sketch
-from .shared import cut, in_parts, table
+from .minhash import band_keys, busy_buckets, link_classes, list_array, sketch
+from .repeats import Repeats
+from .shared import bitmap_bits, build_bitmap, cut, drop, free_shuffles, in_parts, table
 from .words import MARKS, Words, distinct, mix, shingles
 
-LEAST_WORDS = 50
+LEAST_WORDS = 40
+LONG = 100
+REACH = 25
 WINDOW = 40
 SPREAD = 11
-BANDS, ROWS = 35, 4
+BANDS, ROWS = 24, 3
 PERCENT = 75
 _PART = 500
 _NO_ID = -(1 << 63)
 _K = np.uint64(0x9E3779B97F4A7C15)
+_SET, _WINDOW = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2545F4914F6CDD1D)
+
+
+def _groups(h: np.ndarray) -> np.ndarray:
+    """A hash of each five words in a row."""
+    out = np.zeros(max(0, len(h) - 4), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(5):
+            out = (out + h[j : len(out) + j]) * _K
+    return mix(out)
+
+
+def _slide(pick: np.ufunc, values: np.ndarray, n: int) -> np.ndarray:
+    """The least or greatest of each n values in a row."""
+    width = 1
+    while 2 * width <= n:
+        values, width = pick(values[:-width], values[width:]), 2 * width
+    return pick(values[: len(values) - (n - width)], values[n - width :]) if n > width else values
 
 
 def windows(words: Words, window: int, spread: int) -> tuple[np.ndarray, np.ndarray]:
     """(place of the first word in all words, two 64-bit hashes (n, 2)) of the marked windows."""
     h, n = words.hash, len(words.hash)
-    if n < window + spread - 1:
+    reach = window + spread - 1  # words of a row of neighbours and of the windows that start there
+    if n < reach:
         return np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
-    text = words.text_of()
-    with np.errstate(over="ignore"):
-        group = np.zeros(n - 4, dtype=np.uint64)
-        for j in range(5):
-            group = (group + h[j : n - 4 + j]) * _K
-        group = mix(group)
-    last = n - window - spread + 1  # first places of a full row of neighbours
-    inside = np.flatnonzero(text[: last + 1] == text[window + spread - 2 :][: last + 1])
-    near = np.lib.stride_tricks.sliding_window_view(group, spread)
-    at = np.unique(np.concatenate([inside[k : k + 65_536] + near[inside[k : k + 65_536]].argmin(axis=1) for k in range(0, len(inside), 65_536)])) if len(inside) else inside
+    text, group = words.text_of(), _groups(h)
+    least = _slide(np.minimum, group[: n - window + 1], spread)
+    least[text[: len(least)] != text[reach - 1 :][: len(least)]] = 0
+    most = _slide(np.maximum, np.r_[np.zeros(spread - 1, np.uint64), least, np.zeros(spread - 1, np.uint64)], spread)
+    at = np.flatnonzero(most == group[: len(most)])
     both = np.zeros((len(at), 2), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(window):
@@ -69,7 +93,7 @@ def windows(words: Words, window: int, spread: int) -> tuple[np.ndarray, np.ndar
 
 
 def _lines(words: Words, least: int):
-    """(text, first word, end word) of the lines of at least ``least`` words."""
+    """(first word, end word) of the lines of at least ``least`` words."""
     starts = np.flatnonzero(np.r_[True, words.raw[:-1] == 10]) if len(words.raw) else np.zeros(0, np.int64)
     edges = np.unique(np.r_[starts, words.at])
     first = np.searchsorted(words.start, edges)
@@ -78,14 +102,14 @@ def _lines(words: Words, least: int):
     return first[long], end[long]
 
 
-class _Lines:
-    """Lines as the texts of Words, for shingles()."""
+class _Runs:
+    """Runs of words as the texts of Words, for shingles()."""
 
     def __init__(self, words: Words, first: np.ndarray, end: np.ndarray):
         size = end - first
         self.first = np.r_[0, np.cumsum(size)]
-        own = np.repeat(first - self.first[:-1], size) + np.arange(self.first[-1])
-        self.hash = words.hash[own] if len(size) else words.hash[:0]
+        self.place = np.repeat(first - self.first[:-1], size) + np.arange(self.first[-1])  # in all words
+        self.hash = words.hash[self.place] if len(size) else words.hash[:0]
 
     def counts(self):
         return np.diff(self.first)
@@ -97,110 +121,186 @@ class _Lines:
         return len(self.first) - 1
 
 
-def _line_sets(words: Words, least: int):
-    first, end = _lines(words, least)
-    values, at = distinct(*shingles(_Lines(words, first, end)), len(first))
-    nodes = [hashlib.md5(values[a:b].tobytes()).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
-    return first, end, values, at, nodes
-
+def pieces(words: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, end word) of the pieces of the lines of at least ``LONG`` words."""
+    long = end - first >= LONG
+    lines = _Runs(words, first[long], end[long])
+    if not len(lines):
+        return first[:0], end[:0]
+    line, group = lines.text_of(), _groups(lines.hash)
+    least = _slide(np.minimum, group, REACH)
+    at = np.arange(REACH, len(group) - REACH)
+    marked = (group[at] < least[: len(at)]) & (group[at] < least[REACH + 1 :][: len(at)]) & (line[at - REACH] == line[at + REACH + 4])
+    starts = np.unique(np.r_[at[marked], lines.first[:-1]])
+    size = np.diff(np.r_[starts, len(line)])
+    whole = size == lines.counts()[line[starts]]  # is a line already
+    return lines.place[starts][~whole], (lines.place[starts] + size)[~whole]
+
+
+class _Paragraphs:
+    """Lines and pieces: ``first`` and ``end`` word, and the set ``values[at[k]:at[k + 1]]`` of each;
+    ``node``: two 64-bit hashes (n, 2) of the set."""
+
+    def __init__(self, words: Words):
+        first, end = _lines(words, 5)
+        more, ends = pieces(words, first, end)
+        self.first, self.end = np.r_[first, more], np.r_[end, ends]
+        self.values, self.at = distinct(*shingles(_Runs(words, self.first, self.end)), len(self.first))
+        self.node = np.zeros((len(self.first), 2), np.uint64)
+        if len(self.first):
+            with np.errstate(over="ignore"):
+                self.node[:, 0] = mix(np.add.reduceat(mix(self.values), self.at[:-1]))
+                self.node[:, 1] = mix(np.add.reduceat(mix(self.values * _K + np.uint64(1)), self.at[:-1]))
+
+    def once(self) -> np.ndarray:
+        """The first place of each set."""
+        return np.unique(self.node[:, 0], return_index=True)[1]
+
+    def keys(self, rows: np.ndarray) -> np.ndarray:
+        """Band keys (n, BANDS) of some paragraphs."""
+        size = np.diff(self.at)[rows]
+        first = np.r_[0, np.cumsum(size)]
+        own = np.repeat(self.at[:-1][rows] - first[:-1], size) + np.arange(first[-1])
+        return band_keys(sketch(self.values[own], first, BANDS * ROWS), BANDS, ROWS)
+
+
+def _owners(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+
+
+def _all_keys(window: int, spread: int):
+    """Band keys with the paragraphs' sets as owners; sets and windows with documents as owners."""
 
-_UNIT = "doc_id long, first_word int, n_words int, node binary, keys array<long>"
-
-
-def _units(least: int, window: int, spread: int):
     def run(batches):
         for batch in in_parts(batches, _PART):
             words = Words(batch.column("text"), MARKS)
-            own, text = batch.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False), words.text_of()
-            first, end, values, at, nodes = _line_sets(words, least)
-            keys = band_keys(sketch(values, at, BANDS * ROWS), BANDS, ROWS)
-            start, both = windows(words, window, spread)
-            of = np.r_[text[first], text[start]] if len(text) else np.zeros(0, np.int64)
-            place = np.r_[first, start] - words.first[of]
-            size = np.r_[end - first, np.full(len(start), window)]
-            packed = both.astype(">u8").tobytes()
-            both_nodes = [*nodes, *(packed[16 * k : 16 * k + 16] for k in range(len(start)))]
-            lists = list_array(keys.reshape(-1), np.r_[np.arange(len(first) + 1) * BANDS, np.full(len(start), len(first) * BANDS)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own[of]), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(both_nodes, pa.binary()), lists],
-                names=["doc_id", "first_word", "n_words", "node", "keys"],
-            )
+            if not len(words.start):
+                continue
+            doc, text, own = mix(_owners(batch).view(np.uint64)), words.text_of(), _Paragraphs(words)
+            rows = own.once()
+            yield own.keys(rows).reshape(-1), np.repeat(own.node[rows, 0], BANDS)
+            yield own.node[:, 0] ^ _SET, doc[text[own.first]]
+            at, both = windows(words, window, spread)
+            yield both[:, 0] ^ _WINDOW, doc[text[at]]
 
     return run
 
 
-def _elements(near, least: int):
+_HIT = "doc_id long, text_key long, first_word int, n_words int, node binary, buckets array<long>, elements binary"
+
+
+def _hits(near, repeats: Repeats, window: int, spread: int):
+    """The paragraphs and windows with a key that repeats. The first of a set has its repeated band
+    keys and its elements."""
+
     def run(batches):
         for batch in in_parts(batches, _PART):
-            _, _, values, at, nodes = _line_sets(Words(batch.column("text"), MARKS), least)
-            if not nodes:
+            words = Words(batch.column("text"), MARKS)
+            if not len(words.start):
                 continue
-            hit = near.value.has(np.array([int.from_bytes(x[:8], "big") for x in nodes], dtype=np.uint64))
-            own = np.flatnonzero(hit)
+            has = lambda keys: near.value.has(repeats.key_of(keys).view(np.uint64))
+            own, text = _Paragraphs(words), words.text_of()
+            rows = own.once()
+            keys = own.keys(rows)
+            again = has(keys.reshape(-1)).reshape(keys.shape)
+            banded = again.any(axis=1)
+            rows, keys, again = rows[banded], keys[banded], again[banded]
+            hit = has(own.node[:, 0] ^ _SET) | np.isin(own.node[:, 0], own.node[rows, 0])
+            hit = np.setdiff1d(np.flatnonzero(hit), rows)
+            at, both = windows(words, window, spread)
+            shared = has(both[:, 0] ^ _WINDOW)
+            at, both = at[shared], both[shared]
+            first = np.r_[own.first[rows], own.first[hit], at]
+            size = np.r_[(own.end - own.first)[rows], (own.end - own.first)[hit], np.full(len(at), window)]
+            packed = np.concatenate([own.node[rows], own.node[hit], both]).astype(">u8").tobytes()
+            counts = np.r_[0, np.cumsum(again.sum(axis=1)), np.full(len(first) - len(rows), again.sum())]
+            elements = [own.values[own.at[k] : own.at[k + 1]].tobytes() for k in rows] + [None] * (len(first) - len(rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([nodes[k] for k in own], pa.binary()), pa.array([values[at[k] : at[k + 1]].tobytes() for k in own], pa.binary())],
-                names=["node", "elements"],
+                [
+                    pa.array(_owners(batch)[text[first]]),
+                    batch.column("text_key").take(pa.array(text[first])),
+                    pa.array((first - words.first[text[first]]).astype(np.int32)),
+                    pa.array(size.astype(np.int32)),
+                    pa.array([packed[16 * k : 16 * k + 16] for k in range(len(first))], pa.binary()),
+                    list_array(repeats.key_of(keys[again]), counts),
+                    pa.array(elements, pa.binary()),
+                ],
+                names=[x.split()[0] for x in _HIT.split(", ")],
             )
 
     return run
 
 
-def repeated_passages(docs: DataFrame, *, least_words: int = LEAST_WORDS, window: int = WINDOW, spread: int = SPREAD, percent: int = PERCENT) -> DataFrame:
-    """Spans of words that repeat across documents: doc_id, first_word, end_word, kept (whether
-    the span is made of first occurrences), component_id (the smallest doc_id that the span's
-    paragraphs occur in)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    units = cut(own.mapInArrow(_units(least_words, window, spread), _UNIT))
-    lines = units.where(F.size("keys") > 0).groupBy("node").agg(F.any_value("keys").alias("keys"))
-
-    def sets_of(bitmap):
-        near = docs.sparkSession.sparkContext.broadcast(bitmap)  # 4 MB, whatever the input
-        found = own.select("text").mapInArrow(_elements(near, least_words), "node binary, elements binary")
-        return found.groupBy("node").agg(F.any_value("elements").alias("elements"))
-
-    roots = link_classes(lines, sets_of, percent=percent)
-    place = F.struct("doc_id", "first_word")
-    classes = units.groupBy("node").agg(F.min(place).alias("lo"), F.max("doc_id").alias("hi"))
+def _spans(docs: DataFrame, *, least_words: int, window: int, spread: int, percent: int) -> DataFrame:
+    """Spans with the hash of their text, text_key."""
+    spark = docs.sparkSession
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text"))
+    repeats = Repeats(own)
+    keys = cut(repeats.find(own, _all_keys(window, spread)))
+    near = spark.sparkContext.broadcast(build_bitmap(keys, "key", bitmap_bits(keys.count())))  # 128 MB at most
+    drop(keys)
+    free_shuffles(spark)
+    hits = cut(own.mapInArrow(_hits(near, repeats, window, spread), _HIT))
+    members = cut(busy_buckets(cut(hits.select("node", F.explode("buckets").alias("bucket")).distinct())))
+    sets = hits.where("elements IS NOT NULL").select("node", "elements").join(members.select("node").distinct(), "node", "left_semi")
+    roots = link_classes(members, cut(sets.groupBy("node").agg(F.any_value("elements").alias("elements"))), percent=percent, prune_first=False)
+    free_shuffles(spark)
+    places = hits.select("doc_id", "text_key", "first_word", "n_words", "node")
+    place = F.struct("doc_id", "text_key", "first_word")
+    classes = places.groupBy("node").agg(F.min(place).alias("lo"), F.max("doc_id").alias("hi"))
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     met = rooted.groupBy("root").agg(F.min("lo").alias("least"), F.max("hi").alias("hi")).where("least.doc_id < hi").select("root", "least")
-    shared = rooted.join(met, "root").select("node", "least")
-    hits = units.select("doc_id", "first_word", "n_words", "node").join(shared, "node").select(
-        "doc_id", "first_word", (F.col("first_word") + F.col("n_words")).alias("end_word"), (F.col("least") == place).alias("kept"), F.col("least.doc_id").alias("from_id")
+    shared = cut(rooted.join(met, "root").select("node", "least"))
+    found = places.join(shared, "node").select(
+        "doc_id", "text_key", "first_word", (F.col("first_word") + F.col("n_words")).alias("end_word"), (F.col("least") == place).alias("kept"), F.col("least.doc_id").alias("from_id")
     )
-    # Spans of one document, from its paragraphs in order.
-    w = Window.partitionBy("doc_id", "kept").orderBy("first_word", "end_word", "from_id")
+    # Spans of one text, from its paragraphs in order.
+    w = Window.partitionBy("doc_id", "text_key", "kept").orderBy("first_word", "end_word", "from_id")
     reach = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("first_word") <= reach, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    spans = hits.withColumn("island", island).groupBy("doc_id", "kept", "island").agg(
+    spans = found.withColumn("island", island).groupBy("doc_id", "text_key", "kept", "island").agg(
         F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.min("from_id").alias("from_id")
     )
     named = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return spans.select(named("doc_id").alias("doc_id"), "first_word", "end_word", "kept", named("from_id").alias("component_id"))
+    long = spans.where(F.col("end_word") - F.col("first_word") >= least_words)
+    return long.select(named("doc_id").alias("doc_id"), "text_key", "first_word", "end_word", "kept", named("from_id").alias("component_id"))
+
+
+def repeated_passages(docs: DataFrame, *, least_words: int = LEAST_WORDS, window: int = WINDOW, spread: int = SPREAD, percent: int = PERCENT) -> DataFrame:
+    """Spans of words that repeat across documents: doc_id, first_word, end_word, kept (whether
+    the span is made of first occurrences), component_id (the smallest doc_id that the span's
+    paragraphs occur in)."""
+    return _spans(docs, least_words=least_words, window=window, spread=spread, percent=percent).drop("text_key")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+_REMOVED = "_removed_spans_of_words"
+
+
 def _stripped(batches):
     for batch in batches:
         texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column(_REMOVED).to_pylist(), strict=True):
             if text is not None and spans:
                 raw, w = text.encode("utf-8"), Words(pa.array([text]), MARKS)
                 out, at = [], 0
                 for a, b in sorted((s["first_word"], s["end_word"]) for s in spans):
-                    if a < len(w.start):
-                        out.append(raw[at : w.start[a]])
-                        at = int(w.start[b]) if b < len(w.start) else len(raw)
+                    out.append(raw[at : w.start[a]])
+                    at = int(w.start[b]) if b < len(w.start) else len(raw)
                 text = b"".join([*out, raw[at:]]).decode("utf-8")
             texts.append(text)
-        cols = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names if n != "_spans"]
-        yield pa.RecordBatch.from_arrays(cols, names=[n for n in batch.schema.names if n != "_spans"])
+        cols = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names if n != _REMOVED]
+        yield pa.RecordBatch.from_arrays(cols, names=[n for n in batch.schema.names if n != _REMOVED])
 
 
-def strip_repeats(docs: DataFrame, **options) -> DataFrame:
-    """docs without the removals, from each one's first word to the word after its last."""
-    spans = repeated_passages(docs, **options).where(~F.col("kept")).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first_word", "end_word")).alias("_spans"))
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+def strip_repeats(docs: DataFrame, *, least_words: int = LEAST_WORDS, window: int = WINDOW, spread: int = SPREAD, percent: int = PERCENT) -> DataFrame:
+    """docs without the removals, from each one's first word to the word after its last. Rows are
+    told apart by doc_id and text."""
+    spans = _spans(docs, least_words=least_words, window=window, spread=spread, percent=percent).where(~F.col("kept"))
+    removed = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first_word", "end_word")).alias(_REMOVED)).alias("removed")
+    on = F.col("docs.doc_id").cast("long").eqNullSafe(F.col("removed.doc_id")) & (F.xxhash64("docs.text") == F.col("removed.text_key"))
+    joined = docs.alias("docs").join(removed, on, "left").select("docs.*", F.col(f"removed.{_REMOVED}"))
     return joined.mapInArrow(_stripped, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
