@@ -1,16 +1,21 @@
-"""BPE encoding and decoding with tree concatenation of long unsplit text.
+"""BPE encoding and decoding with tree concatenation of long text.
 
 ``encode_documents`` gives, for every whole text, the ids that the tokenizers library gives for
-the given vocabulary file, and ``decode`` gives the text that its decode() gives.
-
-* A text is cut at plain white space, which no token of the vocabulary spans. A word's ids don't
-  depend on its neighbours, so each worker keeps the ids of words it has met (a bounded table).
-* A run of more than ``leaf`` characters without white space is not given to one call. It is
-  normalised and split into pretokens; a pretoken of more than ``leaf`` symbols is cut into halves
-  again and again. The leaves are rows of their own, which Spark deals to all tasks and which are
-  encoded in parallel. Then each join re-encodes a window around it. The window grows until its
-  first and last tokens are tokens of the left and right side; then both sides agree and the
-  concatenation is the encoding of the whole.
+the given vocabulary file, and the text that its decode() gives for them.
+
+* A text of at most ``leaf`` characters is cut at plain white space, which no token of the vocabulary
+  spans, so that a word's ids don't depend on its neighbours. Arrow splits a batch of texts and
+  numbers its different words; only these are looked up in a bounded table of words met before, and
+  the library encodes those it lacks. Ids and decoded words are gathered by number.
+* A longer text is cut into halves, at any place, again and again. The leaves are rows of their own,
+  which Spark deals to all tasks and which are encoded in parallel. Then neighbours are joined two by
+  two: a window around the join, which grows on both sides up to white space, is encoded again, and
+  from there on both sides agree with the whole. A side that has no white space becomes part of the
+  next window.
+* A run of more than ``leaf`` characters without white space has no such place. It is normalised and
+  split into pretokens; a pretoken of more than ``leaf`` symbols is cut into halves of symbols. A
+  window around a join of these grows until its first and last tokens are tokens of the left and
+  right side; then the concatenation is the encoding of the whole.
 
 Defined results: null text counts as empty; an empty text has no ids and decodes to an empty text;
 repeated rows give repeated results; other columns are ignored, whatever their names.
@@ -26,20 +31,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import in_parts, table
 
-LEAF = 4_096
+LEAF = 16_384
 #: Words whose ids a worker keeps; the table is emptied when it is full.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 #: Tokens of a window's edge that must be tokens of that side.
 AGREE = 4
 
-_RESULT = "row_key string, doc_id long, ids binary, decoded string"
 _PLAIN_SPACE = str.maketrans("\n\t\r", "   ")
+_MARKS = ".,;:!?&%#*"
 
 
 class Coder:
@@ -66,18 +72,39 @@ class Coder:
         splits = [s for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"]
         self.pretokens = regex.compile(splits[0]["pattern"]["Regex"])
         self.bytes = _byte_symbols()
-        self.words: dict[str, tuple[bytes, str]] = {}
-
-    def known(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
-        """Ids (little-endian, 4 bytes each) and decoded text of every word."""
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
-        if new:
-            if len(self.words) + len(new) > KEPT_WORDS:
-                self.words.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.words[w] = (pack(e.ids), self.decode(e.ids))
-        return self.words
+        self.words: dict[str, tuple[bytes, bytes]] = {"": (b"", b"")}
+
+    def known(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids (little-endian, 4 bytes each) and decoded text of every word, a space after each token.
+        A-Z are lowered and marks after a letter cut off first: both are encoded alike either way, and
+        fewer words have to be known."""
+        own = [self._core(w) for w in words]
+        new = [w for w in {x for pair in own for x in pair} if w not in self.words]
+        if len(self.words) + len(new) > KEPT_WORDS:
+            self.words = {"": (b"", b"")}
+            new = list({x for pair in own for x in pair})
+        for w, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.words[w] = (pack(e.ids), "".join([self.tokens[i] + " " for i in e.ids]).encode("utf-8"))
+        out = []
+        for core, marks in own:
+            ids, text = self.words[core]
+            if marks:
+                more, after = self.words[marks]
+                ids, text = ids + more, text + after
+            out.append((ids, text))
+        return out
+
+    @staticmethod
+    def _core(word: str) -> tuple[str, str]:
+        if "<" in word:  # may hold the name of a special token
+            return word, ""
+        if word.isascii():
+            word = word.lower()
+        core = word.rstrip(_MARKS)
+        return (core, word[len(core) :]) if core[-1:].isalpha() else (word, "")
+
+    def ids_of(self, words: list[str]) -> bytes:
+        return b"".join([ids for ids, _ in self.known(words)])
 
     def decode(self, ids) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
@@ -127,10 +154,12 @@ class Coder:
                 return a[:i] + window + b[j:]
             width *= 2
 
-    def tree(self, leaves: list[list[str]]) -> list[str]:
-        while len(leaves) > 1:
-            leaves = [self.join(leaves[k], leaves[k + 1]) if k + 1 < len(leaves) else leaves[k] for k in range(0, len(leaves), 2)]
-        return leaves[0] if leaves else []
+
+def tree(leaves: list, join: Callable):
+    """Joins neighbours two by two until one is left."""
+    while len(leaves) > 1:
+        leaves = [join(leaves[k], leaves[k + 1]) if k + 1 < len(leaves) else leaves[k] for k in range(0, len(leaves), 2)]
+    return leaves[0]
 
 
 def _byte_symbols() -> list[str]:
@@ -157,161 +186,182 @@ def coder(path: str) -> Coder:
 def _short(path: str, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         c = coder(path)
-        for batch in in_parts(batches, 1_000):
-            rows = ([], [], [])
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                words = [w for w in (text.as_py() or "").translate(_PLAIN_SPACE).split(" ") if w]
-                known = c.known(words)
-                rows[0].append(doc_id)
-                rows[1].append(b"".join([known[w][0] for w in words]))
-                rows[2].append(" ".join([known[w][1] for w in words if known[w][1]]))
-            yield _out(*rows, digest)
+        for batch in in_parts(batches, 2_000):
+            words = pc.split_pattern(pc.replace_substring_regex(batch.column("text"), r"[\t\n\r]", " "), " ")
+            numbered = words.values.dictionary_encode()
+            known = c.known(numbered.dictionary.to_pylist())
+            ends = words.offsets.to_numpy()
+            ids = _gathered([ids for ids, _ in known], numbered.indices, ends)
+            decoded = _gathered([text for _, text in known], numbered.indices, ends)
+            yield _out(batch.column("doc_id"), ids, [x[:-1] for x in decoded], digest)
 
     return run
 
 
-def _out(doc_ids, ids, decoded, digest: bool) -> pa.RecordBatch:
-    cols = [pa.array(doc_ids, pa.int64())]
+def _gathered(values: list[bytes], numbers: pa.Array, ends: np.ndarray) -> list[memoryview]:
+    """For each text its words' values, one after another."""
+    every = pa.array(values, pa.large_binary()).take(numbers)
+    _, offsets, data = every.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64, count=len(numbers) + 1)[ends].tolist()
+    whole = memoryview(data) if data is not None else memoryview(b"")
+    return [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _out(rows, ids, decoded, digest: bool, first: str = "doc_id") -> pa.RecordBatch:
+    """rows: what tells rows apart; ids and decoded: bytes."""
     if digest:
-        cols += [
+        cols = [
             pa.array([len(x) // 4 for x in ids], pa.int64()),
             pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-            pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in decoded], pa.string()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
         ]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    cols += [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
-    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded"])
+        return pa.RecordBatch.from_arrays([rows, *cols], names=[first, "n_tokens", "ids_sha256", "decoded_sha256"])
+    cols = [pa.array([bytes(x) for x in ids], pa.binary()), pa.array([bytes(x).decode("utf-8") for x in decoded], pa.string())]
+    return pa.RecordBatch.from_arrays([rows, *cols], names=[first, "ids", "decoded"])
 
 
-_DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-_FULL = "doc_id long, ids binary, decoded string"
+_DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+_FULL = "ids binary, decoded string"
 
 
-def _pieces(path: str, leaf: int):
-    """Rows of a long text: stretches of whole words as they are, and the leaves of long runs."""
+def halves(whole, leaf: int):
+    """A text or list of symbols in halves of halves, none longer than leaf."""
+    if len(whole) <= leaf:
+        return [whole]
+    mid = len(whole) // 2
+    return halves(whole[:mid], leaf) + halves(whole[mid:], leaf)
+
+
+_PIECE = "row_key string, piece long, run long, plain boolean, payload string"
 
-    def halves(symbols: list[str]) -> list[list[str]]:
-        if len(symbols) <= leaf:
-            return [symbols]
-        mid = len(symbols) // 2
-        return halves(symbols[:mid]) + halves(symbols[mid:])
+
+def _pieces(path: str, leaf: int):
+    """Rows of a long text: the leaves of stretches of words as they are (plain), and those of the
+    pretokens of long runs, as symbols with spaces between. Leaves of one run make one tree."""
 
     def parts(c: Coder, text: str):
-        """(number of the pretoken or -1, payload): -1 is plain text; else symbols, joined by spaces."""
-        plain: list[str] = []
-        size = token = 0
-        for word in text.translate(_PLAIN_SPACE).split(" "):
-            if not word:
-                continue
-            if len(word) <= leaf:
-                plain.append(word)
-                size += len(word)
-                if size > 8 * leaf:
-                    yield -1, " ".join(plain)
-                    plain, size = [], 0
-                continue
-            if plain:
-                yield -1, " ".join(plain)
-                plain, size = [], 0
-            pattern = "(" + "|".join(map(regex.escape, c.special)) + ")" if c.special else "(?!)()"
-            for k, piece in enumerate(regex.split(pattern, word)):
+        number, at = 0, 0
+        special = "(" + "|".join(map(regex.escape, c.special)) + ")" if c.special else "(?!)()"
+        for found in [*regex.finditer(r"[^ \t\n\r]{%d,}" % (leaf + 1), text), None]:
+            stretch = text[at : found.start() if found else len(text)]
+            for one in halves(stretch, leaf) if stretch else ():
+                yield number, True, one
+            number += 1
+            if found is None:
+                return
+            at = found.end()
+            for k, piece in enumerate(regex.split(special, found[0])):
                 if k % 2:
-                    yield -1, piece
-                elif piece:
-                    for m in c.pretokens.finditer(c.lib.normalizer.normalize_str(piece)):
-                        symbols = c.symbols(m[0])
-                        if not symbols:
-                            continue
+                    yield number, True, piece
+                    number += 1
+                    continue
+                for m in c.pretokens.finditer(c.lib.normalizer.normalize_str(piece)) if piece else ():
+                    symbols = c.symbols(m[0])
+                    if symbols:
                         symbols[-1] += c.suffix
-                        for one in halves(symbols):
-                            yield token, " ".join(one)
-                        token += 1
-        if plain:
-            yield -1, " ".join(plain)
+                        for one in halves(symbols, leaf):
+                            yield number, False, " ".join(one)
+                        number += 1
+
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+
+    def rows(out):
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _PIECE.split(", ")])
 
     def run(batches):
         c = coder(path)
         for batch in batches:
-            for key, doc_id, text in zip(*(batch.column(k).to_pylist() for k in ("row_key", "doc_id", "text")), strict=True):
-                out, held = [], 0
-                for n, (token, payload) in enumerate(parts(c, text)):
-                    out.append((key, doc_id, n, token, payload))
+            out, held = [], 0
+            for key, text in zip(batch.column("row_key").to_pylist(), batch.column("text"), strict=True):
+                for n, (number, plain, payload) in enumerate(parts(c, text.as_py())):
+                    out.append((key, n, number, plain, payload))
                     held += len(payload)
-                    if held > 1 << 20:
-                        yield _piece_batch(out)
+                    if held > 1 << 22:
+                        yield rows(out)
                         out, held = [], 0
-                if out:
-                    yield _piece_batch(out)
+            if out:
+                yield rows(out)
 
     return run
 
 
-_PIECE = "row_key string, doc_id long, piece long, token long, payload string"
-
-
-def _piece_batch(rows) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-    names = ("row_key", "doc_id", "piece", "token", "payload")
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+_LEAF = "row_key string, piece long, run long, plain boolean, spaced boolean, head string, ids binary, tail string"
 
 
 def _leaves(path: str):
-    """Each piece by itself: plain text as ids, a leaf as its merged tokens."""
+    """Each leaf by itself. A plain one: the ids of the words between its first and last white space,
+    and what stands before and after these. Symbols: their merged tokens, as head."""
 
     def run(batches):
         c = coder(path)
         for batch in batches:
-            done = []
-            for token, payload in zip(batch.column("token").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                if token < 0:
-                    words = payload.split(" ")
-                    known = c.known(words)
-                    done.append(b"".join(known[w][0] for w in words))
+            spaced, heads, ids, tails = [], [], [], []
+            for plain, payload in zip(batch.column("plain").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if plain:
+                    head, *words = payload.translate(_PLAIN_SPACE).split(" ")
+                    heads.append(head)
+                    tails.append(words.pop() if words else "")
+                    spaced.append(head != payload)
+                    ids.append(c.ids_of(words))
                 else:
-                    done.append(" ".join(c.merge(payload.split(" "))).encode("utf-8"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in ("row_key", "doc_id", "piece", "token")] + [pa.array(done, pa.binary())],
-                names=["row_key", "doc_id", "piece", "token", "done"],
-            )
+                    heads.append(" ".join(c.merge(payload.split(" "))))
+                    tails.append("")
+                    spaced.append(False)
+                    ids.append(b"")
+            own = [pa.array(spaced, pa.bool_()), pa.array(heads, pa.string()), pa.array(ids, pa.binary()), pa.array(tails, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("row_key", "piece", "run", "plain")), *own], names=[x.split()[0] for x in _LEAF.split(", ")])
 
     return run
 
 
+#: (has white space, text up to it, ids of the words behind it, text after the last white space)
+Stretch = tuple[bool, str, bytes, str]
+
+
+def join_text(c: Coder, a: Stretch, b: Stretch) -> Stretch:
+    """Two encoded neighbours as one: the window between a's last and b's first white space is encoded
+    again; a side without white space goes into the window of the next join."""
+    if not a[0]:
+        return (b[0], a[1] + b[1], b[2], b[3])
+    if not b[0]:
+        return (True, a[1], a[2], a[3] + b[1])
+    return (True, a[1], a[2] + c.ids_of([a[3] + b[1]]) + b[2], b[3])
+
+
 def _concatenate(path: str, digest: bool):
-    """Rows of one document, in order of their pieces: joins the leaves of each pretoken."""
+    """Rows of a text, in order of their pieces: joins the leaves of each run."""
 
     def run(batches):
         c = coder(path)
-        key = doc_id = None
-        ids, leaves, token = [], [], -1
-
-        def flush_token():
-            nonlocal leaves
-            if leaves:
-                ids.append(pack(c.ids[t] for t in c.tree(leaves)))
-                leaves = []
-
-        def flush():
-            flush_token()
+        key, number, plain, leaves, ids = None, None, True, [], []
+
+        def end_run():
+            if leaves and plain:
+                spaced, head, inner, tail = tree(leaves, lambda a, b: join_text(c, a, b))
+                ids.append(c.ids_of([head]) + inner + c.ids_of([tail]))
+            elif leaves:
+                ids.append(pack(c.ids[t] for t in tree([x[1].split(" ") for x in leaves], c.join)))
+            leaves.clear()
+
+        def end_text():
+            end_run()
             packed = b"".join(ids)
-            numbers = memoryview(packed).cast("I") if packed else []
-            return _out([doc_id], [packed], [c.decode(numbers)], digest)
+            ids.clear()
+            return _out(pa.array([key], pa.string()), [packed], [c.decode(np.frombuffer(packed, "<u4").tolist()).encode("utf-8")], digest, "row_key")
 
         for batch in batches:
-            for k, d, t, done in zip(*(batch.column(x).to_pylist() for x in ("row_key", "doc_id", "token", "done")), strict=True):
+            names = ("row_key", "run", "plain", "spaced", "head", "ids", "tail")
+            for k, n, p, *leaf in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
                 if k != key:
                     if key is not None:
-                        yield flush()
-                    key, doc_id, ids, leaves, token = k, d, [], [], -1
-                if t < 0 or t != token:
-                    flush_token()
-                token = t
-                if t < 0:
-                    ids.append(done)
-                else:
-                    leaves.append(done.decode("utf-8").split(" "))
+                        yield end_text()
+                    key, number, plain = k, n, p
+                elif n != number:
+                    end_run()
+                    number, plain = n, p
+                leaves.append(tuple(leaf))
         if key is not None:
-            yield flush()
+            yield end_text()
 
     return run
 
@@ -321,17 +371,17 @@ def encode_documents(docs: DataFrame, path: str, *, leaf: int = LEAF, digest: bo
     with ``digest`` their counts and SHA-256 instead."""
     schema = _DIGEST if digest else _FULL
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    long_run = F.col("text").rlike(r"(?:^|[ \t\n\r])[^ \t\n\r]{%d}" % (leaf + 1))
-    short = own.where(~long_run).mapInArrow(_short(path, digest), schema)
-    # Equal rows get a number each, so that a key names one row and a repeated run gives the same keys.
-    key = F.concat_ws(":", F.sha2("text", 256), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("copy"))
-    once = own.where(long_run).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("times")).withColumn("copy", F.explode(F.expr("sequence(1L, times)"))).withColumn("row_key", key)
-    pieces = once.select("row_key", "doc_id", "text").mapInArrow(_pieces(path, leaf), _PIECE)
+    is_long = F.length("text") > leaf
+    short = own.where(~is_long).mapInArrow(_short(path, digest), f"doc_id long, {schema}")
+    # Equal long texts are encoded once: their key is their hash, and equal pieces meet before they are encoded.
+    long = own.where(is_long).withColumn("row_key", F.sha2("text", 256))
+    pieces = long.select("row_key", "text").mapInArrow(_pieces(path, leaf), _PIECE)
+    once = pieces.groupBy("row_key", "piece").agg(F.any_value(F.struct("run", "plain", "payload")).alias("p")).select("row_key", "piece", "p.*")
+    encoded = once.mapInArrow(_leaves(path), _LEAF)
     parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = pieces.repartition(parallel, "row_key", "piece").mapInArrow(_leaves(path), "row_key string, doc_id long, piece long, token long, done binary")
     joined = encoded.repartition(parallel, "row_key").sortWithinPartitions("row_key", "piece")
-    long = joined.mapInArrow(_concatenate(path, digest), schema)
-    return short.unionByName(long)
+    done = joined.mapInArrow(_concatenate(path, digest), f"row_key string, {schema}")
+    return short.unionByName(long.select("doc_id", "row_key").join(done, "row_key").drop("row_key"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 
@@ -13,8 +14,13 @@ from tessera.llm import bpe
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+@functools.cache
+def library():
+    return Tokenizer.from_file(PATH)
+
+
 def expected(text):
-    lib = Tokenizer.from_file(PATH)
+    lib = library()
     ids = lib.encode(text or "", add_special_tokens=False).ids
     return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
@@ -24,6 +30,7 @@ def texts():
     return [
         None, "", " \n\t ", "Hello, it's A test!! don't", "a b c", "x<|endoftext|>y <|startoftext|>", "İstanbul ΑΣ é ́x",
         "a" * 3000, "".join(r.choice("abcdefghinteros") for _ in range(2500)), "".join(r.choice("ab1é!世") for _ in range(1500)) + " end",
+        "Word, WORD... wörd; É! it's, <|ENDOFTEXT|>, x&&& ÀB%%% don't. I'LL" * 40, "a, b. " * 700 + "\tç\n\n" * 300,
         "w " * 500 + "z" * 777 + "<|endoftext|>" + "q" * 600 + " tail", "ß" * 400 + "'s" * 200, "日本語" * 300, "\x1cab\x1f" * 200,
     ]
 
@@ -46,7 +53,7 @@ def test_join_agrees_with_one_piece():
             n = r.randrange(1, 12)
             leaves.append(c.merge(symbols[k : k + n]))
             k += n
-        assert c.tree(leaves) == c.merge(symbols)
+        assert bpe.tree(leaves, c.join) == c.merge(symbols)
 
 
 def test_whole_table_and_round_trip(spark):
@@ -55,5 +62,23 @@ def test_whole_table_and_round_trip(spark):
     assert got == {r.doc_id: expected(r.text) for r in docs.collect()}
 
 
+def test_long_texts_of_the_table_are_joined(spark):
+    """Halving every text at places that may lie in a word gives the library's ids."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    c, joins = bpe.coder(PATH), 0
+    for d in docs:
+        if len(d.text) > bpe.LEAF:
+            leaves = bpe.halves(d.text, bpe.LEAF)
+            joins += len(leaves) - 1
+            assert "".join(leaves) == d.text and max(map(len, leaves)) <= bpe.LEAF
+    assert joins > 0
+    frame = spark.createDataFrame([(d.doc_id, d.text) for d in docs if len(d.text) > 3000], "doc_id long, text string")
+    for leaf in (999, bpe.LEAF):
+        got = {r.doc_id: tuple(r)[1:] for r in bpe.encode_documents(frame, PATH, leaf=leaf, digest=True).collect()}
+        assert got == {d.doc_id: expected(d.text) for d in docs if len(d.text) > 3000}
+    full = {r.doc_id: r for r in bpe.encode_documents(frame, PATH, leaf=999).collect()}
+    assert all(c.lib.decode(np.frombuffer(r.ids, "<u4").tolist(), skip_special_tokens=False) == r.decoded for r in full.values())
+
+
 def test_empty_table(spark):
     assert bpe.encode_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0

@@ -2,9 +2,9 @@ import pytest
 
 pytest.importorskip("tessera.llm")
 import corpus_pipeline
-from test_bpe import expected
-from test_near_dedup import brute as near_brute
-from test_secrets import ASSIGN
+from .test_bpe import expected
+from .test_near_dedup import brute as near_brute
+from .test_secrets import ASSIGN
 
 SF = "/root/testdata/sf0.001"
 
