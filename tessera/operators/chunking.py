@@ -61,13 +61,19 @@ def units(clauses: DataFrame, size: int = SIZE, overlap: int = OVERLAP, whole: i
     return clauses.select("clause_id", "text", "source").mapInPandas(split, _UNIT)
 
 
+def strides(text: Column, size: int = SIZE, overlap: int = OVERLAP, whole: int = WHOLE) -> tuple[Column, Column]:
+    """Where the fixed windows of a text start (array of int), and how long they are at most."""
+    n, step = F.length(text), size - overlap
+    starts = F.when(n <= whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.lit(1), n - overlap) - 1, F.lit(step)))
+    return starts, F.when(n <= whole, n).otherwise(F.lit(size))
+
+
 def stride_units(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, whole: int = WHOLE) -> DataFrame:
     """Fixed windows by built-in functions alone: doc_id, k, start, end, text."""
-    n, step = F.length("text"), size - overlap
-    starts = F.when(n <= whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.lit(1), n - overlap) - 1, F.lit(step)))
-    s = docs.select("*", F.posexplode(starts).alias("k", "start"))
-    end = F.when(n <= whole, n).otherwise(F.least(n, F.col("start") + size))
-    return s.withColumn("end", end.cast("long")).withColumn("start", F.col("start").cast("long")).withColumn("text", F.expr("substring(text, cast(start + 1 as int), cast(end - start as int))"))
+    starts, width = strides(F.col("text"), size, overlap, whole)
+    s = docs.select("*", F.posexplode(starts).alias("k", "start"), width.alias("width"))
+    end = F.least(F.length("text"), F.col("start") + F.col("width"))
+    return s.withColumn("end", end.cast("long")).withColumn("start", F.col("start").cast("long")).withColumn("text", F.expr("substring(text, cast(start + 1 as int), width)")).drop("width")
 
 
 def window_around(start: Column, end: Column, total: Column, limit: int) -> tuple[Column, Column]:

@@ -3,12 +3,16 @@ fusion of ranked lists, aggregation to parents, ranking metrics."""
 
 from __future__ import annotations
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.tables import stored
 
 K1, B = 1.2, 0.75
 
@@ -19,11 +23,6 @@ def tokenised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, words.alias("words")).withColumn("dl", F.greatest(F.size("words"), F.lit(1)))
 
 
-def postings(words: DataFrame, key: str) -> DataFrame:
-    """term, key, tf, dl."""
-    return words.select(key, "dl", F.explode("words").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-
-
 def corpus_stats(words: DataFrame) -> DataFrame:
     """One row: n, avgdl."""
     return words.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
@@ -33,18 +32,182 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(words: DataFrame, queries: DataFrame, key: str, qid: str, *, k1: float = K1, b: float = B) -> DataFrame:
-    """qid, key, score of every text that shares a word with a query. words and queries:
-    tokenised(). Words that no query has never leave their scan; tf is counted after that."""
-    asked = queries.select(qid, F.explode(F.array_distinct("words")).alias("term"))
-    terms = asked.select("term").distinct()
-    own = words.select(key, "dl", F.explode("words").alias("term")).join(terms, "term", "left_semi")
-    tf = own.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(words)
-    weight = df.crossJoin(F.broadcast(stats)).select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")  # stats is one row
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return tf.join(weight, "term").select(key, "term", part.alias("part")).join(asked, "term").groupBy(qid, key).agg(F.sum("part").alias("score"))
+#: (query, word) pairs that are broadcast at most; with more, postings are joined instead.
+ASKED_PAIRS = 5_000_000
+_CELLS = 1 << 22  # of a score matrix, for memory
+
+
+class Asked:
+    """The words of a set of queries, small enough to be broadcast."""
+
+    def __init__(self, pairs: list[tuple[int, str]]):
+        """pairs: (query id, word), distinct."""
+        self.ids = sorted({q for q, _ in pairs})
+        self.words = sorted({w for _, w in pairs})
+        place, number = {q: k for k, q in enumerate(self.ids)}, {w: k for k, w in enumerate(self.words)}
+        self.query = np.array([place[q] for q, _ in pairs], dtype=np.int32)
+        self.word = np.array([number[w] for _, w in pairs], dtype=np.int32)
+        self.sizes = np.bincount(self.query, minlength=len(self.ids))
+
+
+def asked_pairs(queries: DataFrame, qid: str) -> DataFrame:
+    return queries.select(F.col(qid).cast("long").alias(qid), F.explode(F.array_distinct("words")).alias("term"))
+
+
+def _count_words(asked):
+    """For each text its asked words and how often it has them; the words of a unit are one list."""
+
+    def run(batches):
+        known = pa.array(asked.value.words, pa.string())
+        for batch in batches:
+            units = batch.column("units")
+            lists = units.values
+            first = units.offsets.to_numpy()
+            unit_ends = lists.offsets.to_numpy()
+            number = pc.index_in(lists.values, value_set=known)
+            hit = np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False))
+            unit = np.searchsorted(unit_ends, hit, side="right") - 1
+            code, tf = np.unique(unit * np.int64(max(1, len(known))) + number.drop_null().to_numpy().astype(np.int64), return_counts=True)
+            unit, word = code // max(1, len(known)), code % max(1, len(known))
+            ends = np.searchsorted(unit, first).astype(np.int32)
+            dl = np.maximum(1, np.diff(unit_ends)).astype(np.int32)
+            lists_of = lambda v, e: pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(v.astype(np.int32)))
+            own = np.repeat(np.arange(len(first) - 1), np.diff(first))[unit] if len(unit) else unit
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), lists_of(dl[first[0] : first[-1]], first - first[0]), lists_of(unit - first[own] if len(unit) else unit, ends), lists_of(word, ends), lists_of(tf, ends)],
+                names=["key", "dl", "unit", "word", "tf"],
+            )
+
+    return run
+
+
+def _score(asked, idf: np.ndarray, avgdl: float, k: int, k1: float, b: float, measures: tuple[str, ...]):
+    """The best k texts of each batch for each query and measure, by score, then key."""
+
+    def run(batches):
+        a = asked.value
+        n_queries, n_words = len(a.ids), max(1, len(a.words))
+        ids = np.array(a.ids, dtype=np.int64)
+        order = np.argsort(a.word, kind="stable")
+        by_word, starts = a.query[order], np.searchsorted(a.word[order], np.arange(n_words + 1))
+        for whole in batches:
+            for lo in range(0, len(whole), max(1, min(2_000, _CELLS // max(1, n_queries)))):
+                batch = whole.slice(lo, max(1, min(2_000, _CELLS // max(1, n_queries))))
+                batch = batch.take(pc.sort_indices(batch, sort_keys=[("key", "ascending")]))
+                key = batch.column("key").to_numpy()
+                flat = {c: batch.column(c).flatten().to_numpy() for c in ("dl", "unit", "word", "tf")}
+                per_row = pc.list_value_length(batch.column("word")).to_numpy()
+                units = pc.list_value_length(batch.column("dl")).to_numpy()
+                base = np.r_[0, np.cumsum(units)]
+                row = np.repeat(np.arange(len(key)), per_row)
+                unit = base[:-1][row] + flat["unit"]
+                dl, tf = flat["dl"][unit], flat["tf"]
+                part = idf[flat["word"]] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)) if len(tf) else np.zeros(0)
+                # Every posting goes to the queries that ask its word.
+                counts = np.diff(starts)[flat["word"]]
+                of = np.repeat(np.arange(len(tf)), counts)
+                query = by_word[np.repeat(starts[:-1][flat["word"]] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(len(of))]
+                cell = unit[of].astype(np.int64) * n_queries + query
+                for name in measures:
+                    value = part[of] if name == "bm25" else 1.0 / a.sizes[query]
+                    s = np.bincount(cell, weights=value, minlength=int(base[-1]) * n_queries).reshape(-1, n_queries)
+                    s = np.round(s if name == "bm25" else np.round(s * a.sizes[None, :]) / a.sizes[None, :], 6)
+                    yield from _best(name, key, base, s, ids, k)
+
+    return run
+
+
+def _best(name: str, key: np.ndarray, base: np.ndarray, s: np.ndarray, ids: np.ndarray, k: int):
+    """s: units by queries. Texts are ranked by their best unit."""
+    own = base[:-1]
+    if not len(own) or not s.size:
+        return
+    top = np.maximum.reduceat(s, own, axis=0)
+    met = np.add.reduceat((s > 0).astype(np.int32), own, axis=0)
+    rank = np.argsort(-top, axis=0, kind="stable")[:k]  # rows are in order of their keys
+    q = np.broadcast_to(np.arange(s.shape[1]), rank.shape)
+    good = top[rank, q] > 0
+    r, q = rank[good], q[good]
+    best = np.array([int(s[base[x] : base[x + 1], y].argmax()) for x, y in zip(r, q, strict=True)], dtype=np.int32) if len(s) > len(key) else np.zeros(len(r), np.int32)
+    cols = [pa.array([name] * len(r), pa.string()), pa.array(ids[q]), pa.array(key[r]), pa.array(best), pa.array(top[r, q]), pa.array((met[r, q] - 1).astype(np.int64))]
+    yield pa.RecordBatch.from_arrays(cols, names=["list", "qid", "key", "k", "score", "collapsed"])
+
+
+def ranked(texts: DataFrame, queries: DataFrame, key: str, qid: str, k: int, *, measures: tuple[str, ...] = ("bm25",), k1: float = K1, b: float = B) -> DataFrame:
+    """The best k texts of each query by each measure: list, qid, key, k (the best unit), score,
+    collapsed (how many more units of the text share a word with the query), rank.
+
+    texts: key (long), units (array of arrays of words: a text's chunks, or the whole as one).
+    queries: tokenised(). ``bm25`` scores units; ``coverage`` is the share of a query's words.
+
+    Texts are split into words once. Counts are taken in the row, of asked words only, and kept as a
+    table; the asked words with their weights are broadcast, as there are at most ASKED_PAIRS of
+    them, and of each batch of texts only the best k for each query go on. More pairs than that are
+    asked in groups of queries.
+    """
+    spark = texts.sparkSession
+    pairs = stored(asked_pairs(queries, qid))
+    n_pairs = pairs.count()
+    groups = -(-n_pairs // ASKED_PAIRS) if n_pairs else 1
+    found = None
+    for g in range(groups):
+        mine = pairs if groups == 1 else pairs.where(F.pmod(F.xxhash64(qid), F.lit(groups)) == g)
+        asked = Asked([(r[0], r[1]) for r in mine.toLocalIterator()])  # ASKED_PAIRS at most
+        shared = spark.sparkContext.broadcast(asked)
+        counted = stored(texts.select(F.col(key).cast("long").alias("key"), "units").mapInArrow(_count_words(shared), "key long, dl array<int>, unit array<int>, word array<int>, tf array<int>"))
+        stats = counted.select(F.sum(F.size("dl")).alias("n"), (F.sum(F.aggregate("dl", F.lit(0).cast("long"), lambda x, y: x + y)) / F.sum(F.size("dl"))).alias("avgdl")).first()
+        df = np.zeros(len(asked.words))
+        for r in counted.select(F.explode("word").alias("word")).groupBy("word").count().toLocalIterator():  # asked words at most
+            df[r[0]] = r[1]
+        weight = np.log(1 + ((stats.n or 0) - df + 0.5) / (df + 0.5))
+        scored = counted.mapInArrow(_score(shared, weight, stats.avgdl or 1.0, k, k1, b, measures), f"list string, qid long, key long, k int, score double, collapsed long")
+        found = scored if found is None else found.unionByName(scored)
+    best = F.row_number().over(Window.partitionBy("list", "qid").orderBy(F.desc("score"), "key"))
+    top = stored(found.withColumn("rank", best).where(F.col("rank") <= k))
+    return top.select("list", F.col("qid").alias(qid), F.col("key").alias(key), "k", "score", "collapsed", "rank")
+
+
+#: Characters of all passages that are broadcast at once.
+PASSAGE_CHARS = 1 << 26
+
+
+def _holders(passages):
+    def run(batches):
+        every = passages.value
+        finder = ahocorasick.Automaton()
+        for k, text in enumerate(every):
+            if text:
+                finder.add_word(text, k)
+        empty = [k for k, text in enumerate(every) if not text]
+        if len(finder):
+            finder.make_automaton()
+        for batch in batches:
+            keys, at = [], []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if text is not None:
+                    held = {k for _, k in finder.iter(text)} if len(finder) else set()
+                    keys += [key] * (len(held) + len(empty))
+                    at += [*held, *empty]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at, pa.int32())], names=["key", "passage"])
+
+    return run
+
+
+def holders(texts: DataFrame, passages: DataFrame, key: str, qid: str) -> DataFrame:
+    """qid, key of every text that holds a passage, of any length, as it stands. Texts are read once
+    for each PASSAGE_CHARS characters of different passages, which are looked for all together."""
+    spark = texts.sparkSession
+    own = stored(passages.where(F.col("text").isNotNull()).select(F.col(qid).cast("long").alias(qid), F.col("text")))
+    size = own.agg(F.sum(F.length("text"))).first()[0] or 0
+    groups, found = -(-size // PASSAGE_CHARS) if size else 1, None
+    for g in range(groups):
+        mine = own if groups == 1 else own.where(F.pmod(F.xxhash64("text"), F.lit(groups)) == g)
+        every = [r[0] for r in mine.select("text").distinct().toLocalIterator()]  # about PASSAGE_CHARS characters
+        named = spark.createDataFrame([(k, t) for k, t in enumerate(every)], "passage int, text string").join(mine, "text").select("passage", qid)
+        hits = texts.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(_holders(spark.sparkContext.broadcast(every)), "key long, passage int")
+        part = hits.join(named, "passage").select(qid, F.col("key").alias(key))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def top_k(scored: DataFrame, group: str, order: list, k: int, name: str = "rank") -> DataFrame:
@@ -65,32 +228,28 @@ def winsor_minmax(score: Column, lo: Column, hi: Column) -> Column:
     return F.when(hi <= lo, 0.0).otherwise((F.least(F.greatest(score, lo), hi) - lo) / F.nullif(hi - lo, F.lit(0.0)))
 
 
-def parents(hits: DataFrame, qid: str, parent: str, unit: str) -> DataFrame:
-    """The best unit of each parent, and how many others it stands for."""
-    best = F.max_by(unit, F.struct("score", F.negative(F.col("k"))))
-    return hits.groupBy(qid, parent).agg(best.alias(unit), F.max("score").alias("score"), (F.count(F.lit(1)) - 1).alias("collapsed"))
-
-
 def blocked_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 4096) -> DataFrame:
-    """Inner products of every query with every vector, in pairs of blocks: q, id, score of the best
-    k of each query. Each pair of blocks is one matrix product; only its best k rows leave it."""
-    n = max(1, -(-vectors.count() // block))
-    m = max(1, -(-queries.count() // block))
-    v = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).alias("vb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    q = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias("qb2"), F.explode(F.expr(f"sequence(0L, {n - 1}L)")).alias("vb2"))
+    """Inner products of every query with every vector, in pairs of blocks: q, id, score (rounded to
+    six places), rank of the best k of each query, by score, then id. Each pair of blocks is one
+    matrix product; its best k rows leave it, and all rows that tie with the last of them."""
+    n, m = (F.greatest(F.lit(1).cast("long"), F.ceil(F.count(F.lit(1)) / block)) for _ in range(2))
+    v = vectors.crossJoin(F.broadcast(queries.agg(m.alias("m")))).crossJoin(F.broadcast(vectors.agg(n.alias("n"))))  # one row each
+    v = v.select("id", "v", F.pmod(F.xxhash64("id"), F.col("n")).alias("vb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("qb"))
+    q = queries.crossJoin(F.broadcast(queries.agg(m.alias("m")))).crossJoin(F.broadcast(vectors.agg(n.alias("n"))))
+    q = q.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.pmod(F.xxhash64("id"), F.col("m")).alias("qb2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("vb2"))
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"q": [], "id": [], "score": []})
-        s = np.stack(b["qv"].to_numpy()).astype(np.float64) @ np.stack(a["v"].to_numpy()).astype(np.float64).T
+        s = np.round(np.stack(b["qv"].to_numpy()).astype(np.float64) @ np.stack(a["v"].to_numpy()).astype(np.float64).T, 6)
         s[b["qid"].to_numpy()[:, None] == a["id"].to_numpy()[None, :]] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, : k + 8]
-        r = np.repeat(np.arange(len(b)), top.shape[1])
-        out = pd.DataFrame({"q": b["qid"].to_numpy()[r], "id": a["id"].to_numpy()[top.ravel()], "score": s[r, top.ravel()]})
-        return out[np.isfinite(out["score"])]
+        last = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+        r, c = np.nonzero((s >= last[:, None]) & np.isfinite(s))
+        out = pd.DataFrame({"q": b["qid"].to_numpy()[r], "id": a["id"].to_numpy()[c], "score": s[r, c]})
+        return out.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
 
     pairs = v.groupBy("vb", "qb").cogroup(q.groupBy("vb2", "qb2")).applyInPandas(product, "q long, id long, score double")
-    return top_k(pairs.withColumn("score", F.round("score", 6)), "q", [F.desc("score"), "id"], k)
+    return top_k(pairs, "q", [F.desc("score"), "id"], k)
 
 
 def metrics(ranked: DataFrame, gold: DataFrame, qid: str, key: str, k: int) -> DataFrame:

@@ -23,36 +23,28 @@ cvr AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id OR
 gold AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
 
 
-def _scores(t):
-    words, asked = R.tokenised(t("documents"), "doc_id"), R.tokenised(t("benchmark"), "item_id")
-    return R.bm25(words, asked, "doc_id", "item_id").withColumn("score", F.round("score", 6))
+def _lists(t, k=10, measures=("bm25", "coverage")):
+    """The best k documents of each benchmark passage by BM25 and by the share of its words they have."""
+    texts = t("documents").select("doc_id", F.array(T.tokens(F.coalesce("text", F.lit("")))).alias("units"))
+    return R.ranked(texts, R.tokenised(t("benchmark"), "item_id"), "doc_id", "item_id", k, measures=measures)
+
+
+def _of(lists, name):
+    return lists.where(F.col("list") == name).select("item_id", "doc_id", "score", "rank")
 
 
 def _lexical(t, k=10):
-    return R.top_k(_scores(t), "item_id", [F.desc("score"), "doc_id"], k)
+    return _of(_lists(t, k, ("bm25",)), "bm25")
 
 
-def _coverage(t, k=10):
-    """Share of a question's words that a document has."""
-    asked = R.tokenised(t("benchmark"), "item_id").select("item_id", F.array_distinct("words").alias("words")).withColumn("nq", F.size("words"))
-    asked = asked.select("item_id", "nq", F.explode("words").alias("term"))
-    own = t("documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    share = own.join(asked, "term").groupBy("item_id", "doc_id").agg(F.round(F.count(F.lit(1)) / F.first("nq"), 6).alias("score"))
-    return R.top_k(share, "item_id", [F.desc("score"), "doc_id"], k)
+def _both(t, k=10):
+    lists = _lists(t, k)
+    return _of(lists, "bm25"), _of(lists, "coverage")
 
 
 def _gold(t):
-    """Documents that hold the passage (of six words or more): candidates share its second to fifth
-    word in a row, then the whole is looked for."""
-    names = [f"w{k}" for k in range(4)]
-    words = F.split("text", r"[\n ]+")
-    b = t("benchmark").select("item_id", F.col("text").alias("passage"), words.alias("w")).select("item_id", "passage", *(F.get("w", F.lit(k + 1)).alias(n) for k, n in enumerate(names)))
-    rows = t("documents").select("doc_id", words.alias("w"))
-    shifted = F.arrays_zip("w", *(F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0))) for k in (1, 2, 3)))
-    d = rows.select("doc_id", F.explode(shifted).alias("z")).select("doc_id", *(F.col("z").getField(f).alias(n) for f, n in zip(("w", "1", "2", "3"), names, strict=True)))
-    met = d.join(b.select("item_id", *names), names).select("doc_id", "item_id").distinct()
-    whole = met.join(b.select("item_id", "passage"), "item_id").join(t("documents").select("doc_id", "text"), "doc_id")
-    return whole.where(F.contains("text", "passage")).select("item_id", "doc_id")
+    """Documents that hold the passage."""
+    return R.holders(t("documents").select("doc_id", "text"), t("benchmark").select("item_id", "text"), "doc_id", "item_id")
 
 
 @query("term_stats", f"WITH {BM25} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, st")
@@ -78,31 +70,38 @@ s AS (SELECT *, unnest(CASE WHEN n <= 1200 THEN [0] ELSE range(0, greatest(1, n
 u AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INT) AS k, CASE WHEN n <= 1200 THEN full_text ELSE substr(full_text, start + 1, 700) END AS text FROM s)"""
 
 
-@query("bm25_parent_agg", f"""WITH {_UNITS}, w AS (SELECT doc_id, k, {_TOK} AS words FROM u), qw AS (SELECT DISTINCT item_id, unnest({_TOK}) AS term FROM benchmark),
+_PARENTS = f"""{_UNITS}, w AS (SELECT doc_id, k, {_TOK} AS words FROM u), qw AS (SELECT DISTINCT item_id, unnest({_TOK}) AS term FROM benchmark),
 st AS (SELECT count(*) AS n, avg(greatest(len(words), 1)) AS avgdl FROM w),
 tf AS (SELECT doc_id, k, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, k, greatest(len(words), 1) AS dl, unnest(words) AS term FROM w) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 sc AS (SELECT item_id, doc_id, k, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qw JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2, 3),
 p AS (SELECT item_id, doc_id, max(score) AS score, arg_max(k, (score, -k)) AS k, count(*) - 1 AS collapsed FROM sc GROUP BY 1, 2),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM p)
-SELECT item_id, rank, doc_id, k, score, collapsed FROM r WHERE rank <= 5""")
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM p)"""
+
+
+@query("bm25_parent_agg", f"WITH {_PARENTS} SELECT item_id, rank, doc_id, k, score, collapsed FROM r WHERE rank <= 5")
 def bm25_parent_agg(t, spark):
     """Chunks are searched, their documents are ranked by the best chunk."""
-    u = chunking.stride_units(t("documents").select("doc_id", "text")).withColumn("unit", F.struct("doc_id", "k"))
-    hits = R.bm25(R.tokenised(u, "unit"), R.tokenised(t("benchmark"), "item_id"), "unit", "item_id")
-    hits = hits.select("item_id", "unit.doc_id", "unit.k", F.round("score", 6).alias("score"))
-    best = R.parents(hits.withColumn("unit", F.col("k")), "item_id", "doc_id", "unit").withColumnRenamed("unit", "k")
-    return R.top_k(best, "item_id", [F.desc("score"), "doc_id"], 5).select("item_id", "rank", "doc_id", "k", "score", "collapsed")
+    return _parents(t).select("item_id", "rank", "doc_id", "k", "score", "collapsed")
+
+
+def _parents(t, k=5):
+    starts, width = chunking.strides(F.col("text"))
+    units = F.transform(starts, lambda s: T.tokens(F.substring("text", s + 1, width)))
+    texts = t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", units.alias("units"))
+    return R.ranked(texts, R.tokenised(t("benchmark"), "item_id"), "doc_id", "item_id", k)
 
 
-@query("expand_parent", f"""WITH {BM25} SELECT item_id, rank, doc_id, CASE WHEN length(d.text) <= 1200 THEN 'full' ELSE 'window' END AS kind, CAST(least(length(d.text), 1500) AS BIGINT) AS n_chars, md5(substr(d.text, 1, 1500)) AS digest
-FROM lex JOIN documents d USING (doc_id) WHERE rank <= 5 AND TRUE""".replace("least(length(d.text), 1500)", "CASE WHEN length(d.text) <= 1200 THEN length(d.text) ELSE least(length(d.text), 1500) END"))
+@query("expand_parent", f"""WITH {_PARENTS}, h AS (SELECT r.*, d.text, length(d.text) AS n, CASE WHEN length(d.text) <= 1200 THEN 0 ELSE 600 * k END AS s FROM r JOIN documents d USING (doc_id) WHERE rank <= 5),
+m AS (SELECT *, least(n, s + 700) AS e FROM h), c AS (SELECT *, greatest(0, least(s - (1500 - (e - s)) // 2, n - 1500)) AS lo FROM m)
+SELECT item_id, rank, doc_id, k, CASE WHEN n <= 1200 THEN 'full' ELSE 'window' END AS kind, CAST(CASE WHEN n <= 1200 THEN n ELSE least(1500, n) END AS BIGINT) AS n_chars, md5(CASE WHEN n <= 1200 THEN text ELSE substr(text, CAST(lo + 1 AS BIGINT), 1500) END) AS digest FROM c""")
 def expand_parent(t, spark):
-    """The hit's document: whole if short, else a window from its start."""
-    hits = _lexical(t, 5).join(t("documents").select("doc_id", "text"), "doc_id")
-    n = F.length("text")
-    _, end = chunking.window_around(F.lit(0), F.lit(700), n, 1500)
-    whole = n <= 1200
-    return hits.select("item_id", "rank", "doc_id", F.when(whole, "full").otherwise("window").alias("kind"), F.when(whole, n).otherwise(end).cast("long").alias("n_chars"), F.md5(F.substring("text", 1, 1500)).alias("digest"))
+    """The document of each hit: whole if short, else a window around the chunk that was hit."""
+    hits = _parents(t).join(t("documents").select("doc_id", "text"), "doc_id")
+    n, whole = F.length("text"), F.length("text") <= 1200
+    start = F.when(whole, 0).otherwise(600 * F.col("k"))
+    lo, hi = chunking.window_around(start, F.least(n, start + 700), n, 1500)
+    text = F.when(whole, F.col("text")).otherwise(F.substring("text", lo + 1, hi - lo))
+    return hits.select("item_id", "rank", "doc_id", "k", F.when(whole, "full").otherwise("window").alias("kind"), F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("digest"))
 
 
 @query("dense_topk", """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -134,7 +133,7 @@ def l2_normalise(t, spark):
 @query("rrf_fuse", f"""WITH {BM25}, f AS (SELECT item_id, doc_id, round(sum(f), 9) AS fused, round(sum(score), 6) AS tiebreak FROM (SELECT item_id, doc_id, 1.0 / (60 + rank) AS f, score FROM lex UNION ALL SELECT item_id, doc_id, 1.0 / (60 + rank), score FROM cvr) GROUP BY 1, 2),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY fused DESC, tiebreak DESC, doc_id) AS INT) AS rank FROM f) SELECT item_id, rank, doc_id, round(fused, 6) AS fused FROM r WHERE rank <= 5""")
 def rrf_fuse(t, spark):
-    fused = R.rrf([_lexical(t), _coverage(t)], "item_id", "doc_id", 60)
+    fused = R.rrf(_both(t), "item_id", "doc_id", 60)
     return R.top_k(fused, "item_id", [F.desc("fused"), F.desc("tiebreak"), "doc_id"], 5).select("item_id", "rank", "doc_id", F.round("fused", 6).alias("fused"))
 
 
@@ -159,9 +158,9 @@ def winsor_bounds(t, spark):
 SELECT item_id, doc_id, 0.9 * CASE WHEN hi <= lo THEN 0.0 ELSE (least(greatest(score, lo), hi) - lo) / (hi - lo) END AS f FROM lex, b UNION ALL SELECT item_id, doc_id, 0.1 * (least(greatest(score, -1.0), 1.0) + 1.0) / 2.0 FROM cvr) GROUP BY 1, 2),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY fused DESC, doc_id) AS INT) AS rank FROM f) SELECT item_id, rank, doc_id, fused FROM r WHERE rank <= 5""")
 def convex_fuse(t, spark):
-    lexical = _lexical(t)
+    lexical, coverage = _both(t)
     a = lexical.crossJoin(F.broadcast(_bounds(lexical))).select("item_id", "doc_id", (0.9 * R.winsor_minmax(F.col("score"), F.col("lo"), F.col("hi"))).alias("f"))  # bounds: one row
-    c = _coverage(t).select("item_id", "doc_id", (0.1 * R.winsor_minmax(F.col("score"), F.lit(-1.0), F.lit(1.0))).alias("f"))
+    c = coverage.select("item_id", "doc_id", (0.1 * R.winsor_minmax(F.col("score"), F.lit(-1.0), F.lit(1.0))).alias("f"))
     fused = a.unionByName(c).groupBy("item_id", "doc_id").agg(F.round(F.sum("f"), 6).alias("fused"))
     return R.top_k(fused, "item_id", [F.desc("fused"), "doc_id"], 5).select("item_id", "rank", "doc_id", "fused")
 
@@ -193,7 +192,7 @@ g AS (SELECT item_id, count(*) AS n FROM gold GROUP BY 1), h AS (SELECT k, item_
 SELECT CAST(p.k AS INT) AS k, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, count(*) AS n FROM p CROSS JOIN g LEFT JOIN h ON h.k = p.k AND h.item_id = g.item_id GROUP BY 1""")
 def fusion_sweep(t, spark):
     """All settings in one job: the grid is four rows beside the candidate lists."""
-    lists = _lexical(t).select("item_id", "doc_id", "rank", "score").unionByName(_coverage(t).select("item_id", "doc_id", "rank", "score"))
+    lists = _lists(t).select("item_id", "doc_id", "rank", "score")
     grid = spark.createDataFrame([(k,) for k in (10, 20, 60, 100)], "k int")
     fused = lists.crossJoin(F.broadcast(grid)).groupBy("k", "item_id", "doc_id").agg(F.round(F.sum(1.0 / (F.col("k") + F.col("rank"))), 9).alias("fused"), F.round(F.sum("score"), 6).alias("tb"))
     pos = F.row_number().over(Window.partitionBy("k", "item_id").orderBy(F.desc("fused"), F.desc("tb"), "doc_id"))
@@ -234,7 +233,8 @@ def hard_negatives(t, spark):
 CASE WHEN least(coalesce(l.rank, 99), coalesce(c.rank, 99)) <= 4 THEN 'A' WHEN length(text) > 1200 THEN 'C' ELSE 'B' END AS bucket FROM lex l FULL JOIN cvr c USING (item_id, doc_id) JOIN documents USING (doc_id)""")
 def recall_union(t, spark):
     """Both recall lists as one, with the way each came and its bucket."""
-    a, c = _lexical(t).select("item_id", "doc_id", F.col("rank").alias("bm25_rank")), _coverage(t).select("item_id", "doc_id", F.col("rank").alias("cover_rank"))
+    a, c = _both(t)
+    a, c = a.select("item_id", "doc_id", F.col("rank").alias("bm25_rank")), c.select("item_id", "doc_id", F.col("rank").alias("cover_rank"))
     both = a.join(c, ["item_id", "doc_id"], "full").join(t("documents").select("doc_id", F.length("text").alias("n")), "doc_id")
     best = F.least(F.coalesce("bm25_rank", F.lit(99)), F.coalesce("cover_rank", F.lit(99)))
     via = F.when(F.col("bm25_rank").isNull(), "cover").when(F.col("cover_rank").isNull(), "bm25").otherwise("both")

@@ -3,17 +3,10 @@ without duplicates."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir; a local one only if unset)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tessera-")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+from .tables import scratch
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, *, tolerant: bool = False) -> DataFrame:
