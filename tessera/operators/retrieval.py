@@ -90,7 +90,7 @@ def _score(asked, idf: np.ndarray, avgdl: float, k: int, k1: float, b: float, me
         ids = np.array(a.ids, dtype=np.int64)
         order = np.argsort(a.word, kind="stable")
         by_word, starts = a.query[order], np.searchsorted(a.word[order], np.arange(n_words + 1))
-        for whole in batches:
+        for whole in batches if n_queries else ():
             for lo in range(0, len(whole), max(1, min(2_000, _CELLS // max(1, n_queries)))):
                 batch = whole.slice(lo, max(1, min(2_000, _CELLS // max(1, n_queries))))
                 batch = batch.take(pc.sort_indices(batch, sort_keys=[("key", "ascending")]))

@@ -30,7 +30,7 @@ def test_ranked_in_groups_equals_ranked_at_once(spark, monkeypatch):
     texts = docs.select("doc_id", F.array(retrieval.tokens(F.col("text"))).alias("units"))
     asked = retrieval.tokenised(spark.read.parquet(f"{SF}/benchmark.parquet"), "item_id")
     once = sorted(map(tuple, retrieval.ranked(texts, asked, "doc_id", "item_id", 3).collect()))
-    monkeypatch.setattr(retrieval, "ASKED_PAIRS", 100)
+    monkeypatch.setattr(retrieval, "ASKED_PAIRS", 5_000)
     assert once and sorted(map(tuple, retrieval.ranked(texts, asked, "doc_id", "item_id", 3).collect())) == once
     assert retrieval.ranked(texts, asked.where("item_id < 0"), "doc_id", "item_id", 3).count() == 0
 
