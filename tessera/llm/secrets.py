@@ -19,6 +19,7 @@ a weak part that overlaps a strong part is left out; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -63,28 +64,27 @@ def parts(text: str) -> list[tuple[str, int, int, int]]:
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
-    taken = [(s, e) for _, s, e in found]
     weak = [("token", m.start(), m.end()) for m in _TOKEN.finditer(text) if _mixed(m[0])]
     if "://" in text or "host" in low or "endpoint" in low or "server" in low:
         weak += [("endpoint", m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
     if any(k in low for k in _IDENT_WORDS):
         weak += [("ident", m.start(), m.end()) for m in _IDENT.finditer(text)]
     if weak:
-        covered = sorted(taken)
-        for kind, s, e in sorted(weak, key=lambda w: (KINDS.index(w[0]) != 5, w[1])):  # an address before the tokens in it
-            if all(e <= a or b <= s for a, b in covered):
-                found.append((kind, s, e))
+        covered: list[tuple[int, int]] = []  # apart, in order
+        for s, e in sorted((s, e) for _, s, e in found):
+            if covered and s < covered[-1][1]:
+                covered[-1] = (covered[-1][0], max(e, covered[-1][1]))
+            else:
                 covered.append((s, e))
+        for kind, s, e in sorted(weak, key=lambda w: (w[0] != "endpoint", w[1])):  # an address before the tokens in it
+            at = bisect.bisect_left(covered, (s, e))
+            if (at == 0 or covered[at - 1][1] <= s) and (at == len(covered) or e <= covered[at][0]):
+                found.append((kind, s, e))
+                covered.insert(at, (s, e))
     if not found:
         return []
     blanks = [m.start() for m in _BLANK.finditer(text)]
-    return [(k, s, e, sum(b < s for b in blanks) if len(blanks) < 50 else _count_before(blanks, s)) for k, s, e in found]
-
-
-def _count_before(blanks: list[int], at: int) -> int:
-    import bisect
-
-    return bisect.bisect_left(blanks, at)
+    return [(k, s, e, bisect.bisect_left(blanks, s)) for k, s, e in found]
 
 
 _PART = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("scope", pa.int64())])
@@ -150,11 +150,14 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(link_secrets(table(spark, sf_dir, "documents")))
 
 
+_FOUND = "_spans_of_secrets"
+
+
 def _masked(batches):
     for batch in in_parts(batches, 1_000):
         names = batch.schema.names
         texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column(_FOUND).to_pylist(), strict=True):
             if spans:
                 out, at = [], 0
                 for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
@@ -163,19 +166,18 @@ def _masked(batches):
                         at = s["end"]
                 text = "".join([*out, text[at:]])
             texts.append(text)
-        keep = [n for n in names if n not in ("text", "_spans", "n_chars")]
+        keep = [n for n in names if n not in ("text", _FOUND, "n_chars")]
         cols = {n: batch.column(n) for n in keep} | {"text": pa.array(texts, pa.string())}
         if "n_chars" in names:
             cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-        order = [n for n in names if n != "_spans"]
+        order = [n for n in names if n != _FOUND]
         yield pa.RecordBatch.from_arrays([cols[n] for n in order], names=order)
 
 
 def redact(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """docs with a mark of its kind in place of each reported span, and n_chars to match."""
     spans = link_secrets(docs, window=window).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("_key"))
-    joined = docs.join(spans, on, "left").drop("_id", "_key")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.select(*docs.columns, "_spans").mapInArrow(_masked, schema)
+    found = spans.withColumnRenamed("spans", _FOUND).alias("found")
+    on = F.col("docs.doc_id").cast("long").eqNullSafe(F.col("found.doc_id")) & (F.md5(F.coalesce("docs.text", F.lit(""))) == F.col("found.text_key"))
+    joined = docs.alias("docs").join(found, on, "left").select("docs.*", f"found.{_FOUND}")
+    return joined.mapInArrow(_masked, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
