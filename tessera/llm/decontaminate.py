@@ -139,24 +139,31 @@ def _dense(run: np.ndarray, stretch: int) -> np.ndarray:
     return run[np.cumsum(depth)[:n] > 0]
 
 
+_CHECK = "text_key binary, item_key binary, matched long, item_length long, first_word long, end_word long"
+
+
 def _check(coverage: float):
+    """Rows in order of texts: a text's words first, then each item that it met, with the diagonals.
+    No more than one text and one item are held at a time."""
+    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+
     def run(batches):
+        key, doc = None, np.zeros(0, np.uint64)
         for batch in batches:
             rows = []
-            for key, words, hits in zip(batch.column("text_key").to_pylist(), batch.column("words"), batch.column("hits").to_pylist(), strict=True):
-                doc = np.frombuffer(words.as_buffer(), dtype=np.uint64)
-                found: dict[bytes, tuple] = {}
-                for hit in hits:
-                    item = np.frombuffer(hit["item_words"], dtype=np.uint64)
-                    places = overlap(doc, item, hit["shift"])
-                    if len(places):
-                        at = found.setdefault(hit["item_key"], (set(), [], len(item)))
-                        at[0].update(places.tolist())
-                        at[1].extend((int(places[0]) + hit["shift"], int(places[-1]) + hit["shift"]))
-                rows += [(key, k, len(p), n, min(w), max(w) + 1) for k, (p, w, n) in found.items() if len(p) >= coverage * n]
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            for text, item_key, words, shifts in zip(batch.column("text_key").to_pylist(), batch.column("item_key").to_pylist(), batch.column("words"), batch.column("shifts").to_pylist(), strict=True):
+                own = np.frombuffer(words.as_py(), dtype=np.uint64)
+                if item_key is None:
+                    key, doc = text, own
+                    continue
+                if text != key:
+                    raise ValueError("a text's words don't come first")
+                found = [(p, s) for s in shifts if len(p := overlap(doc, own, s))]
+                places = np.unique(np.concatenate([p for p, _ in found])) if found else ()
+                if found and len(places) >= coverage * len(own):
+                    rows.append((text, item_key, len(places), len(own), min(int(p[0]) + s for p, s in found), max(int(p[-1]) + s for p, s in found) + 1))
             cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["text_key", "item_key", "matched", "item_length", "first_word", "end_word"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _CHECK.split(", ")])
 
     return run
 
@@ -176,10 +183,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COV
     texts = cut(texts)
     each = texts.select("text_key", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select("text_key", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))
     shifts = each.join(item_seeds, "seed").select("text_key", "item_key", (F.col("place") - F.col("item_at")).cast("int").alias("shift")).distinct()
-    one_item = words.select("item_key", "item_words").distinct()
-    grouped = shifts.join(one_item, "item_key").groupBy("text_key").agg(F.collect_list(F.struct("item_key", "shift", "item_words")).alias("hits"))
-    schema = "text_key binary, item_key binary, matched long, item_length long, first_word long, end_word long"
-    found = texts.select("text_key", "words").join(grouped, "text_key").mapInArrow(_check(coverage), schema)
+    met = shifts.groupBy("text_key", "item_key").agg(F.collect_list("shift").alias("shifts"))  # not more than the words of both
+    asked = met.join(words.select("item_key", F.col("item_words").alias("words")).distinct(), "item_key").select("text_key", "item_key", "words", "shifts")
+    held = texts.select("text_key", F.lit(None).cast("binary").alias("item_key"), "words", F.lit(None).cast("array<int>").alias("shifts")).join(met.select("text_key").distinct(), "text_key", "left_semi")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = asked.unionByName(held).repartition(n, "text_key").sortWithinPartitions("text_key", F.col("item_key").asc_nulls_first())
+    found = dealt.mapInArrow(_check(coverage), _CHECK)
     named = found.join(words.select("item_id", "item_key"), "item_key")
     return named.join(hits.select("doc_id", "text_key").distinct(), "text_key").select(
         "doc_id", "item_id", "matched", F.col("item_length").alias("item_words"), (F.col("matched") / F.col("item_length")).alias("coverage"), "first_word", "end_word"
@@ -192,5 +201,5 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_only(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones, by their text: other rows of the same doc_id stay."""
-    dirty = contaminated(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, F.xxhash64("text") == F.col("_dirty"), "left_anti")
+    dirty = contaminated(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("text_key")).distinct().alias("dirty")
+    return docs.alias("docs").join(dirty, F.xxhash64("docs.text") == F.col("dirty.text_key"), "left_anti")
