@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut, table
 
-SHARD_BYTES = 8 << 20
+#: Bytes of text in a shard at most: about what a reader shuffles or packs at once.
+SHARD_BYTES = 64 << 10
 STEP = 12
 _BITS = 60
 
