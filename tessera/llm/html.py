@@ -6,8 +6,9 @@ tags in links below it. Its composite density is
     C / T * log_b(C / LC * T / LT),  b = ln(C / nLC * LC + LCbody / Cbody * C + e),  nLC = C - LC
 
 with 1 in place of zeros: characters for each tag, lowered where links hold them. The node with
-the largest sum of its children's densities holds the main text. The smallest density on its path
-to the body is the threshold: siblings on that path that reach it are main text as well. Parts that
+the largest sum of its block children's densities holds the main text. The smallest density on its path
+to the body is the threshold: siblings on that path that reach it are main text as well, and so are
+headings there that stand before it. Parts that
 a page marks as menus, headers, footers, asides, forms, adverts, notices or comments never count. A
 class or id marks an element only by a name's first or last word, and not where it says that there
 is or isn't such a part (has-sidebar, ad-free); never an article, nor an element with most of the
@@ -43,6 +44,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split()
 )
+HEADINGS = frozenset(f"h{k}" for k in range(1, 7)) | {"hgroup"}
 #: A start tag in the value's set closes an open element of that name.
 _P_CLOSERS = BLOCKS - frozenset("body caption dd dt head html legend li option optgroup tbody tfoot thead tr".split())
 CLOSED_BY = {"p": _P_CLOSERS | {"li", "dd", "dt"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": {"body"}} | {f"h{k}": {f"h{j}" for j in range(1, 7)} for k in range(1, 7)}
@@ -197,14 +199,15 @@ class Page:
                 link_chars[p] += lc
                 tags[p] += tags[k] + 1
                 link_tags[p] += link_tags[k] + (self.tag[k] == "a")
-                total[p] += density[k]
+                if self.tag[k] in BLOCKS or self.tag[k] in ("td", "th"):  # text in line belongs to its block
+                    total[p] += density[k]
         return density, total
 
     def main(self) -> tuple[set[int], float]:
         """The roots of the main text's subtrees, and the threshold."""
         density, total = self.densities()
         kept = [k for k in range(len(self.tag)) if not self.out[k]]
-        if not any(density[k] for k in kept):
+        if not any(total[k] for k in kept):
             return {0}, 0.0
         best = max(kept, key=lambda k: (total[k], density[k], -k))
         body = self.tag.index("body") if "body" in self.tag else 0
@@ -212,12 +215,9 @@ class Page:
         while path[-1] not in (body, 0):
             path.append(self.parent[path[-1]])
         threshold = min(density[k] for k in path)
-        for k in path:  # the whole article, where the page marks one
-            if self.tag[k] in ("article", "main"):
-                return {k}, threshold
-        on_path, roots = set(path[1:]), {best}
+        above, roots = set(path[1:]), {best}
         for k in kept:
-            if k not in path and self.parent[k] in on_path and density[k] >= threshold and self.tag[k] in BLOCKS:
+            if k not in path and self.parent[k] in above and self.tag[k] in BLOCKS and (density[k] >= threshold or (k < best and self.tag[k] in HEADINGS)):
                 roots.add(k)
         return roots, threshold
 

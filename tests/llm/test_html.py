@@ -24,6 +24,12 @@ def test_whole_table(spark):
         assert r.n_chars == len(r.text) and r.url == rows[r.page_id].url
 
 
+def test_density_finds_the_same_without_the_tag(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        plain = r.html.replace("<article>", "<div class='content has-sidebar'>").replace("</article>", "</div>")
+        assert Page(plain).text() == expected(r.html), r.html
+
+
 LONG = "This is a sentence of the main story, and it goes on for quite a while. " * 4
 
 
