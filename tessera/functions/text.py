@@ -67,3 +67,23 @@ def chinese_number(text: Column) -> Column:
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     value = F.aggregate(chars, zero, step, lambda acc: acc["total"] + acc["digit"])
     return F.when(text.rlike("^[零一二三四五六七八九十百千]+$"), value)
+
+
+def pretty_code(no: Column) -> Column:
+    """A standard's number as it is printed: JGJ-T46-2024 is JGJ/T 46-2024, GB55034-2022 is GB 55034-2022."""
+    rest = lambda n: F.regexp_replace(F.substring(no, n + 1, 1000), "^-+", "")
+    plain = F.regexp_replace(no, r"^([A-Za-z]+)([0-9].*)$", "$1 $2")
+    return F.when(no.startswith("JGJ-T"), F.concat(F.lit("JGJ/T "), rest(5))).when(no.startswith("DG-TJ"), F.concat(F.lit("DG/TJ "), rest(5))).otherwise(plain)
+
+
+def code_numbers(code: Column) -> Column:
+    """All numbers of a code, in order."""
+    return F.transform(F.regexp_extract_all(code, F.lit("([0-9]+)"), F.lit(1)), lambda x: x.cast("int"))
+
+
+def loose_json(raw: Column) -> Column:
+    """A JSON value in a text, as a variant: a fenced block, else the whole, else from the first brace
+    to the last; null if none can be read."""
+    fenced = F.nullif(F.regexp_extract(raw, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
+    braces = F.nullif(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), F.lit(""))
+    return F.coalesce(F.try_parse_json(fenced), F.try_parse_json(raw), F.try_parse_json(braces))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 
 def hash_number(value: Column) -> Column:
     """The first 32 bits of the MD5 of a text."""
@@ -57,3 +59,13 @@ def bootstrap_mean(rows: DataFrame, key: str, value: str, draws: int = 500) -> D
     drawn = rows.select(key, value).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
     means = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
     return means.agg(F.round(F.percentile("m", 0.025), 6).alias("lo"), F.round(F.percentile("m", 0.975), 6).alias("hi"), F.round(F.avg("m"), 6).alias("mean"))
+
+
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows with i, their places in the order of a column. Each partition of a range partitioning
+    numbers its own rows; only the partitions' counts meet."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(rows.repartitionByRange(n, order).sortWithinPartitions(order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id() % (1 << 33)}))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").withColumn("i", F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")

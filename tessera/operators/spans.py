@@ -100,3 +100,23 @@ def relaxed_counts(spans: DataFrame, group: str) -> DataFrame:
         return [(*key, tp, n - tp, len(gold) - tp)]
 
     return in_groups(spans, [group], ["s", "e", "type", "who"], each, f"{group} long, tp long, fp long, fn long")
+
+
+def allocate(docs: DataFrame, fragments: list[str]) -> DataFrame:
+    """doc_id, places (array of int): for each fragment the first place (0-based) that touches none of
+    an earlier one's, or -1."""
+
+    def places(text: str) -> list[int]:
+        used: list[tuple[int, int]] = []
+        for fragment in fragments:
+            at = text.find(fragment)
+            while at >= 0 and any(at < e and s < at + len(fragment) for s, e in used):
+                at = text.find(fragment, at + 1)
+            used.append((at, at + len(fragment)) if at >= 0 else (-1, -1))
+        return [s for s, _ in used]
+
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "places": [places(x or "") for x in frame["text"]]})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, places array<int>")
