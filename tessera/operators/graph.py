@@ -37,7 +37,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def interleave(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
-    """Two ranked lists (key, rank) as one: what is in both comes first, then the lists take turns."""
+    """Two ranked lists (key, rank) as one: source (both, graph for the first, vector for the second)
+    and best, the rank in the first list that has the key."""
     j = first.withColumnRenamed("rank", "ra").join(second.withColumnRenamed("rank", "rb"), key, "full")
     source = F.when(F.col("ra").isNotNull() & F.col("rb").isNotNull(), "both").when(F.col("ra").isNotNull(), "graph").otherwise("vector")
-    return j.select(key, source.alias("source"), F.least(F.coalesce("ra", "rb"), F.coalesce("rb", "ra")).alias("best"))
+    return j.select(key, source.alias("source"), F.coalesce("ra", "rb").alias("best"))

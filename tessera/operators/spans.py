@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,17 +16,24 @@ def overlaps(s1: str, e1: str, s2: str, e2: str) -> Column:
 
 
 def tag(docs: DataFrame, lexicon: list[tuple[str, str, int]], patterns: list[tuple[str, str]]) -> DataFrame:
-    """doc_id, type, start, end, term: patterns first, then the longest terms; what is taken stays taken."""
+    """doc_id, type, start, end, term: patterns first, then the longest terms; what is taken stays taken.
+    All terms are looked for in one pass over a text."""
     kinds = [(name, re.compile(p)) for name, p in patterns]
-    terms = sorted(lexicon, key=lambda x: (-len(x[0]), x[2], x[0]))
+    rank = {term: (k, kind) for k, (term, kind, _) in reversed([*enumerate(sorted(lexicon, key=lambda x: (-len(x[0]), x[2], x[0])))])}
 
     def run(frames):
+        finder = ahocorasick.Automaton()
+        for term, (k, kind) in rank.items():
+            finder.add_word(term, (k, kind, len(term)))
+        if len(finder):
+            finder.make_automaton()
         for frame in frames:
             rows = []
             for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                taken = bytearray(len(text or ""))
-                found = [(name, m.start(), m.end()) for name, p in kinds for m in p.finditer(text or "")]
-                found += [(kind, m.start(), m.end()) for term, kind, _ in terms for m in re.finditer(re.escape(term), text or "")]
+                text, taken = text or "", bytearray(len(text or ""))
+                found = [(name, m.start(), m.end()) for name, p in kinds for m in p.finditer(text)]
+                met = [(k, end + 1 - n, end + 1, kind) for end, (k, kind, n) in finder.iter(text)] if len(finder) else []
+                found += [(kind, s, e) for _, s, e, kind in sorted(met)]
                 for kind, s, e in found:
                     if not any(taken[s:e]):
                         taken[s:e] = b"\1" * (e - s)
@@ -34,72 +43,114 @@ def tag(docs: DataFrame, lexicon: list[tuple[str, str, int]], patterns: list[tup
     return docs.mapInPandas(run, "doc_id long, type string, start int, end int, term string")
 
 
-def sanitize(spans: DataFrame, group: str, limit: int) -> DataFrame:
-    """Clamps to [0, limit], drops empty spans, and keeps a span if it starts at or after the last
-    kept one's end; order: start, then the longest."""
-    clamped = spans.select(group, F.greatest("s", F.lit(0)).alias("s"), F.least("e", F.lit(limit)).alias("e"), "id", "p").where("s < e")
-    every = F.array_sort(F.collect_list(F.struct("s", F.negative("e").alias("n"), "id", "p")))
-    empty = F.struct(F.lit(-1).alias("last"), F.array().cast("array<struct<s:int,n:int,id:int,p:bigint>>").alias("kept"))
-    fold = F.aggregate("every", empty, lambda a, x: F.when(x["s"] >= a["last"], F.struct((-x["n"]).alias("last"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a), lambda a: a["kept"])
-    return clamped.groupBy(group).agg(every.alias("every")).select(group, F.explode(fold).alias("x")).select(group, F.col("x.id").alias("id"), F.col("x.p").alias("p"), F.col("x.s").alias("s"), F.negative("x.n").alias("e"))
+class Scan:
+    """What one key's rows do, one at a time, in order: take() gives rows for each, end() those for the
+    last. Only what a subclass keeps is held, not the key's rows."""
 
+    def __init__(self, key: tuple):
+        self.key = key
 
-def in_groups(rows: DataFrame, keys: list[str], columns: list[str], each, schema: str) -> DataFrame:
-    """each(key, rows) gives the output rows of one group; groups meet in one task, in key order, and
-    stream through it, so that many small groups cost no frame each."""
+    def take(self, *row) -> list[tuple]:
+        raise NotImplementedError
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+def in_order(rows: DataFrame, keys: list[str], columns: list[str], scan: type[Scan], schema: str) -> DataFrame:
+    """The rows of all scans. Keys stream through tasks in order, so that many small ones cost no
+    frame each, and a large one no memory."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(frames):
-        held_key, held, out = None, [], []
+        now, out = None, []
         for frame in frames:
             for row in zip(*(frame[c] for c in (*keys, *columns)), strict=True):
-                key = row[: len(keys)]
-                if key != held_key:
-                    if held:
-                        out += each(held_key, held)
-                    held_key, held = key, []
-                held.append(row[len(keys) :])
+                if now is None or row[: len(keys)] != now.key:
+                    out += now.end() if now else []
+                    now = scan(row[: len(keys)])
+                out += now.take(*row[len(keys) :])
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
-        if held:
-            out += each(held_key, held)
+        out += now.end() if now else []
         yield pd.DataFrame(out, columns=names)
 
     return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *columns).mapInPandas(run, schema)
 
 
+def sanitize(spans: DataFrame, group: str, limit: int, types: list[str] | None = None) -> DataFrame:
+    """Clamps to [0, limit], drops empty spans and other types than the given ones, and keeps a span if
+    it starts at or after the last kept one's end; order: start, then the longest."""
+
+    class Apart(Scan):
+        last = -1
+
+        def take(self, s, n, i, p):
+            if s < self.last:
+                return []
+            self.last = -n
+            return [(*self.key, i, p, s, -n)]
+
+    known = spans if types is None else spans.where(F.col("type").isin(*types))
+    clamped = known.select(group, F.greatest("s", F.lit(0)).alias("s"), F.negative(F.least("e", F.lit(limit))).alias("n"), "id", "p").where("s < -n")
+    return in_order(clamped, [group], ["s", "n", "id", "p"], Apart, f"{group} long, id int, p long, s int, e int")
+
+
 def vote(spans: DataFrame, group: str) -> DataFrame:
     """Votes of experts: spans of one type that overlap the first one not yet used (by start, end);
-    the longest stands for its group."""
+    the longest stands for its group. In this order a group is a run, which ends where one starts at
+    or behind its first one's end."""
+
+    class Votes(Scan):
+        seed = None
+
+        def take(self, s, e):
+            if self.seed is not None and s < self.seed:
+                self.n += 1
+                self.best = max(self.best, (s, e), key=lambda x: x[1] - x[0])
+                return []
+            out = self.end()
+            self.seed, self.best, self.n = e, (s, e), 1
+            return out
 
-    def each(key, left):
-        out = []
-        while left:
-            s0, e0 = left[0]
-            near = [x for x in left if x[0] < e0 and s0 < x[1]] or [left[0]]
-            left = [x for x in left[1:] if not (x[0] < e0 and s0 < x[1])]
-            best = max(near, key=lambda x: x[1] - x[0])
-            out.append((*key, best[0], best[1], len(near)))
-        return out
+        def end(self):
+            return [] if self.seed is None else [(*self.key, *self.best, self.n)]
 
-    return in_groups(spans, [group, "type"], ["s", "e"], each, f"{group} long, type string, s int, e int, n_votes long")
+    return in_order(spans, [group, "type"], ["s", "e"], Votes, f"{group} long, type string, s int, e int, n_votes long")
 
 
 def relaxed_counts(spans: DataFrame, group: str) -> DataFrame:
-    """tp, fp, fn of each group: gold spans in order take the first free model span of their type that overlaps."""
-
-    def each(key, rows):
-        gold, free = [r for r in rows if r[3] == "gold"], [r for r in rows if r[3] != "gold"]
-        tp, n = 0, len(free)
-        for s, e, kind, _ in gold:
-            k = next((k for k, m in enumerate(free) if m[2] == kind and m[0] < e and s < m[1]), None)
-            if k is not None:
-                tp += 1
-                del free[k]
-        return [(*key, tp, n - tp, len(gold) - tp)]
-
-    return in_groups(spans, [group], ["s", "e", "type", "who"], each, f"{group} long, tp long, fp long, fn long")
+    """tp, fp, fn of each group: gold spans in order take the first free model span of their type that
+    overlaps. Model spans wait no longer than a gold span may meet them."""
+
+    class Matches(Scan):
+        def __init__(self, key):
+            super().__init__(key)
+            self.gold, self.free, self.counts = deque(), [], [0, 0, 0]
+
+        def settle(self, upto):
+            while self.gold and (upto is None or self.gold[0][1] <= upto):
+                s, e = self.gold.popleft()
+                past = [m for m in self.free if m[1] <= s]
+                self.counts[1] += len(past)
+                self.free = [m for m in self.free if m[1] > s]
+                k = next((k for k, m in enumerate(self.free) if m[0] < e), None)
+                self.counts[2 if k is None else 0] += 1
+                if k is not None:
+                    del self.free[k]
+
+        def take(self, s, e, who):
+            self.settle(s)
+            (self.gold if who == "gold" else self.free).append((s, e))
+            return []
+
+        def end(self):
+            self.settle(None)
+            return [(self.key[0], self.counts[0], self.counts[1] + len(self.free), self.counts[2])]
+
+    each = in_order(spans, [group, "type"], ["s", "e", "who"], Matches, f"{group} long, tp long, fp long, fn long")
+    return each.groupBy(group).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
 
 
 def allocate(docs: DataFrame, fragments: list[str]) -> DataFrame:

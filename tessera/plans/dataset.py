@@ -39,21 +39,21 @@ def dedup_first(t, spark):
 SELECT doc_id, quality, toxic FROM r WHERE rn <= CASE WHEN toxic = 1 THEN 30 WHEN quality = 1 THEN 40 ELSE 20 END""")
 def stratified_quota(t, spark):
     quota = F.when(F.col("toxic") == 1, 30).when(F.col("quality") == 1, 40).otherwise(20)
-    return S.quota(t("labels"), ["quality", "toxic"], "doc_id", quota, seed="7").select("doc_id", "quality", "toxic")
+    return S.quota(t("labels"), ["quality", "toxic"], "doc_id", quota, seed="7", most=40).select("doc_id", "quality", "toxic")
 
 
 @query("round_robin", """WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents), z AS (SELECT source, row_number() OVER (ORDER BY count(*) DESC, source) AS sr FROM documents GROUP BY 1)
 SELECT doc_id, source, CAST(rn AS INT) AS rn, CAST(sr AS INT) AS sr FROM r JOIN z USING (source) ORDER BY rn, sr LIMIT 110""")
 def round_robin(t, spark):
     """The first of each source, then the second of each; larger sources first."""
-    rows = S.round_robin(t("documents").select("doc_id", "source", "n_chars"), "source", [F.desc("n_chars"), "doc_id"])
+    rows = S.round_robin(t("documents").select("doc_id", "source", "n_chars"), "source", [F.desc("n_chars"), "doc_id"], 110)
     return rows.orderBy("rn", "sr").limit(110).select("doc_id", "source", "rn", "sr")
 
 
 @query("batch_number", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) SELECT source, CAST((rn - 1) // 110 AS BIGINT) AS batch, count(*) AS n, min(doc_id) AS lo FROM r GROUP BY 1, 2")
 def batch_number(t, spark):
-    rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return t("documents").select("source", "doc_id", F.floor((rn - 1) / 110).alias("batch")).groupBy("source", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"))
+    rows = S.numbered(t("documents").select("source", "doc_id"), "doc_id", "source")
+    return rows.groupBy("source", F.floor(F.col("i") / 110).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"))
 
 
 @query("zip_join", "SELECT l.doc_id, quality, d.lang FROM labels l JOIN documents d USING (doc_id)")
@@ -89,8 +89,8 @@ def validity_hint(t, spark):
 
 @query("neighbour_pairs", "WITH l AS (SELECT source, doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY CAST(doc_id AS VARCHAR)) AS next_id FROM documents) SELECT source, doc_id, next_id FROM l WHERE next_id IS NOT NULL")
 def neighbour_pairs(t, spark):
-    nxt = F.lead("doc_id").over(Window.partitionBy("source").orderBy(F.col("doc_id").cast("string")))
-    return t("documents").select("source", "doc_id", nxt.alias("next_id")).where("next_id IS NOT NULL")
+    rows = S.numbered(t("documents").select("source", "doc_id", F.col("doc_id").cast("string").alias("name")), "name", "source")
+    return rows.select("source", "doc_id", "i").join(rows.select("source", F.col("doc_id").alias("next_id"), (F.col("i") - 1).alias("i")), ["source", "i"]).drop("i")
 
 
 @query("negatives_per_source", "WITH s AS (SELECT DISTINCT source FROM documents), r AS (SELECT d.doc_id, s.source AS neg, row_number() OVER (PARTITION BY d.doc_id ORDER BY md5(CAST(d.doc_id AS VARCHAR) || '|' || s.source), s.source) AS rn FROM documents d JOIN s ON s.source <> d.source) SELECT doc_id, neg FROM r WHERE rn <= 2")
@@ -192,5 +192,9 @@ def first_wins_union(t, spark):
 
 @query("bootstrap_f1")
 def bootstrap_f1(t, spark):
-    """Confidence interval of the toxic share from 200 draws with replacement, as Poisson weights by hash."""
-    return S.bootstrap_mean(t("labels"), "doc_id", "toxic", draws=200)
+    """The F1 of toxic labels predicted by a rule on the text, with its interval from 500 draws of
+    documents with replacement."""
+    pred = t("documents").select("doc_id", (F.col("n_chars") % 3 == 0).alias("pred"))
+    j = t("labels").select("doc_id", (F.col("toxic") == 1).alias("gold")).join(pred, "doc_id")
+    one = lambda c: c.cast("int")
+    return S.bootstrap_f1(j.select("doc_id", one(F.col("gold") & F.col("pred")).alias("tp"), one(~F.col("gold") & F.col("pred")).alias("fp"), one(F.col("gold") & ~F.col("pred")).alias("fn")), "doc_id")

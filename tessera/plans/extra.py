@@ -61,23 +61,25 @@ def char_bioe(t, spark):
 def bioe_decode(t, spark):
     """Spans from a sequence of tags; a span ends at its end tag, or before anything that doesn't go on with it."""
 
-    def each(key, rows):
-        out, start, kind, last = [], None, None, None
-        for pos, tag in rows:
+    class Open(P.Scan):
+        start = None
+
+        def take(self, pos, tag):
             head, _, name = tag.partition("-")
-            if start is not None and (head == "B" or name != kind or pos != last + 1):
-                out.append((*key, kind, start, last + 1))
-                start = None
-            if start is None:
-                start, kind = pos, name
-            last = pos
-            if head == "E":
-                out.append((*key, kind, start, pos + 1))
-                start = None
-        return [*out, (*key, kind, start, last + 1)] if start is not None else out
+            out = self.end() if self.start is not None and (head == "B" or name != self.kind or pos != self.last + 1) else []
+            if self.start is None:
+                self.start, self.kind = pos, name
+            self.last = pos
+            return out + (self.end() if head == "E" else [])
+
+        def end(self):
+            if self.start is None:
+                return []
+            start, self.start = self.start, None
+            return [(*self.key, self.kind, start, self.last + 1)]
 
     tags = char_bioe(t, spark)
-    return P.in_groups(tags, ["g"], ["pos", "tag"], each, "g long, type string, s int, e int")
+    return P.in_order(tags, ["g"], ["pos", "tag"], Open, "g long, type string, s int, e int")
 
 
 @query("episodic_recall", f"WITH q AS (SELECT item_id, list_slice(list_distinct({_TOK}), 1, 100) AS w FROM benchmark), x AS (SELECT item_id, unnest(w) AS term FROM q), c AS (SELECT conv_id, turn, unnest(list_distinct({_TOK})) AS term FROM conversations), s AS (SELECT item_id, conv_id, turn, count(*) AS n FROM x JOIN c USING (term) GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, conv_id, turn) AS rn FROM s) SELECT item_id, conv_id, turn, n FROM r WHERE rn <= 3")
@@ -99,9 +101,11 @@ def value_binding(t, spark):
 
 @query("confidence_gates", "WITH s AS (SELECT user_id, min(value) AS lo, list_sort(list(value))[CAST(count(*) // 2 AS INT) + 1] AS med, count(*) AS n FROM events GROUP BY 1) SELECT user_id, round(med, 4) AS med, CASE WHEN lo < 0.5 THEN 'margin' WHEN med < 10 THEN 'median' ELSE 'kept' END AS gate FROM s")
 def confidence_gates(t, spark):
-    """All values above a margin, and their upper median above another."""
-    med = F.element_at(F.sort_array(F.collect_list("value")), F.expr("cast(count(1) div 2 as int) + 1"))
-    s = t("events").groupBy("user_id").agg(F.min("value").alias("lo"), med.alias("med"))
+    """All values above a margin, and their upper median above another; the median by counts of values."""
+    from ..operators.sampling import percentile_places
+
+    med = percentile_places(t("events"), "user_id", "value", {"med": lambda n: F.floor(n / 2)})
+    s = t("events").groupBy("user_id").agg(F.min("value").alias("lo")).join(med, "user_id")
     return s.select("user_id", F.round("med", 4).alias("med"), F.when(F.col("lo") < 0.5, "margin").when(F.col("med") < 10, "median").otherwise("kept").alias("gate"))
 
 
@@ -165,20 +169,17 @@ def hash_vectors(t, spark):
     import numpy as np
     import pandas as pd
 
+    def places(low: str) -> np.ndarray:
+        """Weights of the hashed letters and letter pairs: h * 33 + code point from 5381, over all places at once."""
+        c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        one = (5381 * 33 + c) & np.uint64(0xFFFFFFFF)
+        two = (one[:-1] * np.uint64(33) + c[1:]) & np.uint64(0xFFFFFFFF)
+        v = 0.5 * np.bincount((one % np.uint64(256)).astype(np.int64), minlength=256) + np.bincount((two % np.uint64(256)).astype(np.int64), minlength=256)
+        size = np.linalg.norm(v)
+        return v / size if size else v
+
     def run(frames):
         for frame in frames:
-            out = []
-            for text in frame["text"]:
-                v = np.zeros(256)
-                low = (text or "").lower()
-                for n, weight in ((1, 0.5), (2, 1.0)):
-                    for k in range(len(low) - n + 1):
-                        h = 5381
-                        for c in low[k : k + n]:
-                            h = (h * 33 + ord(c)) & 0xFFFFFFFF
-                        v[h % 256] += weight
-                size = np.linalg.norm(v)
-                out.append((v / size if size else v).tolist())
-            yield pd.DataFrame({"conv_id": frame["conv_id"], "turn": frame["turn"], "vector": out})
+            yield pd.DataFrame({"conv_id": frame["conv_id"], "turn": frame["turn"], "vector": [places((x or "").lower()).tolist() for x in frame["text"]]})
 
     return t("conversations").select("conv_id", "turn", "text").mapInPandas(run, "conv_id long, turn long, vector array<double>")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import sampling as S
 from .registry import query
 
 _EDGES = """e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, 'LIVES_IN' AS type FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey, 'LIVES_IN' FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'PART_OF' FROM nation UNION SELECT 'o' || o_orderkey, 'c' || o_custkey, 'PLACED_BY' FROM orders)"""
@@ -49,16 +50,18 @@ def whitelist_chain(t, spark):
     return t("supplier").where("s_acctbal > 5000").join(n, "s_nationkey").select("r_name", "n_name", "s_suppkey").distinct()
 
 
-@query("graph_vector_merge", """WITH a AS (SELECT p_partkey AS k, CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS INT) AS rank FROM part ORDER BY rank LIMIT 200), b AS (SELECT p_partkey AS k, CAST(row_number() OVER (ORDER BY p_size DESC, p_partkey) AS INT) AS rank FROM part ORDER BY rank LIMIT 200)
-SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'graph' ELSE 'vector' END AS source, least(coalesce(a.rank, b.rank), coalesce(b.rank, a.rank)) AS best FROM a FULL JOIN b ON a.k = b.k""")
+@query("graph_vector_merge", """WITH a AS (SELECT p_partkey AS k, CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS INT) AS ra FROM part WHERE p_size > 10), b AS (SELECT p_partkey AS k, CAST(row_number() OVER (ORDER BY p_size DESC, p_partkey) AS INT) AS rb FROM part WHERE p_size < 45),
+j AS (SELECT coalesce(a.k, b.k) AS k, ra, rb, CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN 'both' WHEN ra IS NOT NULL THEN 'graph' ELSE 'vector' END AS source FROM a FULL JOIN b ON a.k = b.k),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY coalesce(ra, rb), k) AS n FROM j) SELECT k, source, CAST(row_number() OVER (ORDER BY source <> 'both', CASE WHEN source = 'both' THEN 0 ELSE n END, CASE WHEN source = 'both' THEN n ELSE 0 END, source, k) AS BIGINT) AS place FROM n""")
 def graph_vector_merge(t, spark):
-    from pyspark.sql import Window
-
-    def top(order):
-        best = t("part").orderBy(*order).limit(200)  # the report's 200 rows, ranked after the limit
-        return best.select(F.col("p_partkey").alias("k"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
-
-    return G.interleave(top([F.desc("p_retailprice"), "p_partkey"]), top([F.desc("p_size"), "p_partkey"]), "k")
+    """Two ranked lists as one: what both have comes first, then they take turns, the graph's first."""
+    graph = S.numbered(t("part").where("p_size > 10").select("p_partkey", (-F.col("p_retailprice")).alias("o"), "p_partkey").toDF("k", "o", "k2").select("k", F.struct("o", "k2").alias("o")), "o")
+    vector = S.numbered(t("part").where("p_size < 45").select(F.col("p_partkey").alias("k"), F.struct((-F.col("p_size")).alias("o"), F.col("p_partkey").alias("k2")).alias("o")), "o")
+    j = G.interleave(graph.select("k", F.col("i").alias("rank")), vector.select("k", F.col("i").alias("rank")), "k")
+    first = F.col("source") == "both"
+    turn = S.numbered(j.select("k", "source", F.struct("best", "k").alias("o")), "o", "source")
+    order = F.struct((~first).alias("a"), F.when(first, 0).otherwise(F.col("i")).alias("b"), F.when(first, F.col("i")).otherwise(0).alias("c"), "source", "k")
+    return S.numbered(turn.select("k", "source", order.alias("o")), "o").select("k", "source", (F.col("i") + 1).alias("place"))
 
 
 @query("graph_load_checks", "WITH e AS (SELECT o_orderkey, o_custkey FROM orders) SELECT count(*) AS n, count(c_custkey) AS with_both_ends, count(DISTINCT o_custkey) AS targets FROM e LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal >= 0")

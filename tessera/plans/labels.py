@@ -19,16 +19,22 @@ def _lexicon(spark):
 
 @query("keyword_tag", f"WITH {_LEX} SELECT doc_id, type, count(*) AS n_terms, arg_max(term, (length(term), term)) AS longest FROM documents JOIN lex ON contains(text, term) GROUP BY 1, 2")
 def keyword_tag(t, spark):
-    """Types whose terms a text holds; of several terms the longest is named. The lexicon is fixed and tiny."""
-    hit = t("documents").select("doc_id", "text").join(F.broadcast(_lexicon(spark)), F.expr("contains(text, term)")).drop("text")
+    """Types whose terms a text holds; of several terms the longest is named. The lexicon is an array
+    of the row, so that no text is copied for it."""
+    hit = t("documents").select("doc_id", F.explode(_held(spark)).alias("x")).select("doc_id", "x.*")
     return hit.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n_terms"), F.max_by("term", F.struct(F.length("term"), "term")).alias("longest"))
 
 
+def _held(spark, text="text"):
+    """The lexicon's entries that a text holds, by priority and term."""
+    entries = [F.struct(F.lit(a).alias("term"), F.lit(b).alias("type"), F.lit(k).alias("ord")) for k, (a, b, _) in enumerate(sorted(LEXICON, key=lambda x: (x[2], x[0])))]
+    return F.filter(F.array(*entries), lambda x: F.contains(text, x["term"]))
+
+
 @query("longest_keyword", f"WITH {_LEX}, o AS (SELECT *, row_number() OVER (ORDER BY prio, term) AS ord FROM lex) SELECT doc_id, arg_max(type, (length(term), -ord)) AS type FROM documents JOIN o ON contains(text, term) GROUP BY 1")
 def longest_keyword(t, spark):
-    lex = _lexicon(spark).withColumn("ord", F.row_number().over(Window.orderBy("prio", "term")))  # six rows
-    hit = t("documents").select("doc_id", "text").join(F.broadcast(lex), F.expr("contains(text, term)")).drop("text")
-    return hit.groupBy("doc_id").agg(F.max_by("type", F.struct(F.length("term"), F.negative(F.col("ord")))).alias("type"))
+    best = F.array_max(F.transform(_held(spark), lambda x: F.struct(F.length(x["term"]).alias("n"), F.negative(x["ord"]).alias("o"), x["type"].alias("type"))))
+    return t("documents").select("doc_id", best["type"].alias("type")).where("type IS NOT NULL")
 
 
 @query("dictionary_spans")
@@ -86,8 +92,8 @@ def vote_groups(t, spark):
 
 @query("sanitize_spans")
 def sanitize_spans(t, spark):
-    """Clamped, sorted, and without overlaps: a fold over each group's own spans."""
-    return P.sanitize(_spans(t), "g", limit=60)
+    """Clamped, of known types, sorted, and without overlaps."""
+    return P.sanitize(_spans(t), "g", 60, ["A", "N", "R"])
 
 
 @query("pair_jaccard", "WITH k AS (SELECT DISTINCT o_orderpriority AS who, o_custkey AS k FROM orders), n AS (SELECT who, count(*) AS n FROM k GROUP BY 1), b AS (SELECT a.who AS a, b.who AS b, count(*) AS both_ FROM k a JOIN k b ON a.k = b.k AND a.who < b.who GROUP BY 1, 2) SELECT a, b, round(both_ / CAST(x.n + y.n - both_ AS DOUBLE), 6) AS jaccard FROM b JOIN n x ON x.who = a JOIN n y ON y.who = b")

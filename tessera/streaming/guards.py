@@ -3,10 +3,13 @@ hold only the state of one key. ``stream_counts`` is their Structured Streaming
 
 from __future__ import annotations
 
+import re
+from collections import deque
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.spans import in_groups
+from ..operators.spans import Scan, in_order
 
 
 def _ordered(events: DataFrame) -> DataFrame:
@@ -18,34 +21,81 @@ def loop_guard(events: DataFrame, history: int = 3, repeats: int = 2, recoveries
     steps; after ``recoveries`` blocked steps the user is degraded. Blocked steps don't count as
     history, which empties when one is blocked."""
 
-    def each(key, rows):
-        last, blocked, out = [], 0, []
-        for _, event, kind in rows:
-            if last[-history:].count(kind) >= repeats:
-                blocked += 1
-                last = []
-                out.append((event, *key, "degraded" if blocked > recoveries else "blocked"))
-            else:
-                last.append(kind)
-                out.append((event, *key, "degraded" if blocked > recoveries else "admitted"))
-        return out
+    class Guard(Scan):
+        blocked = 0
+
+        def __init__(self, key):
+            super().__init__(key)
+            self.last = deque(maxlen=history)
+
+        def take(self, us, event, kind):
+            refused = self.last.count(kind) >= repeats
+            self.blocked += refused
+            self.last.clear() if refused else self.last.append(kind)
+            return [(event, *self.key, "degraded" if self.blocked > recoveries else "blocked" if refused else "admitted")]
 
-    return in_groups(_ordered(events), ["user_id"], ["us", "event_id", "event_type"], each, "event_id long, user_id long, state string")
+    return in_order(_ordered(events), ["user_id"], ["us", "event_id", "event_type"], Guard, "event_id long, user_id long, state string")
 
 
 def token_bucket(events: DataFrame, rate: float, capacity: float) -> DataFrame:
     """rate: tokens a second. An event takes one token or is refused."""
 
-    def each(key, rows):
-        tokens, at, out = capacity, None, []
-        for us, event, _ in rows:
-            tokens = min(capacity, tokens + (0 if at is None else (us - at) / 1e6 * rate))
-            at = us
-            out.append((event, *key, tokens >= 1))
-            tokens -= tokens >= 1
-        return out
+    class Bucket(Scan):
+        tokens, at = capacity, None
+
+        def take(self, us, event, kind):
+            self.tokens = min(capacity, self.tokens + (0 if self.at is None else (us - self.at) / 1e6 * rate))
+            self.at, admitted = us, self.tokens >= 1
+            self.tokens -= admitted
+            return [(event, *self.key, admitted)]
+
+    return in_order(_ordered(events), ["user_id"], ["us", "event_id", "event_type"], Bucket, "event_id long, user_id long, admitted boolean")
+
+
+class AnswerText(Scan):
+    """The value of "action_input" in a JSON object that comes in pieces, once its "action" says answer
+    or finish: decoded piece by piece, escapes across pieces included. Nothing else gets out."""
+
+    ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
+
+    def __init__(self, key):
+        super().__init__(key)
+        self.head, self.rest, self.state = "", "", "head"
+
+    def decode(self, text: str) -> str:
+        out, i = [], 0
+        while i < len(text):
+            c = text[i]
+            if c == '"':
+                self.state = "done"
+                return "".join(out)
+            if c != "\\":
+                out.append(c)
+                i += 1
+                continue
+            size = 6 if text[i + 1 : i + 2] == "u" else 2
+            if i + size > len(text):
+                break
+            out.append(chr(int(text[i + 2 : i + 6], 16)) if size == 6 else self.ESCAPES.get(text[i + 1], text[i + 1]))
+            i += size
+        self.rest = text[i:]
+        return "".join(out)
+
+    def take(self, n, piece):
+        text = ""
+        if self.state == "head":
+            self.head += piece
+            if re.search(r'"action"\s*:\s*"(?:answer|finish)"', self.head) and (m := re.search(r'"action_input"\s*:\s*"', self.head)):
+                self.state, piece, self.head = "value", self.head[m.end() :], ""
+        if self.state == "value":
+            text, self.rest = self.rest + piece, ""
+            text = self.decode(text)
+        return [(*self.key, n, text)] if text else []
+
 
-    return in_groups(_ordered(events), ["user_id"], ["us", "event_id", "event_type"], each, "event_id long, user_id long, admitted boolean")
+def answer_text(pieces: DataFrame) -> DataFrame:
+    """conv_id, n, text: what of each piece (conv_id, n, piece) belongs to the answer."""
+    return in_order(pieces, ["conv_id"], ["n", "piece"], AnswerText, "conv_id long, n long, text string")
 
 
 def stream_counts(spark: SparkSession, path: str, schema, *, late: str = "1 hour", width: str = "1 hour") -> DataFrame:

@@ -106,7 +106,7 @@ def test_percentiles_and_bootstrap(spark):
     got = sampling.percentile_places(rows, "g", "v", {"p": lambda n: F.least(n - 1, F.floor(n * 50 / 100)), "last": lambda n: n - 1}).first()
     assert (got.p, got["last"]) == (5.0, 9.0)
     ci = QUERIES["bootstrap_f1"](spark, SF).first()
-    assert ci.lo <= ci.mean <= ci.hi
+    assert 0 < ci.lo <= ci.f1 <= ci.hi < 1
 
 
 def test_sql_names_no_file():
