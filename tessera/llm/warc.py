@@ -3,7 +3,9 @@
 ``write_archives`` writes one record for each page, as gzip-compressed WARC 1.1 files made by
 Spark's own file sink. Of records with equal payloads, the one with the smallest page_id carries
 the payload (response), the others name it (revisit). A payload of more than ``chunk_bytes``
-becomes a response and continuation records (WARC segments), so that no archive row is larger.
+becomes a response and continuation records (WARC segments), so that no archive row is larger. A
+response's block is an HTTP head and the payload; ids are UUIDs made of page, digest and chunk, and a
+revisit refers to its response's id. gzip members are as the sink makes them: one a file.
 
 ``read_chunks`` reads archives as rows of (record, chunk number, bytes). Its parser streams: it
 holds at most one segment, and it counts Content-Length, so that a payload may hold what looks
@@ -12,7 +14,7 @@ chunk to chunk; a whole payload is never put together.
 
 Defined results: a null payload counts as empty; a null page_id stays null, counts as larger than
 all others and never makes a revisit's target unless all equal payloads lack one; of repeated rows
-with the smallest page_id each is a response; other columns are ignored.
+with the smallest page_id each is a response, of one record id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import scratch, table
+from .shared import cut, scratch, table
 
 CHUNK_BYTES = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 _START = "\r\n\r\nWARC/1.1\r\n"
+#: What a response's block has before its payload.
+_HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: The 32 digits of conv(), and of base32.
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -39,13 +43,23 @@ def base32(hex_digest: Column) -> Column:
     return F.translate(F.concat(*eighth), _DIGITS, _BASE32)
 
 
+def urn(*parts: Column) -> Column:
+    """A record's id: a UUID made of what names the record."""
+    h = F.md5(F.concat_ws("|", *parts))
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
+
+
 def write_archives(pages: DataFrame, path: str, *, chunk_bytes: int = CHUNK_BYTES, least_bytes: int = 0) -> None:
     """Columns read: page_id, url, html (text or binary)."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     own = own.withColumn("digest", F.sha1("payload")).withColumn("n_bytes", F.octet_length("payload").cast("long"))
-    firsts = own.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    rows = own.join(firsts, "digest").select(
+    # Digests and ids alone find each payload's first page. Rows with a payload are joined by both, so that
+    # copies of one payload, however many, don't meet.
+    thin = own.select("page_id", "digest").distinct()
+    firsts = thin.groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    named = thin.join(firsts, "digest").select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), "digest", "first_id")
+    rows = own.withColumn("page", F.coalesce(F.col("page_id").cast("string"), F.lit(""))).join(named, ["page", "digest"]).select(
         "*",
         ((F.col("n_bytes") < least_bytes) | F.col("page_id").eqNullSafe(F.col("first_id"))).alias("whole"),
         F.uuid().alias("row"),
@@ -53,36 +67,37 @@ def write_archives(pages: DataFrame, path: str, *, chunk_bytes: int = CHUNK_BYTE
     chunks = F.when(F.col("whole"), F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / chunk_bytes))).otherwise(1).cast("int")
     each = rows.withColumn("chunks", chunks).withColumn("chunk", F.explode(F.expr("sequence(1, chunks)")))
     data = F.when(F.col("whole"), F.substring("payload", (F.col("chunk") - 1) * chunk_bytes + 1, F.lit(chunk_bytes))).otherwise(F.lit(b""))
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     kind = F.when(~F.col("whole"), "revisit").when(F.col("chunk") == 1, "response").otherwise("continuation")
     line = lambda name, value, shown=None: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")) if shown is None else F.when(shown, F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
     split, last = F.col("chunks") > 1, (F.col("chunks") > 1) & (F.col("chunk") == F.col("chunks"))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), c, F.lit(">"))
-    each = each.withColumn("data", data)
+    response = lambda page: urn(F.lit("response"), page, F.col("digest"))
+    own_id = F.when(F.col("kind") == "response", response(F.col("page"))).otherwise(urn(F.col("kind"), F.col("page"), F.col("digest"), F.col("row"), F.col("chunk").cast("string")))
+    each = each.withColumns({"data": data, "kind": kind}).withColumn("block", F.concat(F.when(F.col("kind") == "response", F.lit(_HTTP.encode())).otherwise(F.lit(b"")), F.col("data")))
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", kind),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.col("row"), F.lit(":"), F.col("chunk").cast("string"), F.lit(">"))),
+        line("WARC-Type", F.col("kind")),
+        line("WARC-Record-ID", own_id),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "%0A"), F.col("url").isNotNull()),
+        line("Content-Type", F.lit("application/http; msgtype=response"), F.col("kind") == "response"),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest")))),
         line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ~F.col("whole")),
-        line("WARC-Refers-To", urn(F.coalesce(F.col("first_id").cast("string"), F.lit(""))), ~F.col("whole")),
+        line("WARC-Refers-To", response(F.coalesce(F.col("first_id").cast("string"), F.lit(""))), ~F.col("whole")),
         line("WARC-Segment-Number", F.col("chunk").cast("string"), split),
-        line("WARC-Segment-Origin-ID", F.concat(F.lit("<urn:uuid:"), F.col("row"), F.lit(":1>")), F.col("chunk") > 1),
-        line("WARC-Segment-Total-Length", F.col("n_bytes").cast("string"), last),
-        line("X-Page", urn(page)),
+        line("WARC-Segment-Origin-ID", response(F.col("page")), F.col("chunk") > 1),
+        line("WARC-Segment-Total-Length", (F.col("n_bytes") + len(_HTTP)).cast("string"), last),
+        line("X-Page", F.concat(F.lit("<urn:page:"), F.col("page"), F.lit(">"))),
         line("X-Row", F.col("row")),
         line("X-Payload-Length", F.col("n_bytes").cast("string")),
-        line("Content-Length", F.octet_length("data").cast("string")),
+        line("Content-Length", F.octet_length("block").cast("string")),
         F.lit("\r\n"),
     )
-    record = F.concat(head.cast("binary"), F.col("data"), F.lit(b"\r\n")).cast("string")  # the sink adds the last line end
+    record = F.concat(head.cast("binary"), F.col("block"), F.lit(b"\r\n")).cast("string")  # the sink adds the last line end
     each.select(record.alias("value")).write.mode("errorifexists").option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
-_CHUNK = "row string, page_id long, url string, record_type string, chunk int, n_bytes long, payload_bytes long, header_digest string, refers_to long, sha1 binary, data binary"
-_KINDS = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary())
+_CHUNK = "row string, page_id long, url string, record_type string, chunk int, n_bytes long, payload_bytes long, header_digest string, record_id string, refers_to string, sha1 binary, data binary"
+_KINDS = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary())
 
 
 def _number(urn: str | None) -> int | None:
@@ -117,10 +132,12 @@ class _Parser:
     def row(self):
         f, n = self.fields, int(self.fields["Content-Length"])
         data = b"".join(self.held)[:n]
+        if f["WARC-Type"] == "response":
+            data = data[data.index(b"\r\n\r\n") + 4 :]  # the payload begins behind the HTTP head
         split = "WARC-Segment-Number" in f
         return (
-            f["X-Row"], _number(f["X-Page"]), f.get("WARC-Target-URI"), f["WARC-Type"], int(f.get("WARC-Segment-Number", 1)), n,
-            int(f["X-Payload-Length"]), f["WARC-Payload-Digest"].removeprefix("sha1:"), _number(f.get("WARC-Refers-To")),
+            f["X-Row"], _number(f["X-Page"]), f.get("WARC-Target-URI"), f["WARC-Type"], int(f.get("WARC-Segment-Number", 1)), len(data),
+            int(f["X-Payload-Length"]), f["WARC-Payload-Digest"].removeprefix("sha1:"), f["WARC-Record-ID"], f.get("WARC-Refers-To"),
             None if split else hashlib.sha1(data).digest(), data,
         )
 
@@ -134,8 +151,8 @@ def _parse(keep_single: bool):
                     parser, path = _Parser(), file
                 row = parser.take(stretch.as_py())
                 if row is not None:
-                    rows.append(row if keep_single or row[9] is None else (*row[:10], None))
-                    held += len(rows[-1][10] or b"")
+                    rows.append(row if keep_single or row[10] is None else (*row[:11], None))
+                    held += len(rows[-1][11] or b"")
                 if held > 1 << 23 or len(rows) >= 10_000:
                     yield _batch(rows, _CHUNK, _KINDS)
                     rows, held = [], 0
@@ -157,8 +174,8 @@ def read_chunks(spark: SparkSession, path: str, *, single_data: bool = True) ->
     return lines.mapInArrow(_parse(single_data), _CHUNK)
 
 
-_RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
-_RECORD_KINDS = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
+_RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, record_id string, refers_to string, intact boolean"
+_RECORD_KINDS = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
 
 
 def _digests(batches):
@@ -166,18 +183,18 @@ def _digests(batches):
     now, sha, total, out = None, None, 0, []
 
     def done():
-        row, page, url, kind, size, digest, refers = now
+        _, page, url, kind, size, digest, own_id, refers = now
         found = base64.b32encode(sha).decode() if isinstance(sha, bytes) else base64.b32encode(sha.digest()).decode()
         revisit = kind == "revisit"
-        return page, url, size if revisit else total, digest if revisit else found, kind, refers, revisit or (found == digest and total == size)
+        return page, url, size if revisit else total, digest if revisit else found, kind, own_id, refers, revisit or (found == digest and total == size)
 
     for batch in batches:
-        cols = [batch.column(k).to_pylist() for k in ("row", "page_id", "url", "record_type", "n_bytes", "payload_bytes", "header_digest", "refers_to", "sha1")]
-        for (row, page, url, kind, n, size, digest, refers, single), data in zip(zip(*cols, strict=True), batch.column("data"), strict=True):
+        cols = [batch.column(k).to_pylist() for k in ("row", "page_id", "url", "record_type", "n_bytes", "payload_bytes", "header_digest", "record_id", "refers_to", "sha1")]
+        for (row, page, url, kind, n, size, digest, own_id, refers, single), data in zip(zip(*cols, strict=True), batch.column("data"), strict=True):
             if now is None or row != now[0]:
                 if now is not None:
                     out.append(done())
-                now, total = (row, page, url, kind, size, digest, refers), n
+                now, total = (row, page, url, kind, size, digest, own_id, refers), n
                 sha = single if single is not None else hashlib.sha1(data.as_py())
             else:
                 total += n
@@ -192,11 +209,14 @@ def _digests(batches):
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each page: what the archives say, with the digest and length of the bytes read.
-    ``intact``: both are as the record's header says."""
+    """A row for each page: what the archives say, with the digest and length of the bytes read, and
+    the page of the record that a revisit refers to. ``intact``: digest and length are as the header says."""
     chunks = read_chunks(spark, path, single_data=False)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return chunks.repartition(n, "row").sortWithinPartitions("row", "chunk").mapInArrow(_digests, _RECORD)
+    records = cut(chunks.repartition(n, "row").sortWithinPartitions("row", "chunk").mapInArrow(_digests, _RECORD))
+    pages = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_id")).distinct()
+    named = records.join(pages, "refers_to", "left")
+    return named.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "record_id", F.col("first_id").alias("refers_to"), "intact")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import base64
+import gzip
 import hashlib
+import uuid
 
 import duckdb
 import pytest
@@ -45,6 +47,28 @@ def test_round_trip(spark, chunk):
     assert {hashlib.sha1(d).digest() for d in data.values()} == {hashlib.sha1((h or "").encode()).digest() for _, h in rows}
 
 
+def test_records_are_standard(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in HARD if i != 1], "page_id long, url string, html string")
+    path = scratch(spark, "warc")
+    warc.write_archives(pages, path, chunk_bytes=20_000)
+    kinds, ids, refers = {}, [], []
+    for f in spark.read.format("binaryFile").load(f"{path}/*.gz").collect():
+        raw = gzip.decompress(bytes(f.content))
+        at = 0
+        while at < len(raw):  # as any reader does: headers, then as many bytes as they say
+            head, _, _ = raw[at:].partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            block = raw[at + len(head) + 4 :][: int(fields["Content-Length"])]
+            at += len(head) + 4 + len(block) + 4
+            assert head.startswith(b"WARC/1.1\r\n") and raw[at - 4 : at] == b"\r\n\r\n"
+            ids.append(uuid.UUID(fields["WARC-Record-ID"][10:-1]))
+            kinds[fields["WARC-Record-ID"]] = fields["WARC-Type"]
+            refers += [fields["WARC-Refers-To"]] if fields["WARC-Type"] == "revisit" else []
+            if fields["WARC-Type"] == "response":
+                assert fields["Content-Type"] == "application/http; msgtype=response" and block.startswith(b"HTTP/1.1 200 OK\r\n")
+    assert len(set(ids)) == len(ids) == len(HARD) - 2 + 2 and refers and {kinds[r] for r in refers} == {"response"}
+
+
 def test_least_bytes(spark):
     pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "bbbb"), (4, "u", "bbbb")], "page_id long, url string, html string")
     path = scratch(spark, "warc")
