@@ -60,24 +60,22 @@ _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def drop(*tables: DataFrame) -> None:
-    """Deletes tables that cut() made and that nothing reads any more."""
+    """Deletes tables that cut() made and that nothing reads any more. Spark deletes a shuffle's files
+    when the driver's garbage holds the last reference to it, so the garbage is collected too: where
+    many shuffles follow each other, those that are done don't fill the disks."""
     for df in tables:
         if path := _PATHS.pop(df, None):
             fs, place = _file_system(df.sparkSession, path)
             fs.delete(place, True)
+    spark = tables[0].sparkSession
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Spark deletes the files of a shuffle when the driver's garbage holds its last reference: where
-    several large shuffles follow each other, this keeps those that are done from filling the disks."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def bitmap_bits(n: int) -> int:
     """Bits for n hashes: eight for each, at least 4 MB and at most 128 MB in all."""
     return 1 << min(30, max(25, (8 * n - 1).bit_length()))

@@ -20,8 +20,8 @@ that repeated short lines one after another are a passage; spans of ``least_word
 reported.
 
 Most paragraphs repeat nowhere. What may repeat is found from their 64-bit keys alone (``repeats``),
-and a bitmap of bounded size tells the second pass over the texts which rows to write. Above 128 MB
-of bitmap more rows are written that repeat nowhere, and later joins drop them.
+and bitmaps of bounded size tell the second pass over the texts which rows to write, and the third
+which sets. Above 128 MB of bitmap more rows are written that repeat nowhere, and later joins drop them.
 
 Words are runs of letters, digits and non-ASCII characters, with A-Z in lower case. Rows of one
 doc_id count as one document.
@@ -37,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .minhash import band_keys, busy_buckets, link_classes, list_array, sketch
+from .minhash import band_keys, busy_buckets, link_classes, list_array, node_hash, sketch
 from .repeats import Repeats
-from .shared import bitmap_bits, build_bitmap, cut, drop, free_shuffles, in_parts, table
+from .shared import bitmap_bits, build_bitmap, cut, drop, in_parts, table
 from .words import MARKS, Words, distinct, mix, shingles
 
 LEAST_WORDS = 40
@@ -178,33 +178,32 @@ def _all_keys(window: int, spread: int):
                 continue
             doc, text, own = mix(_owners(batch).view(np.uint64)), words.text_of(), _Paragraphs(words)
             rows = own.once()
-            yield own.keys(rows).reshape(-1), np.repeat(own.node[rows, 0], BANDS)
-            yield own.node[:, 0] ^ _SET, doc[text[own.first]]
+            yield True, own.keys(rows).reshape(-1), np.repeat(own.node[rows, 0], BANDS)
+            yield False, own.node[:, 0] ^ _SET, doc[text[own.first]]
             at, both = windows(words, window, spread)
-            yield both[:, 0] ^ _WINDOW, doc[text[at]]
+            yield False, both[:, 0] ^ _WINDOW, doc[text[at]]
 
     return run
 
 
-_HIT = "doc_id long, text_key long, first_word int, n_words int, node binary, buckets array<long>, elements binary"
+_HIT = "doc_id long, text_key long, first_word int, n_words int, node binary, buckets array<long>"
 
 
-def _hits(near, repeats: Repeats, window: int, spread: int):
-    """The paragraphs and windows with a key that repeats. The first of a set has its repeated band
-    keys and its elements."""
+def _hits(near_keys, near_sets, repeats: Repeats, window: int, spread: int):
+    """The paragraphs and windows with a key that repeats; the first of a set has its repeated band
+    keys."""
 
     def run(batches):
         for batch in in_parts(batches, _PART):
             words = Words(batch.column("text"), MARKS)
             if not len(words.start):
                 continue
-            has = lambda keys: near.value.has(repeats.key_of(keys).view(np.uint64))
+            has = lambda keys, owned=False: near_keys.value.has(repeats.key_of(keys, owned).view(np.uint64))
             own, text = _Paragraphs(words), words.text_of()
             rows = own.once()
+            rows = rows[near_sets.value.has(repeats.owner_of(own.node[rows, 0]).view(np.uint64))]
             keys = own.keys(rows)
-            again = has(keys.reshape(-1)).reshape(keys.shape)
-            banded = again.any(axis=1)
-            rows, keys, again = rows[banded], keys[banded], again[banded]
+            again = has(keys.reshape(-1), True).reshape(keys.shape)
             hit = has(own.node[:, 0] ^ _SET) | np.isin(own.node[:, 0], own.node[rows, 0])
             hit = np.setdiff1d(np.flatnonzero(hit), rows)
             at, both = windows(words, window, spread)
@@ -214,7 +213,6 @@ def _hits(near, repeats: Repeats, window: int, spread: int):
             size = np.r_[(own.end - own.first)[rows], (own.end - own.first)[hit], np.full(len(at), window)]
             packed = np.concatenate([own.node[rows], own.node[hit], both]).astype(">u8").tobytes()
             counts = np.r_[0, np.cumsum(again.sum(axis=1)), np.full(len(first) - len(rows), again.sum())]
-            elements = [own.values[own.at[k] : own.at[k + 1]].tobytes() for k in rows] + [None] * (len(first) - len(rows))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(_owners(batch)[text[first]]),
@@ -222,8 +220,7 @@ def _hits(near, repeats: Repeats, window: int, spread: int):
                     pa.array((first - words.first[text[first]]).astype(np.int32)),
                     pa.array(size.astype(np.int32)),
                     pa.array([packed[16 * k : 16 * k + 16] for k in range(len(first))], pa.binary()),
-                    list_array(repeats.key_of(keys[again]), counts),
-                    pa.array(elements, pa.binary()),
+                    list_array(repeats.key_of(keys[again], True), counts),
                 ],
                 names=[x.split()[0] for x in _HIT.split(", ")],
             )
@@ -231,34 +228,54 @@ def _hits(near, repeats: Repeats, window: int, spread: int):
     return run
 
 
+def _elements(near):
+    """The sets of the paragraphs whose first eight bytes are in a bitmap."""
+
+    def run(batches):
+        for batch in in_parts(batches, _PART):
+            own = _Paragraphs(Words(batch.column("text"), MARKS))
+            rows = own.once()
+            rows = rows[near.value.has(own.node[rows, 0])]
+            packed = own.node[rows].astype(">u8").tobytes()
+            nodes = [packed[16 * k : 16 * k + 16] for k in range(len(rows))]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([own.values[own.at[k] : own.at[k + 1]].tobytes() for k in rows], pa.binary())], names=["node", "elements"])
+
+    return run
+
+
 def _spans(docs: DataFrame, *, least_words: int, window: int, spread: int, percent: int) -> DataFrame:
     """Spans with the hash of their text, text_key."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text"))
     repeats = Repeats(own)
-    keys = cut(repeats.find(own, _all_keys(window, spread)))
-    near = spark.sparkContext.broadcast(build_bitmap(keys, "key", bitmap_bits(keys.count())))  # 128 MB at most
-    drop(keys)
-    free_shuffles(spark)
-    hits = cut(own.mapInArrow(_hits(near, repeats, window, spread), _HIT))
-    members = cut(busy_buckets(cut(hits.select("node", F.explode("buckets").alias("bucket")).distinct())))
-    sets = hits.where("elements IS NOT NULL").select("node", "elements").join(members.select("node").distinct(), "node", "left_semi")
-    roots = link_classes(members, cut(sets.groupBy("node").agg(F.any_value("elements").alias("elements"))), percent=percent, prune_first=False)
-    free_shuffles(spark)
-    places = hits.select("doc_id", "text_key", "first_word", "n_words", "node")
+    found = cut(repeats.find(own, _all_keys(window, spread)))
+    counts = found.agg(F.count_if(~F.col("owner")), F.count_if("owner")).first()
+    near = [spark.sparkContext.broadcast(build_bitmap(found.where(F.col("owner") == is_owner), "value", bitmap_bits(n))) for is_owner, n in zip((False, True), counts, strict=True)]  # 128 MB each at most
+    drop(found)
+    hits = cut(own.mapInArrow(_hits(*near, repeats, window, spread), _HIT))
+    each = cut(hits.select("node", F.explode("buckets").alias("bucket")).distinct())
+    places = hits.drop("buckets")
+    members = cut(busy_buckets(each))
+    drop(each)
+    nodes = cut(members.select("node").distinct())
+    met = spark.sparkContext.broadcast(build_bitmap(nodes.select(node_hash("node").alias("h")), "h", bitmap_bits(nodes.count())))  # 128 MB at most
+    sets = own.select("text").mapInArrow(_elements(met), "node binary, elements binary").join(nodes, "node", "left_semi")
+    sets = cut(sets.groupBy("node").agg(F.any_value("elements").alias("elements")))
+    drop(nodes)
+    roots = link_classes(members, sets, percent=percent, prune_first=False)
     place = F.struct("doc_id", "text_key", "first_word")
     classes = places.groupBy("node").agg(F.min(place).alias("lo"), F.max("doc_id").alias("hi"))
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     met = rooted.groupBy("root").agg(F.min("lo").alias("least"), F.max("hi").alias("hi")).where("least.doc_id < hi").select("root", "least")
     shared = cut(rooted.join(met, "root").select("node", "least"))
-    found = places.join(shared, "node").select(
+    again = places.join(shared, "node").select(
         "doc_id", "text_key", "first_word", (F.col("first_word") + F.col("n_words")).alias("end_word"), (F.col("least") == place).alias("kept"), F.col("least.doc_id").alias("from_id")
     )
     # Spans of one text, from its paragraphs in order.
     w = Window.partitionBy("doc_id", "text_key", "kept").orderBy("first_word", "end_word", "from_id")
     reach = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("first_word") <= reach, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    spans = found.withColumn("island", island).groupBy("doc_id", "text_key", "kept", "island").agg(
+    spans = again.withColumn("island", island).groupBy("doc_id", "text_key", "kept", "island").agg(
         F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.min("from_id").alias("from_id")
     )
     named = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))

@@ -121,7 +121,8 @@ def shingles(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 def distinct(values: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct values in rising order, and where each text starts (n + 1 places)."""
-    order = np.lexsort((values, of))
+    order = np.argsort(values)
+    order = order[np.argsort(of[order].astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")]  # short integers are sorted by radix
     values, of = values[order], of[order]
     if len(values):
         new = np.r_[True, (values[1:] != values[:-1]) | (of[1:] != of[:-1])]
