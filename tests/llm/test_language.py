@@ -50,3 +50,16 @@ def test_copies_and_long_texts_in_the_sample(spark):
     assert {r.row_hash for r in rows if r.lang == "yy"} == {r.h for r in ranked}
     got = L.identify(spark.createDataFrame([(1, "puu meri maja"), (2, "zqw wqz"), (3, "ggh ggh"), (4, "ppo ppo")], "doc_id long, text string"), L.train(docs, per_language=5))
     assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "xx", 2: "yy", 3: "ww", 4: "vv"}
+
+
+def test_texts_in_no_learned_language_go(spark):
+    """More than a filter for letters: other scripts and random letters have letters too."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = L.train(docs)
+    rows = [(10**6 + k, t) for k, t in enumerate(["Это русский текст, которого модель не видела", "日本語のテキストです。これは学習されていない", "Καλημέρα κόσμε, τι κάνεις σήμερα", "qzxw vkjq wxzq pqkz zzkx"])]
+    mixed = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = {r.doc_id for r in L.known_only(mixed, model).collect()}
+    assert not kept & {i for i, _ in rows}
+    assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text)}
+    assert L.known_only(mixed, model, least_fit=0.0).count() == len(kept) + len(rows)
+    assert L.known_only(mixed, L.train(docs.limit(0))).count() == 0

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -46,6 +47,29 @@ def test_whole_table(spark):
     assert sum(g[0] + g[1] + g[2] for g in got.values()) > 5
 
 
+def test_links_equal_all_pairs(spark):
+    """Every weak part against every other part of its scope."""
+    r = random.Random(7)
+    words = ["user: bob99", "client_id=acme.7", "Zx81kQp0Lm22Tr7Yv9Bn4c", "aB3dE5gH7jK9mN1pQ3sT", "https://db.example.com/x", "host: a.b.example", "secret=abcdefgh12", "0a" * 16, "plain", "x " * 40, "\n\n", "AKIA" + "A1" * 8]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(2, 40))) for _ in range(150)]
+    texts += [" ".join(f"aB{k}dE5gH7jK9mN1pQ3sT{k}" for k in range(20_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: [(s["kind"], s["start"], s["end"]) for s in x.spans] for x in secrets.link_secrets(docs).collect()}
+    secret = {"assign", "hex", "token"}
+    for i, t in enumerate(texts):
+        every = secrets.parts(t)
+        if i == len(texts) - 1:
+            assert got[i] == [] and len(every) == 20_000
+            continue
+        shown = []
+        for k, s, e, c in every:
+            others = [(s2, e2) for k2, s2, e2, c2 in every if c2 == c and (k2 in secret) != (k in secret)]
+            near = any(s2 - e <= secrets.WINDOW if s2 > s else s - e2 <= secrets.WINDOW for s2, e2 in others)
+            if k in secrets.STRONG or near:
+                shown.append((secrets.KINDS.index(k), s, e))
+        assert got[i] == sorted(shown, key=lambda x: (x[1], x[0])), t
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "a secret=abcdefgh12 z", 21), (2, "clean", 5), (3, None, None), (1, "a secret=abcdefgh12 z", 21)], "doc_id long, text string, n_chars long")
     got = sorted(map(tuple, secrets.redact(docs).collect()), key=str)

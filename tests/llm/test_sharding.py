@@ -47,3 +47,9 @@ def test_by_sql(spark):
 
 def test_empty(spark):
     assert S.shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_whole_table_splits(spark):
+    rows = S.op9_sharding(spark, "/root/testdata/sf0.01").collect()
+    shards = {r.shard for r in rows}
+    assert len(shards) > 20 and len({len(s) for s in shards}) > 1 and not any(r.oversize and sum(x.shard == r.shard for x in rows) > 1 for r in rows)

@@ -63,6 +63,41 @@ def test_any_shared_run_of_fifty_words_is_found(spark):
     assert near <= set().union(*(v for v in runs.values() if len(v) > 1))
 
 
+def test_near_lines_equal_brute_force(spark):
+    """All pairs of lines of 40 words or more whose shingles are similar enough, in different documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    lines = [(d.doc_id, w) for d in docs for x in d.text.split("\n") if len(w := words(x)) >= S.LEAST_WORDS]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, w in lines]
+    inverted = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            inverted.setdefault(x, []).append(k)
+    hit = set()
+    for k, s in enumerate(sets):
+        met = {}
+        for x in s:
+            for j in inverted[x]:
+                met[j] = met.get(j, 0) + 1
+        hit |= {lines[k][0] for j, n in met.items() if lines[j][0] != lines[k][0] and 100 * n >= 75 * (len(s) + len(sets[j]) - n)}
+    found = {r.doc_id for r in S.op7_substring_dedup(spark, "/root/testdata/sf0.001").collect()}
+    assert hit and len(hit & found) >= 0.9 * len(hit) and hit <= found
+
+
+def test_pieces_short_lines_and_long_texts(spark):
+    r = np.random.default_rng(9)
+    fresh = lambda n: [f"v{x}" for x in r.integers(0, 10**7, n)]
+    passage, shorts = fresh(160), [fresh(15) for _ in range(4)]
+    changed = list(passage)
+    for k in range(20, 160, 38):  # no 40 words in a row are equal
+        changed[k] = "other"
+    rows = [(1, " ".join(fresh(300) + passage + fresh(250))), (2, " ".join(fresh(90) + changed + fresh(400)))]
+    rows += [(3, "\n".join([" ".join(fresh(9)), *map(" ".join, shorts)])), (4, "\n".join([*map(" ".join, shorts), " ".join(fresh(7))])), (5, " ".join(shorts[0])), (6, " ".join(shorts[0]))]
+    rows += [(7, " ".join(fresh(120_000) + passage)), (8, "x " * 60_000)]
+    got = S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {g.doc_id for g in got} == {1, 2, 3, 4, 7}
+    assert sum(g.end_word - g.first_word for g in got if g.doc_id == 4) == 60 and all(g.first_word >= 120_000 for g in got if g.doc_id == 7)
+
+
 def test_empty(spark):
     assert S.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
