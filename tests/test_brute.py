@@ -49,6 +49,18 @@ def test_sanitized(spark, spans):
     assert rows(spark, "sanitize_spans") == sorted(want)
 
 
+def test_cascade(spark, spans):
+    want = []
+    for g, own in spans.items():
+        rules = [x[:2] for x in own if x[3] == "gold"]
+        last = -1
+        for s, n, i, p in sorted((s, -e, i, p) for s, e, _, who, i, p in own if who == "model" and not any(a < e and s < b for a, b in rules)):
+            if s >= last:
+                want.append((g, i, p, s, -n))
+                last = -n
+    assert rows(spark, "cascade_spans") == sorted(want)
+
+
 def test_relaxed(spark, spans):
     want = []
     for g, own in spans.items():
