@@ -45,9 +45,11 @@ def _ends(links: DataFrame) -> DataFrame:
     """node, was, root: where the way from each node over smallest neighbours ends."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     ends = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")))
-    while True:  # what is left of the ways halves
+    while True:  # a pass leaves a quarter of the longest way, and tells by its last step whether that is all
         ways = ends.select("node", "root")
-        nxt = cut(ways.join(ways.toDF("root", "next"), "root").select("node", F.col("root").alias("was"), F.col("next").alias("root")))
+        once = ways.join(ways.toDF("root", "next"), "root").select("node", F.col("next").alias("root"))
+        twice = once.join(ways.toDF("root", "next"), "root").select("node", F.col("root").alias("was"), F.col("next").alias("root"))
+        nxt = cut(twice)
         drop(ends)
         ends = nxt
         if nxt.where("was <> root").isEmpty():

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, relabel
-from .shared import cut, drop
+from .shared import cut, drop, drop_with_shuffles
 from .words import mix
 
 BANDS, ROWS = 64, 5
@@ -155,7 +155,7 @@ def link_classes(members: DataFrame, sets: DataFrame, *, percent: int, prune_fir
     about = cut(about.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size")).join(nodes, "node"))
     state = cut(members.select("node").distinct().withColumn("root", F.col("node")))
     left = _mixed(members.drop("n").join(about, "node").withColumn("root", F.col("node")))
-    drop(members, about)
+    drop_with_shuffles(members, about)
     for turn in range(PIVOTS):
         if left.isEmpty():
             break
@@ -172,12 +172,12 @@ def link_classes(members: DataFrame, sets: DataFrame, *, percent: int, prune_fir
             own = own_elements(cut(sets.join(nxt.select("node"), "node", "left_semi")))
             fit = own.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size"))
             nxt = _mixed(nxt.drop("size", "own").join(fit, "node"))
-        drop(left, met, links, *([was] if state is not was else []))
+        drop_with_shuffles(left, met, links, *([was] if state is not was else []))
         left = nxt
     if not left.isEmpty():
         links = cut(compare_blocks(left, sets, percent))
         state = _joined(state, links)
-    drop(left, sets)
+    drop_with_shuffles(left, sets)
     return state
 
 

@@ -60,16 +60,20 @@ _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def drop(*tables: DataFrame) -> None:
-    """Deletes tables that cut() made and that nothing reads any more. Spark deletes a shuffle's files
-    when the driver's garbage holds the last reference to it, so the garbage is collected too: where
-    many shuffles follow each other, those that are done don't fill the disks."""
+    """Deletes tables that cut() made and that nothing reads any more."""
     for df in tables:
         if path := _PATHS.pop(df, None):
             fs, place = _file_system(df.sparkSession, path)
             fs.delete(place, True)
-    spark = tables[0].sparkSession
+
+
+def drop_with_shuffles(*tables: DataFrame) -> None:
+    """drop(), and the files of finished shuffles: Spark deletes a shuffle's files when the driver's
+    garbage holds the last reference to it, so the garbage is collected. Where large shuffles follow
+    each other, those that are done then don't fill the disks."""
+    drop(*tables)
     gc.collect()
-    spark._jvm.System.gc()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

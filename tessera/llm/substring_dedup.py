@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .minhash import band_keys, busy_buckets, link_classes, list_array, node_hash, sketch
 from .repeats import Repeats
-from .shared import bitmap_bits, build_bitmap, cut, drop, in_parts, table
+from .shared import bitmap_bits, build_bitmap, cut, drop_with_shuffles, in_parts, table
 from .words import MARKS, Words, distinct, mix, shingles
 
 LEAST_WORDS = 40
@@ -251,17 +251,17 @@ def _spans(docs: DataFrame, *, least_words: int, window: int, spread: int, perce
     found = cut(repeats.find(own, _all_keys(window, spread)))
     counts = found.agg(F.count_if(~F.col("owner")), F.count_if("owner")).first()
     near = [spark.sparkContext.broadcast(build_bitmap(found.where(F.col("owner") == is_owner), "value", bitmap_bits(n))) for is_owner, n in zip((False, True), counts, strict=True)]  # 128 MB each at most
-    drop(found)
+    drop_with_shuffles(found)
     hits = cut(own.mapInArrow(_hits(*near, repeats, window, spread), _HIT))
     each = cut(hits.select("node", F.explode("buckets").alias("bucket")).distinct())
     places = hits.drop("buckets")
     members = cut(busy_buckets(each))
-    drop(each)
+    drop_with_shuffles(each)
     nodes = cut(members.select("node").distinct())
     met = spark.sparkContext.broadcast(build_bitmap(nodes.select(node_hash("node").alias("h")), "h", bitmap_bits(nodes.count())))  # 128 MB at most
     sets = own.select("text").mapInArrow(_elements(met), "node binary, elements binary").join(nodes, "node", "left_semi")
     sets = cut(sets.groupBy("node").agg(F.any_value("elements").alias("elements")))
-    drop(nodes)
+    drop_with_shuffles(nodes)
     roots = link_classes(members, sets, percent=percent, prune_first=False)
     place = F.struct("doc_id", "text_key", "first_word")
     classes = places.groupBy("node").agg(F.min(place).alias("lo"), F.max("doc_id").alias("hi"))
