@@ -50,6 +50,6 @@ def test_empty(spark):
 
 
 def test_whole_table_splits(spark):
-    rows = S.op9_sharding(spark, "/root/testdata/sf0.01").collect()
+    rows = S.shards(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), limit=64 << 10).collect()
     shards = {r.shard for r in rows}
     assert len(shards) > 20 and len({len(s) for s in shards}) > 1 and not any(r.oversize and sum(x.shard == r.shard for x in rows) > 1 for r in rows)
