@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,3 +138,16 @@ def in_parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
             ctypes.CDLL("libc.so.6").malloc_trim(0)
         except (OSError, AttributeError):  # another C library
             pass
+
+
+def in_sizes(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of rows whose texts (or bytes) in a column have about ``size`` bytes together; a larger
+    one stands alone."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(lengths, dtype=np.int64)
+        at = 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right")))
+            yield from in_parts([batch.slice(at, end - at)], end - at)
+            at = end
