@@ -9,6 +9,7 @@ from .html import op2_html
 from .language import op4_language
 from .near_dedup import op8_minhash
 from .resample import op12_resample
+from .runs import op11_runs
 from .secrets import op1_secrets
 from .sharding import OP9_SQL, op9_sharding
 from .substring_dedup import op7_substring_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_sharding": op9_sharding,
     "op10_chroma": op10_chroma,
+    "op11_runs": op11_runs,
     "op12_resample": op12_resample,
 }
 
