@@ -13,6 +13,7 @@ from .runs import op11_runs
 from .secrets import op1_secrets
 from .sharding import OP9_SQL, op9_sharding
 from .substring_dedup import op7_substring_dedup
+from .token_store import op13_tokens
 from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_chroma": op10_chroma,
     "op11_runs": op11_runs,
     "op12_resample": op12_resample,
+    "op13_tokens": op13_tokens,
 }
 
 ORACLE_SQL: dict[str, str] = {
