@@ -101,7 +101,8 @@ class Coder:
         if word.isascii():
             word = word.lower()
         core = word.rstrip(_MARKS)
-        return (core, word[len(core) :]) if core[-1:].isalpha() else (word, "")
+        # Lowering may end a letter in a mark (U+0130 does), which would join the marks cut off.
+        return (core, word[len(core) :]) if core[-1:].lower()[-1:].isalpha() else (word, "")
 
     def ids_of(self, words: list[str]) -> bytes:
         return b"".join([ids for ids, _ in self.known(words)])

@@ -43,6 +43,17 @@ def test_equals_the_library_on_hard_texts(spark):
         assert got == sorted([(i, *expected(t)) for i, t, _ in rows], key=str)
 
 
+def test_random_texts_with_letters_whose_lower_case_ends_in_a_mark(spark):
+    r = random.Random(11)
+    pieces = ["İ", "ß", "\u0301", "\u0307", "\u0085", "É", "a", "Word", "K", "ŉ", "ǰ", "!", ".", "#", "*", "%", "&", "'s", " ", "\u00a0", "1", "<", "|>", "世", "ΑΣ", "\x1c"]
+    rows = [(i, "".join(r.choices(pieces, k=r.randrange(16)))) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: expected(t) for i, t in rows}
+    for leaf in (bpe.LEAF, 7):
+        got = {x.doc_id: tuple(x)[1:] for x in bpe.encode_documents(docs, PATH, leaf=leaf, digest=True).collect()}
+        assert [t for i, t in rows if got[i] != want[i]] == []
+
+
 def test_join_agrees_with_one_piece():
     c, r = bpe.coder(PATH), random.Random(1)
     for _ in range(300):
