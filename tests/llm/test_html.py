@@ -75,3 +75,59 @@ def test_names_that_dont_mark_a_part(mark):
 def test_long_comments_beside_an_article():
     page = f"<body><article><p>Story {LONG}</p></article><div id=comments><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>"
     assert Page(page).text() == f"Story {LONG.strip()}"
+
+
+def lines(*texts):
+    return "\n".join(" ".join(t.split()) for t in texts)
+
+
+def wrapped(inner, tag="article"):
+    return f"""<html><head><title>T</title></head><body><header><a href=/>Home</a></header><nav><a href=a>One</a><a href=b>Two</a></nav>
+    <div id=page><aside>About us {LONG}</aside><{tag}>{inner}</{tag.split()[0]}></div><div class=related-posts><a href=1>More {LONG}</a></div><footer>End of page</footer></body></html>"""
+
+
+PARAS = [f"Paragraph {k}: {LONG}" for k in range(14)]
+SECTIONS = "".join(f"<section><h2>Part {a}</h2>{''.join(f'<p>{p}</p>' for p in PARAS[a:b])}</section>" for a, b in ((0, 2), (2, 13), (13, 14)))
+WHOLE = {
+    "sections": (f"<h1>Title</h1><p class=lead>A short lead.</p><p class=author>By A. Uthor</p>{SECTIONS}", lines("Title", "A short lead.", "By A. Uthor", "Part 0", *PARAS[:2], "Part 2", *PARAS[2:13], "Part 13", PARAS[13])),
+    "list": ("<h1>Title</h1><p>Short intro.</p><ul>" + "".join(f"<li>{p}" for p in PARAS[:9]) + "</ul><p>Bye now.</p>", lines("Title", "Short intro.", *PARAS[:9], "Bye now.")),
+    "quote": ("<h1>Title</h1><p>Short intro.</p><blockquote>" + "".join(f"<p>{p}</p>" for p in PARAS[:9]) + "</blockquote><p>Bye now.</p>", lines("Title", "Short intro.", *PARAS[:9], "Bye now.")),
+    "table": ("<p>Short intro.</p><table>" + "".join(f"<tr><td>{k}<td>{p}" for k, p in enumerate(PARAS[:9])) + "</table><p>Bye now.</p>", lines("Short intro.", *(f"{k} {p}" for k, p in enumerate(PARAS[:9])), "Bye now.")),
+    "line": ("<p>One short line.</p>", "One short line."),
+    "comments inside": (f"<h1>Title</h1><p>{PARAS[0]}</p><section class=comments>" + "".join(f"<p>{p}</p>" for p in PARAS) + "</section>", lines("Title", PARAS[0])),
+}
+
+
+@pytest.mark.parametrize("kind", WHOLE)
+def test_whole_articles(kind):
+    inner, want = WHOLE[kind]
+    assert Page(wrapped(inner)).text() == want
+
+
+@pytest.mark.parametrize("kind", ["sections", "list", "quote", "table", "comments inside"])
+def test_whole_articles_in_a_plain_element(kind):
+    inner, want = WHOLE[kind]
+    assert Page(wrapped(inner, "div class=story")).text() == want
+
+
+def test_sections_that_are_plain_elements():
+    parts = "".join(f"<div class=part id=p{a}><h2>Part {a}</h2>{''.join(f'<p>{p}</p>' for p in PARAS[a:b])}</div>" for a, b in ((0, 6), (6, 13))) + "<div class=part id=z><p>So be it.</p></div>"
+    assert Page(wrapped(f"<h1>Title</h1>{parts}", "div")).text() == lines("Title", "Part 0", *PARAS[:6], "Part 6", *PARAS[6:13], "So be it.")
+
+
+@pytest.mark.parametrize("around", ["section class=discussion", "div", "section"])
+def test_comment_blocks_beside_an_article(around):
+    page = wrapped("<p>One short line.</p>").replace("<footer>", f"<{around}>" + "".join(f"<p>{p}</p>" for p in PARAS[:10]) + f"</{around.split()[0]}><footer>")
+    assert Page(page).text() == "One short line."
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<b>" * 20_000 + "</i>" * 20_000, "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000, "<div>" * 20_000 + "x", "<b>" * 20_000 + "<br>" * 20_000, "<div class=menu>" * 10_000 + "x" + "<article>y</article>" * 10_000, "<p><b>" * 20_000, "<a '>" * 20_000, "<ul><li>" * 10_000 + "w"],
+)
+def test_hostile_pages_take_linear_time(source):
+    import time
+
+    began = time.process_time()
+    Page(source).text()
+    assert time.process_time() - began < 2
