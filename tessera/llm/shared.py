@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -73,8 +74,16 @@ def drop_with_shuffles(*tables: DataFrame) -> None:
     garbage holds the last reference to it, so the garbage is collected. Where large shuffles follow
     each other, those that are done then don't fill the disks."""
     drop(*tables)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+    free_shuffles(tables[0].sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles that nothing refers to any more. References of this side go
+    by a thread of its own, so that one more collection follows a moment later."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

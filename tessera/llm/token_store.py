@@ -33,7 +33,6 @@ their names.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import zlib
@@ -44,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, in_sizes, scratch, table
+from .shared import cut, free_shuffles, in_sizes, scratch, table
 from .words import mix, text_bytes
 
 PAGE = 1 << 20
@@ -192,9 +191,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, *, pag
     rows = own.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(shards, "value binary")
     # A shard is a file: its pages and its footer.
     rows.select(F.col("value").cast("string")).write.option("lineSep", MARK.decode()).option("maxRecordsPerFile", shard_pages + 1).text(path)
-    del rows, own
-    gc.collect()
-    docs.sparkSession._jvm.System.gc()  # the shuffle of texts is done
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -381,7 +377,9 @@ def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tokenizer, path = public_tokenizers.path("byte_bpe_50k.json"), scratch(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), tokenizer, 2, path)
+    free_shuffles(spark)  # that of the texts is done
     documents = cut(stored_documents(spark, path))
     index, buckets = build_index(documents)
     entries = lookup(documents, index, buckets)
+    free_shuffles(spark)
     return fetch(spark, path, entries, width=unit_coder(tokenizer).dtype.itemsize, digest=True).select("doc_id", "start", "n_tokens", "ids_crc32")
