@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking
+from ..operators.clauses import number_key_column
 from .registry import query
 
 _ID = "doc_id"
@@ -224,3 +225,22 @@ def char_profile(t, spark):
     """Histogram of word lengths."""
     w = t("documents").select(F.explode(T.tokens(F.col("text"))).alias("w"))
     return w.groupBy("w").agg(F.count(F.lit(1)).alias("k")).groupBy(F.length("w").cast("long").alias("n_letters")).agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_distinct"))
+
+
+_CLAUSE_NO = "CASE WHEN p_partkey % 9 = 0 THEN chr(CAST(65 + p_size % 5 AS INT)) || '.' || (p_partkey % 12) ELSE (p_size % 21) || '.' || (p_partkey % 12) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '.' || (p_partkey % 17) END END"
+
+
+@query("clause_order", f"""WITH c AS (SELECT p_partkey, p_brand, {_CLAUSE_NO} AS no FROM part),
+k AS (SELECT *, list_concat(list_transform(string_split(no, '.'), lambda x: CASE WHEN x BETWEEN 'A' AND 'Z' THEN ascii(x) ELSE CAST(x AS INT) END), [0, 0, 0, 0])[1:4] AS key FROM c)
+SELECT p_partkey, no, CAST(rank() OVER (PARTITION BY p_brand ORDER BY key) AS INT) AS place, coalesce(key > lag(key) OVER (PARTITION BY p_brand ORDER BY p_partkey), TRUE) AS rises FROM k""")
+def clause_order(t, spark):
+    """Clause numbers of a brand's parts in their order (3.10 behind 3.9.5, A.1 behind numbers), and whether each rises."""
+    p = F.col("p_partkey")
+    last = lambda c, n: (c % n).cast("string")
+    plain = F.concat(last(F.col("p_size"), 21), F.lit("."), last(p, 12), F.when(p % 3 == 0, "").otherwise(F.concat(F.lit("."), last(p, 17))))
+    no = F.when(p % 9 == 0, F.concat(F.char(65 + F.col("p_size") % 5), F.lit("."), last(p, 12))).otherwise(plain)
+    key = number_key_column(F.col("no"))
+    own = t("part").select("p_partkey", "p_brand", no.alias("no")).withColumn("key", key)
+    before = F.lag("key").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    place = F.rank().over(Window.partitionBy("p_brand").orderBy("key"))
+    return own.select("p_partkey", "no", place.alias("place"), F.coalesce(F.col("key") > before, F.lit(True)).alias("rises"))
