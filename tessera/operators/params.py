@@ -30,7 +30,7 @@ DIMENSIONS = (
 POSITIVE = "深度|高度|长度|厚度|间距|距离|跨度|桩长|埋深|孔深"
 REACH = 10
 
-UNIT_PATTERN = "(?:" + "|".join(u.replace("°", "°") for u in UNITS) + ")"
+UNIT_PATTERN = "(?:" + "|".join(UNITS) + ")"
 LIMIT_PATTERN = "(" + "|".join(UPPER + LOWER) + r")\s*([0-9]+(?:\s*[.．]\s*[0-9]+)?)\s*(" + UNIT_PATTERN + ")"
 
 

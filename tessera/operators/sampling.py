@@ -94,3 +94,12 @@ def numbered(rows: DataFrame, order: str, group: str | None = None) -> DataFrame
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = counts.select("_part", *keys, "_first", before.alias("_before"))
     return placed.join(own, ["_part", *keys]).withColumn("i", F.col("_before") + F.col("_row") - F.col("_first")).drop("_part", "_row", "_before", "_first")
+
+
+def zipped(a: DataFrame, b: DataFrame, place: str, value: str) -> DataFrame:
+    """place and value of two tables that must hold the same values in the same places: a row that only one of
+    them has, or an unequal one, fails the query."""
+    j = a.select(place, F.col(value).alias("_a"), F.lit(True).alias("_in_a")).join(b.select(place, F.col(value).alias("_b"), F.lit(True).alias("_in_b")), place, "full")
+    same = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull() & F.col("_a").eqNullSafe(F.col("_b"))
+    checked = F.when(same, F.col("_a")).otherwise(F.raise_error(F.concat(F.lit("the tables differ at "), F.col(place).cast("string"))).cast(a.schema[value].dataType))
+    return j.select(place, checked.alias(value))

@@ -145,13 +145,14 @@ def rerank_oversampled(t, spark):
     return pairs.withColumn("score", score).select("item_id", rank.alias("rank"), "doc_id").where("rank <= 5")
 
 
-@query("text_folder", "WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM s WHERE NOT contains(line, chr(13)) GROUP BY 1")
+@query("text_folder", "WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM s GROUP BY 1")
 def text_folder(t, spark):
-    """Lines written to a folder of text files and read from it."""
+    """Lines written to a folder of text files and read from it. Carriage returns, which end a line of a file, are
+    escaped there."""
     path = scratch(spark, "folder")
-    lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(~F.contains("line", F.lit("\r")))
-    lines.select(F.concat_ws("\t", F.col("doc_id").cast("string"), "line").alias("value")).write.text(path)
-    back = files.read_lines(spark, path).select(F.split("line", "\t", 2).alias("x")).select(F.get("x", F.lit(0)).cast("long").alias("doc_id"), F.length(F.get("x", F.lit(1))).alias("n"))
+    lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines.select(F.concat_ws("\t", F.col("doc_id").cast("string"), files.escaped_line(F.col("line"))).alias("value")).write.text(path)
+    back = files.read_lines(spark, path).select(F.split("line", "\t", 2).alias("x")).select(F.get("x", F.lit(0)).cast("long").alias("doc_id"), F.length(files.plain_line(F.get("x", F.lit(1)))).alias("n"))
     return back.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n").alias("chars"))
 
 

@@ -11,6 +11,7 @@ from ..operators import params as P
 from ..operators import sampling as S
 from ..operators.graph import valid_graph
 from .labels import _SPANS, _spans
+from ..sources.tables import scratch
 from .registry import query
 
 
@@ -207,8 +208,14 @@ k AS (SELECT o_orderkey AS q, p_partkey AS c FROM orders JOIN part ON p_partkey
 def judged_pairs(t, spark):
     """Candidates with their judgement, of several files the last; those without one are counted."""
     last = t("lineitem").groupBy(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("c")).agg(F.max_by("l_returnflag", F.struct(F.when(F.col("l_linestatus") == "F", 1).otherwise(2), "l_linenumber", "l_suppkey")).alias("verdict"))
-    k = t("orders").select(F.col("o_orderkey").alias("q"), (F.col("o_orderkey") % 50).alias("m")).join(t("part").select(F.col("p_partkey").alias("c"), (F.col("p_partkey") % 50).alias("m")), "m")
-    return k.join(last, ["q", "c"], "left").groupBy(F.coalesce("verdict", F.lit("missing")).alias("verdict")).agg(F.count("*").alias("n"))
+    # A candidate is a pair of an order and a part of one remainder. Pairs aren't made: judged ones are looked up,
+    # and all are counted as products of the remainders' counts.
+    orders, parts = t("orders").select(F.col("o_orderkey").alias("q")), t("part").select(F.col("p_partkey").alias("c"))
+    judged = last.where((F.col("q") % 50).eqNullSafe(F.col("c") % 50)).join(orders, "q").join(parts, "c").groupBy(F.coalesce("verdict", F.lit("missing")).alias("verdict")).agg(F.count("*").alias("n"))
+    counts = lambda df, key, name: df.groupBy((F.col(key) % 50).alias("m")).agg(F.count("*").alias(name))  # noqa: E731  50 rows
+    every = counts(orders, "q", "a").join(counts(parts, "c", "b"), "m").select(F.lit("missing").alias("verdict"), (F.col("a") * F.col("b")).alias("n"))
+    less = judged.select(F.lit("missing").alias("verdict"), F.negative("n").alias("n"))
+    return judged.unionByName(every).unionByName(less).groupBy("verdict").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 @query("label_arbitration", f"""WITH {_SPANS}, a AS (SELECT * FROM s WHERE who = 'gold'), v AS (SELECT * FROM s WHERE who = 'model'),
@@ -466,8 +473,9 @@ def rule_layer(t, spark):
 
 @query("zip_rows", "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) SELECT a.n, a.doc_id FROM a JOIN b ON a.n = b.n AND a.doc_id = b.doc_id")
 def zip_rows(t, spark):
-    """Two tables line by line: rows are numbered where they are read, and unequal ones fail the query."""
-    a, b = (S.numbered(t("documents").select("doc_id"), "doc_id") for _ in range(2))
-    j = a.join(b.select("i", F.col("doc_id").alias("other")), "i", "full")
-    ok = F.assert_true(F.col("doc_id").eqNullSafe(F.col("other")), F.lit("the tables differ"))
-    return j.select((F.col("i") + 1).alias("n"), F.coalesce(ok.cast("long"), F.col("doc_id")).alias("doc_id"))
+    """A table and a copy of it in JSON lines, row by row; unequal rows fail the query."""
+    path = scratch(spark, "copy")
+    own = S.numbered(t("documents").select("doc_id"), "doc_id")
+    own.select("i", "doc_id").write.json(path)
+    copy = spark.read.schema("i long, doc_id long").json(path)
+    return S.zipped(own, copy, "i", "doc_id").select((F.col("i") + 1).alias("n"), "doc_id")

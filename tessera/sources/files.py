@@ -3,7 +3,7 @@ without duplicates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import scratch
@@ -42,3 +42,14 @@ def append_new(df: DataFrame, path: str, key: str, schema: str) -> DataFrame:
 def paged(df: DataFrame, path: str, by: str) -> None:
     """One folder for each value of a column."""
     df.write.mode("overwrite").partitionBy(by).parquet(path)
+
+
+def escaped_line(text: Column) -> Column:
+    """A line that may hold carriage returns, for a file of lines."""
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\r"), F.lit("\\r"))
+
+
+def plain_line(text: Column) -> Column:
+    """What escaped_line() was made of."""
+    parts = F.regexp_extract_all(text, F.lit(r"\\.|[^\\]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p == "\\r", "\r").when(p == "\\\\", "\\").otherwise(p)), "")

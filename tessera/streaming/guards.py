@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 from collections import deque
 
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,13 +55,20 @@ def token_bucket(events: DataFrame, rate: float, capacity: float) -> DataFrame:
 
 class AnswerText(Scan):
     """The value of "action_input" in a JSON object that comes in pieces, once its "action" says answer
-    or finish: decoded piece by piece, escapes across pieces included. Nothing else gets out."""
+    or finish: decoded piece by piece, escapes and pairs of surrogates across pieces included. Nothing else gets
+    out. Half a pair gives U+FFFD; an escape that JSON doesn't know stays as it is."""
 
-    ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
+    ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", '"': '"', "\\": "\\", "/": "/"}
+    ACTION = regex.compile(r'"action"\s*:\s*"(?:answer|finish)"')
+    INPUT = regex.compile(r'"action_input"\s*:\s*"')
+    UNIT = re.compile(r"\\u([0-9a-fA-F]{4})")
+    LOW = re.compile(r"\\(?:u(?:[dD](?:[c-fC-F][0-9a-fA-F]?)?)?)?")  # how a low surrogate may begin
 
     def __init__(self, key):
         super().__init__(key)
-        self.head, self.rest, self.state = "", "", "head"
+        self.wanted, self.rest, self.state = False, "", "head"
+        self.open = {"action": "", "input": ""}  # what may begin one of the keys
+        self.waiting: list[str] | None = None  # the value's pieces, until its action is known
 
     def decode(self, text: str) -> str:
         out, i = [], 0
@@ -73,23 +81,52 @@ class AnswerText(Scan):
                 out.append(c)
                 i += 1
                 continue
-            size = 6 if text[i + 1 : i + 2] == "u" else 2
-            if i + size > len(text):
-                break
-            out.append(chr(int(text[i + 2 : i + 6], 16)) if size == 6 else self.ESCAPES.get(text[i + 1], text[i + 1]))
-            i += size
+            if text[i + 1 : i + 2] != "u":
+                if i + 2 > len(text):
+                    break
+                out.append(self.ESCAPES.get(text[i + 1], text[i : i + 2]))
+                i += 2
+                continue
+            m = self.UNIT.match(text, i)
+            if m is None:
+                if len(text) < i + 6 and '"' not in text[i:]:
+                    break  # goes on in the next piece
+                out.append(text[i : i + 2])
+                i += 2
+                continue
+            unit, at = int(m[1], 16), i + 6
+            if 0xD800 <= unit < 0xDC00:
+                low = self.UNIT.match(text, at)
+                if low is None and (at == len(text) or self.LOW.fullmatch(text, at)):
+                    break
+                if low is not None and 0xDC00 <= int(low[1], 16) < 0xE000:
+                    unit, at = 0x10000 + ((unit - 0xD800) << 10) + int(low[1], 16) - 0xDC00, at + 6
+            out.append("\ufffd" if 0xD800 <= unit < 0xE000 else chr(unit))
+            i = at
         self.rest = text[i:]
         return "".join(out)
 
+    def _find(self, name: str, pattern, piece: str) -> str | None:
+        """What follows a key that is complete now; only what may begin one is kept."""
+        held = self.open[name] + piece
+        m = pattern.search(held, partial=True)
+        self.open[name] = held[m.start() :] if m else ""
+        return held[m.end() :] if m and not m.partial else None
+
     def take(self, n, piece):
-        text = ""
+        if self.state == "done":
+            return []
         if self.state == "head":
-            self.head += piece
-            if re.search(r'"action"\s*:\s*"(?:answer|finish)"', self.head) and (m := re.search(r'"action_input"\s*:\s*"', self.head)):
-                self.state, piece, self.head = "value", self.head[m.end() :], ""
-        if self.state == "value":
-            text, self.rest = self.rest + piece, ""
-            text = self.decode(text)
+            self.wanted = self.wanted or self._find("action", self.ACTION, piece) is not None
+            if self.waiting is None:
+                value = self._find("input", self.INPUT, piece)
+                self.waiting = None if value is None else [value]
+            else:
+                self.waiting.append(piece)
+            if not self.wanted or self.waiting is None:
+                return []
+            self.state, piece, self.waiting = "value", "".join(self.waiting), None
+        text = self.decode(self.rest + piece)
         return [(*self.key, n, text)] if text else []
 
 
