@@ -259,14 +259,15 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs.where(~held_out(F.col("doc_id")))))
 
 
-def known_only(docs: DataFrame, model: Model, *, least_fit: float = LEAST_FIT) -> DataFrame:
-    """The rows of docs whose text is in the language that is predicted for it, as far as the fit
-    tells: at least ``least_fit``. Rows without a letter go, and all rows where nothing was learned."""
+def known_only(docs: DataFrame, model: Model, *, wanted: tuple[str, ...] | None = None, least_fit: float = LEAST_FIT) -> DataFrame:
+    """The rows of docs whose predicted language is one of ``wanted`` (None: any that was learned) and whose text
+    is in it, as far as the fit tells: at least ``least_fit``. Rows without a letter go, and all rows where nothing
+    was learned."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in in_parts(batches, 1_000):
             names, _, fit = shared.value.predict(batch.column("text").to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN and f >= least_fit for n, f in zip(names, fit, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([n != UNKNOWN and (wanted is None or n in wanted) and f >= least_fit for n, f in zip(names, fit, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
