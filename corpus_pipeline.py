@@ -1,7 +1,7 @@
 """Five corpus stages in a row, each written as Parquet and read again by the next.
 
-1. language ID: texts that aren't in the language predicted for them go, and so those in no language
-   that was learned.
+1. language ID: texts whose predicted language isn't wanted (``WANTED``: English, the language of the
+   benchmark and of the vocabulary) go, and so do those that aren't in the language predicted for them.
 2. near-dedup: of each group of near copies, one row with the smallest id stays.
 3. decontamination: documents that hold a benchmark passage go.
 4. secrets: reported spans give way to marks of their kind.
@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, decontaminate, language, near_dedup, secrets
 from tessera.llm.shared import cut
 
+#: Languages whose documents go on.
+WANTED = ("en",)
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.known_only(docs, language.train(docs))
+    return language.known_only(docs, language.train(docs), wanted=WANTED)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
