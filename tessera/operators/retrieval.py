@@ -32,21 +32,24 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-#: (query, word) pairs that are broadcast at most; with more, postings are joined instead.
+#: (query, word) pairs that are broadcast at most; more are asked in groups. They come to the driver as Arrow
+#: columns (about 150 MB for five million of ten letters) and go to the workers as two arrays and the words.
 ASKED_PAIRS = 5_000_000
-_CELLS = 1 << 22  # of a score matrix, for memory
+_CELLS = 1 << 20  # pairs of a posting and a query that asks its word, for memory
 
 
 class Asked:
     """The words of a set of queries, small enough to be broadcast."""
 
-    def __init__(self, pairs: list[tuple[int, str]]):
-        """pairs: (query id, word), distinct."""
-        self.ids = sorted({q for q, _ in pairs})
-        self.words = sorted({w for _, w in pairs})
-        place, number = {q: k for k, q in enumerate(self.ids)}, {w: k for k, w in enumerate(self.words)}
-        self.query = np.array([place[q] for q, _ in pairs], dtype=np.int32)
-        self.word = np.array([number[w] for _, w in pairs], dtype=np.int32)
+    def __init__(self, pairs: pa.Table):
+        """pairs: columns of query id and word, distinct."""
+        ids, terms = pairs.column(0).to_numpy(), pairs.column(1)
+        unique = pc.unique(terms)
+        words = unique.take(pc.sort_indices(unique))
+        self.ids, query = np.unique(ids, return_inverse=True)
+        self.words = words.to_pylist()
+        self.query = query.astype(np.int32)
+        self.word = pc.index_in(terms, value_set=words).to_numpy(zero_copy_only=False).astype(np.int32) if len(terms) else np.zeros(0, np.int32)
         self.sizes = np.bincount(self.query, minlength=len(self.ids))
 
 
@@ -81,56 +84,139 @@ def _count_words(asked):
     return run
 
 
+class _Best:
+    """The best k texts of each query so far, by score, then key. At most queries x k rows are held beside those
+    that came since the last thinning, and these are let in only if they reach the query's k-th score."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k, self.most = k, max(1 << 20, n_queries * k)
+        self.bound = np.zeros(n_queries)
+        self.held: list[tuple[np.ndarray, ...]] = []  # query, key, unit, score, units met
+        self.n = 0
+        self.open: list[tuple[np.ndarray, ...]] = []  # units of rows that go on: row, query, unit, score
+
+    def add_units(self, row, unit, query, score, base, key) -> None:
+        """Scored units; a row is ranked by its best one. The last row may go on."""
+        self.open.append((row, query, unit, score))
+        self._rows(base, key, row[-1] if len(row) else None)
+
+    def _rows(self, base, key, going_on) -> None:
+        row, query, unit, score = (np.concatenate(x) for x in zip(*self.open, strict=True))
+        self.base, self.key = base, key
+        whole = row != going_on
+        self.open = [tuple(x[~whole] for x in (row, query, unit, score))]
+        self._rank(row[whole], query[whole], unit[whole], score[whole])
+
+    def end_rows(self) -> None:
+        if self.open:
+            self._rank(*(np.concatenate(x) for x in zip(*self.open, strict=True)))
+            self.open = []
+
+    def _rank(self, row, query, unit, score) -> None:
+        if not len(row):
+            return
+        if len(self.base) - 1 == self.base[-1]:  # a unit a row
+            met = np.ones(len(row), np.int64)
+        else:
+            order = np.lexsort((unit, -score, query, row))
+            row, query, unit, score = row[order], query[order], unit[order], score[order]
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (query[1:] != query[:-1])])
+            met = np.add.reduceat((score > 0).astype(np.int64), first)
+            row, query, unit, score = row[first], query[first], unit[first], score[first]
+        good = (score > 0) & (score >= self.bound[query])
+        if good.any():
+            row = row[good]
+            self.held.append((query[good], self.key[row], unit[good] - self.base[row], score[good], met[good]))
+            self.n += len(row)
+            if self.n > 2 * self.most:
+                self._thin()
+
+    def _thin(self) -> None:
+        query, key, unit, score, met = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((key, -score, query))
+        sorted_query = query[order]
+        first = np.flatnonzero(np.r_[True, sorted_query[1:] != sorted_query[:-1]])
+        place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+        last, kept = order[place == self.k - 1], order[place < self.k]
+        self.bound[query[last]] = score[last]
+        self.held = [tuple(x[kept] for x in (query, key, unit, score, met))]
+        self.n = len(kept)
+
+    def all(self) -> tuple[np.ndarray, ...]:
+        if not self.held:
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0), np.zeros(0, np.int64))
+        self._thin()
+        return self.held[0]
+
+
 def _score(asked, idf: np.ndarray, avgdl: float, k: int, k1: float, b: float, measures: tuple[str, ...]):
-    """The best k texts of each batch for each query and measure, by score, then key."""
+    """The best k texts of a task for each query and measure, by score, then key."""
 
     def run(batches):
         a = asked.value
         n_queries, n_words = len(a.ids), max(1, len(a.words))
-        ids = np.array(a.ids, dtype=np.int64)
         order = np.argsort(a.word, kind="stable")
         by_word, starts = a.query[order], np.searchsorted(a.word[order], np.arange(n_words + 1))
-        for whole in batches if n_queries else ():
-            for lo in range(0, len(whole), max(1, min(2_000, _CELLS // max(1, n_queries)))):
-                batch = whole.slice(lo, max(1, min(2_000, _CELLS // max(1, n_queries))))
-                batch = batch.take(pc.sort_indices(batch, sort_keys=[("key", "ascending")]))
-                key = batch.column("key").to_numpy()
-                flat = {c: batch.column(c).flatten().to_numpy() for c in ("dl", "unit", "word", "tf")}
-                per_row = pc.list_value_length(batch.column("word")).to_numpy()
-                units = pc.list_value_length(batch.column("dl")).to_numpy()
-                base = np.r_[0, np.cumsum(units)]
-                row = np.repeat(np.arange(len(key)), per_row)
-                unit = base[:-1][row] + flat["unit"]
-                dl, tf = flat["dl"][unit], flat["tf"]
-                part = idf[flat["word"]] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)) if len(tf) else np.zeros(0)
+        best = {name: _Best(n_queries, k) for name in measures}
+        for batch in batches if n_queries else ():
+            key = batch.column("key").to_numpy()
+            flat = {c: batch.column(c).flatten().to_numpy() for c in ("dl", "unit", "word", "tf")}
+            base = np.r_[0, np.cumsum(pc.list_value_length(batch.column("dl")).to_numpy())]
+            row = np.repeat(np.arange(len(key)), pc.list_value_length(batch.column("word")).to_numpy())
+            unit, tf = base[:-1][row] + flat["unit"], flat["tf"]
+            part = idf[flat["word"]] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * flat["dl"][unit] / avgdl)) if len(tf) else np.zeros(0)
+            counts = np.diff(starts)[flat["word"]]
+            upto = np.cumsum(counts)
+            at = 0
+            while at < len(tf):  # whole rows, or units of a row that alone has too many
+                end = _stretch(row, unit, upto, at)
                 # Every posting goes to the queries that ask its word.
-                counts = np.diff(starts)[flat["word"]]
-                of = np.repeat(np.arange(len(tf)), counts)
-                query = by_word[np.repeat(starts[:-1][flat["word"]] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(len(of))]
-                cell = unit[of].astype(np.int64) * n_queries + query
+                n = counts[at:end]
+                of = np.repeat(np.arange(at, end), n)
+                query = by_word[np.repeat(starts[:-1][flat["word"][at:end]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(of))]
+                cell = (unit[of] - unit[at]).astype(np.int64) * n_queries + query
+                cells, inverse = _numbered(cell, (int(unit[end - 1]) - int(unit[at]) + 1) * n_queries)
+                own, asking = cells // n_queries + unit[at], cells % n_queries
                 for name in measures:
-                    value = part[of] if name == "bm25" else 1.0 / a.sizes[query]
-                    s = np.bincount(cell, weights=value, minlength=int(base[-1]) * n_queries).reshape(-1, n_queries)
-                    s = np.round(s if name == "bm25" else np.round(s * a.sizes[None, :]) / a.sizes[None, :], 6)
-                    yield from _best(name, key, base, s, ids, k)
+                    if name == "bm25":
+                        s = np.round(np.bincount(inverse, weights=part[of], minlength=len(cells)), 6)
+                    else:
+                        s = np.round(np.bincount(inverse, minlength=len(cells)) / a.sizes[asking], 6)
+                    best[name].add_units(np.searchsorted(base, own, side="right") - 1, own, asking, s, base, key)
+                at = end
+            for x in best.values():
+                x.end_rows()
+        for name, x in best.items():
+            query, key, unit, score, met = x.all()
+            cols = [pa.array([name] * len(query), pa.string()), pa.array(a.ids[query]), pa.array(key), pa.array(unit.astype(np.int32)), pa.array(score), pa.array(met - 1)]
+            yield pa.RecordBatch.from_arrays(cols, names=["list", "qid", "key", "k", "score", "collapsed"])
 
     return run
 
 
-def _best(name: str, key: np.ndarray, base: np.ndarray, s: np.ndarray, ids: np.ndarray, k: int):
-    """s: units by queries. Texts are ranked by their best unit."""
-    own = base[:-1]
-    if not len(own) or not s.size:
-        return
-    top = np.maximum.reduceat(s, own, axis=0)
-    met = np.add.reduceat((s > 0).astype(np.int32), own, axis=0)
-    rank = np.argsort(-top, axis=0, kind="stable")[:k]  # rows are in order of their keys
-    q = np.broadcast_to(np.arange(s.shape[1]), rank.shape)
-    good = top[rank, q] > 0
-    r, q = rank[good], q[good]
-    best = np.array([int(s[base[x] : base[x + 1], y].argmax()) for x, y in zip(r, q, strict=True)], dtype=np.int32) if len(s) > len(key) else np.zeros(len(r), np.int32)
-    cols = [pa.array([name] * len(r), pa.string()), pa.array(ids[q]), pa.array(key[r]), pa.array(best), pa.array(top[r, q]), pa.array((met[r, q] - 1).astype(np.int64))]
-    yield pa.RecordBatch.from_arrays(cols, names=["list", "qid", "key", "k", "score", "collapsed"])
+def _stretch(row: np.ndarray, unit: np.ndarray, upto: np.ndarray, at: int) -> int:
+    """Where to stop so that about _CELLS pairs are handled: behind a row, or if the row at hand has more than
+    that, behind a unit of it."""
+    limit = (upto[at - 1] if at else 0) + _CELLS
+    end = max(at + 1, int(np.searchsorted(upto, limit, side="right")))
+    if end >= len(row):
+        return len(row)
+    behind_row = int(np.searchsorted(row, row[end - 1], side="left"))
+    if row[end] != row[end - 1] and end > at:
+        return end
+    if behind_row > at:
+        return behind_row
+    behind_unit = int(np.searchsorted(unit, unit[end - 1], side="left"))
+    return behind_unit if behind_unit > at else int(np.searchsorted(unit, unit[at], side="right"))
+
+
+def _numbered(cell: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different cells in rising order, and each one's number: by counting where they are dense, else by sorting."""
+    if size > 4 * len(cell) + 1024:
+        return np.unique(cell, return_inverse=True)
+    has = np.zeros(size, dtype=bool)
+    has[cell] = True
+    return np.flatnonzero(has), (np.cumsum(has) - 1)[cell]
 
 
 def ranked(texts: DataFrame, queries: DataFrame, key: str, qid: str, k: int, *, measures: tuple[str, ...] = ("bm25",), k1: float = K1, b: float = B) -> DataFrame:
@@ -142,8 +228,8 @@ def ranked(texts: DataFrame, queries: DataFrame, key: str, qid: str, k: int, *,
 
     Texts are split into words once. Counts are taken in the row, of asked words only, and kept as a
     table; the asked words with their weights are broadcast, as there are at most ASKED_PAIRS of
-    them, and of each batch of texts only the best k for each query go on. More pairs than that are
-    asked in groups of queries.
+    them. A task scores the units that share a word with a query, keeps the best k texts of each query and passes
+    on these alone, when it ends. More pairs than that are asked in groups of queries.
     """
     spark = texts.sparkSession
     pairs = stored(asked_pairs(queries, qid))
@@ -152,7 +238,7 @@ def ranked(texts: DataFrame, queries: DataFrame, key: str, qid: str, k: int, *,
     found = None
     for g in range(groups):
         mine = pairs if groups == 1 else pairs.where(F.pmod(F.xxhash64(qid), F.lit(groups)) == g)
-        asked = Asked([(r[0], r[1]) for r in mine.toLocalIterator()])  # ASKED_PAIRS at most
+        asked = Asked(mine.toArrow())  # ASKED_PAIRS at most
         shared = spark.sparkContext.broadcast(asked)
         counted = stored(texts.select(F.col(key).cast("long").alias("key"), "units").mapInArrow(_count_words(shared), "key long, dl array<int>, unit array<int>, word array<int>, tf array<int>"))
         stats = counted.select(F.sum(F.size("dl")).alias("n"), (F.sum(F.aggregate("dl", F.lit(0).cast("long"), lambda x, y: x + y)) / F.sum(F.size("dl"))).alias("avgdl")).first()
