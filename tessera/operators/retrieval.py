@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..functions.vectors import SIZE, state_vector
 from ..sources.tables import stored
 
 K1, B = 1.2, 0.75
@@ -348,3 +349,45 @@ def metrics(ranked: DataFrame, gold: DataFrame, qid: str, key: str, k: int) -> D
         qid, F.when(F.col("n") > 0, 1.0).otherwise(0.0).alias("hit"), F.coalesce(F.col("n") / F.col("n_gold"), F.lit(0.0)).alias("recall"),
         F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), F.coalesce(F.col("dcg") / ideal, F.lit(0.0)).alias("ndcg"),
     )
+
+
+#: Numbers of query vectors that are broadcast at once (128 MB as doubles); more queries are asked in groups.
+ASKED_NUMBERS = 1 << 24
+
+
+def dense_ranked(texts: DataFrame, queries: DataFrame, key: str, qid: str, k: int, *, vector=state_vector, size: int = SIZE) -> DataFrame:
+    """qid, key, score (cosine, six places), rank: the best k texts of each query by their vectors, exactly. texts
+    and queries have a column text. Vectors are made where the texts are read and never leave the task, which
+    holds the best k texts of each query; queries' vectors are broadcast. A text without a vector (null, empty)
+    is like nothing and isn't ranked."""
+    spark = texts.sparkSession
+    asked = stored(queries.select(F.col(qid).cast("long").alias(qid), F.coalesce("text", F.lit("")).alias("text")))
+    groups = max(1, -(-asked.count() * size // ASKED_NUMBERS))
+
+    def search(shared):
+        def run(batches):
+            ids, vectors = shared.value
+            best = _Best(len(ids), k)
+            for batch in batches if len(ids) else ():
+                for at in range(0, len(batch), 1_000):
+                    part = batch.slice(at, 1_000)
+                    own = part.column("key").to_numpy()
+                    score = np.round(np.stack([vector(x) for x in part.column("text").to_pylist()]) @ vectors.T, 6)
+                    row, query = np.nonzero((score > 0) & (score >= best.bound))
+                    best.base, best.key = np.arange(len(own) + 1), own
+                    best._rank(row, query, row, score[row, query])
+            query, own, _, score, _ = best.all()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(own), pa.array(score)], names=["qid", "key", "score"])
+
+        return run
+
+    found = None
+    for g in range(groups):
+        mine = asked if groups == 1 else asked.where(F.pmod(F.xxhash64(qid), F.lit(groups)) == g)
+        rows = mine.toArrow()
+        vectors = np.stack([vector(x) for x in rows.column("text").to_pylist()]) if len(rows) else np.zeros((0, size))
+        shared = spark.sparkContext.broadcast((rows.column(qid).to_numpy(), vectors))
+        part = texts.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(search(shared), "qid long, key long, score double")
+        found = part if found is None else found.unionByName(part)
+    top = stored(top_k(found, "qid", [F.desc("score"), "key"], k))
+    return top.select(F.col("qid").alias(qid), F.col("key").alias(key), "score", "rank")
