@@ -2,10 +2,10 @@
 
 The directory is indexed by the first bits of a hash. It starts with one bucket; only a bucket
 above the byte limit splits on one more bit, until every bucket fits. Spark does ``STEP`` bits at a
-time: it sums the bytes of each prefix of STEP more bits within buckets that are still too large
-(the sums are partial before the shuffle), rolls the sums up to all depths between, and reads off
-at which depth each prefix first fits. Rows then look up their prefix. Only ids, sizes and hashes
-are shuffled, never texts.
+time: it sums the bytes of each prefix of STEP more bits (the sums are partial before the shuffle), rolls these
+cells, not rows, up to all depths between, and reads off at which depth each prefix first fits. Only rows of
+cells that are still too large after STEP bits, which takes more than 16 million buckets or many rows of one id,
+go into another round. Rows then look up their prefix. Only ids, sizes and hashes are shuffled, never texts.
 
 The hash has 60 bits of the id and 60 bits of the text, so rows of one id, however many, still
 split. Rows equal in both can't be told apart: their bucket is left whole and marked oversize, as
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut, table
 
-SHARD_BYTES = 8 << 20
-STEP = 12
+SHARD_BYTES = 64 << 10
+STEP = 24
 _BITS = 60
 
 
@@ -47,7 +47,7 @@ def shards(docs: DataFrame, *, limit: int = SHARD_BYTES, step: int = STEP) -> Da
         if depth == _BITS:  # the id's bits are used up: the text's follow
             deep = rows.withColumn("bits", F.concat("bits", "more"))
             open_ = deep.withColumn("cell", _prefix(depth)).join(open_cells.select("cell"), "cell", "left_semi").select("bytes", "bits")
-        to = depth + step
+        to = min(depth + step, _BITS if depth < _BITS else 2 * _BITS)
         cells = open_.groupBy(_prefix(to).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
         depths = F.explode(F.expr(f"sequence({depth if depth == 0 else depth + 1}, {to})"))
         each = cells.select("cell", "bytes", "n", depths.alias("depth"))
