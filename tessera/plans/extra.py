@@ -82,7 +82,7 @@ def bioe_decode(t, spark):
     return P.in_order(tags, ["g"], ["pos", "tag"], Open, "g long, type string, s int, e int")
 
 
-@query("episodic_recall", f"WITH q AS (SELECT item_id, list_slice(list_distinct({_TOK}), 1, 100) AS w FROM benchmark), x AS (SELECT item_id, unnest(w) AS term FROM q), c AS (SELECT conv_id, turn, unnest(list_distinct({_TOK})) AS term FROM conversations), s AS (SELECT item_id, conv_id, turn, count(*) AS n FROM x JOIN c USING (term) GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, conv_id, turn) AS rn FROM s) SELECT item_id, conv_id, turn, n FROM r WHERE rn <= 3")
+@query("episodic_recall", f"WITH q AS (SELECT item_id, list_distinct({_TOK}) AS w FROM benchmark), x AS (SELECT item_id, unnest(w) AS term FROM q), c AS (SELECT conv_id, turn, unnest(list_distinct({_TOK})) AS term FROM conversations), s AS (SELECT item_id, conv_id, turn, count(*) AS n FROM x JOIN c USING (term) GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, conv_id, turn) AS rn FROM s) SELECT item_id, conv_id, turn, n FROM r WHERE rn <= 3")
 def episodic_recall(t, spark):
     """Turns that share the most words with a question."""
     words = lambda name, *keys: t(name).select(*keys, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))

@@ -196,11 +196,11 @@ def lexicon_merge(t, spark):
 
 
 @query("candidate_harvest", r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+ ?[a-zA-Z%]+')) AS cand FROM documents), d AS (SELECT DISTINCT doc_id, cand FROM m WHERE length(cand) BETWEEN 3 AND 20)
-SELECT doc_id, cand FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cand) AS n FROM d) WHERE n <= 300""")
+SELECT doc_id, cand FROM d""")
 def candidate_harvest(t, spark):
-    """Different candidates of a text by a pattern, within limits of length, 300 a text at most."""
+    """Different candidates of a text by a pattern, within limits of length."""
     found = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+ ?[a-zA-Z%]+"), F.lit(0))), lambda c: F.length(c).between(3, 20))
-    return t("documents").select("doc_id", F.explode(F.slice(F.array_sort(found), 1, 300)).alias("cand"))
+    return t("documents").select("doc_id", F.explode(found).alias("cand"))
 
 
 @query("judged_pairs", """WITH j AS (SELECT l_orderkey AS q, l_partkey AS c, l_returnflag AS verdict, CASE l_linestatus WHEN 'F' THEN 1 ELSE 2 END AS file, l_linenumber AS line, l_suppkey FROM lineitem), last AS (SELECT q, c, arg_max(verdict, (file, line, l_suppkey)) AS verdict FROM j GROUP BY 1, 2),
@@ -444,15 +444,18 @@ def brief(t, spark):
     return r.groupBy("o_custkey").agg(F.substring(F.array_join(lines, "\n"), 1, 4800).alias("brief"))
 
 
-@query("graph_words", """WITH q AS (SELECT item_id, list_slice(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 3)), 1, 100) AS w FROM benchmark), x AS (SELECT item_id, unnest(w) AS term FROM q)
-SELECT DISTINCT item_id, n_nationkey FROM x JOIN nation ON contains(lower(n_name), term)""")
+@query("graph_words", """WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 3)) AS w FROM benchmark), x AS (SELECT item_id, unnest(w) AS term FROM q),
+whole AS (SELECT DISTINCT item_id, n_nationkey FROM x JOIN nation ON lower(n_name) = term)
+SELECT * FROM whole UNION ALL SELECT DISTINCT item_id, n_nationkey FROM x JOIN nation ON contains(lower(n_name), term) WHERE item_id NOT IN (SELECT item_id FROM whole)""")
 def graph_words(t, spark):
-    """Seeds of a graph search by a question's words, where the whole finds none."""
+    """Seeds of a graph search: nodes whose whole name a question has, else those that have one of its words in their name."""
     words = F.filter(F.array_distinct(T.tokens(F.col("text"))), lambda w: F.length(w) >= 3)
-    x = t("benchmark").select("item_id", F.explode(F.slice(words, 1, 100)).alias("term"))
+    x = t("benchmark").select("item_id", F.explode(words).alias("term"))
     grams = t("nation").select("n_nationkey", F.lower("n_name").alias("name"))
     part = grams.select("n_nationkey", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda i: F.transform(F.sequence(F.lit(3), F.length("name") - i + 1), lambda n: F.substring("name", i, n))))).alias("term"))
-    return x.join(part.distinct(), "term").select("item_id", "n_nationkey").distinct()
+    whole = x.join(grams.withColumnRenamed("name", "term"), "term").select("item_id", "n_nationkey").distinct()
+    other = x.join(part.distinct(), "term").select("item_id", "n_nationkey").distinct()
+    return whole.unionByName(other.join(whole.select("item_id"), "item_id", "left_anti"))
 
 
 @query("alias_upsert", "WITH have AS (SELECT n_name AS name FROM nation WHERE n_nationkey % 2 = 0), new AS (SELECT n_name AS name, n_regionkey FROM nation) SELECT new.name, r_name AS source FROM new JOIN region ON r_regionkey = n_regionkey WHERE name NOT IN (SELECT name FROM have)")
