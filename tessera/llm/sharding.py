@@ -53,7 +53,10 @@ def shards(docs: DataFrame, *, limit: int = SHARD_BYTES, step: int = STEP) -> Da
         each = cells.select("cell", "bytes", "n", depths.alias("depth"))
         sums = each.groupBy("depth", F.expr("substring(cell, 1, depth)").alias("prefix")).agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("n"))
         fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("n") == 1) | (F.col("depth") == 2 * _BITS))
-        at = each.withColumn("prefix", F.expr("substring(cell, 1, depth)")).select("cell", "depth", "prefix")
+        # Above the first depth at which a prefix fits, a few prefixes hold all cells: these don't look there.
+        fits = cut(fits)
+        first = fits.agg(F.min("depth")).first()[0]
+        at = each.where(F.col("depth") >= (to + 1 if first is None else first)).withColumn("prefix", F.expr("substring(cell, 1, depth)")).select("cell", "depth", "prefix")
         leaf = at.join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "shard_bytes")).alias("leaf"))
         found = cut(cells.select("cell").join(leaf, "cell", "left").select("cell", "leaf.depth", "leaf.shard_bytes"))
         maps.append((to, found.where("depth IS NOT NULL")))
