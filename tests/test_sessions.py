@@ -120,7 +120,7 @@ def test_blocked_turns_leave_the_history(spark):
     frame = spark.createDataFrame([(1, *r) for r in LOOP], "conv_id long, turn long, action string, text string")
     got = by_conversation(S.guarded(frame).collect())[1]
     assert got == brute_guard(LOOP)
-    assert [x[2] for x in got] == [None, None, "repeat", None, None, "alike", None, None, None]
+    assert [x[2] for x in got] == [None, None, "repeat", None, "repeat", "alike", None, None, None]
 
 
 def test_guard_stream_equals_the_batch_across_restarts(rocks, tmp_path):
