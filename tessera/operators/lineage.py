@@ -19,16 +19,17 @@ def chain_ends(links: DataFrame) -> DataFrame:
     ends = known.select(F.col("next").alias("code")).distinct().join(one, "code", "left_anti")
     closed = stored(ends.select("code", F.col("code").alias("end"), F.lit(0).alias("hops"), F.lit(None).cast(one.schema["since"].dataType).alias("since"), F.array().cast(f"array<{one.schema['code'].dataType.simpleString()}>").alias("path")))
     open_ = stored(one.select("code", "end", F.lit(1).alias("hops"), "since", F.array("end").alias("path")))
-    left, reach = open_.count(), 1
-    codes = left
-    while left and reach <= codes:
+    left, before = open_.count(), None
+    # A chain's codes are all on the way of its first one, so each round closes some while any chain is open: a round
+    # that closes none has left only cycles. Paths are never longer than twice the longest chain.
+    while left and left != before:
         # what an open pointer points to is open or closed itself
         ahead = closed.unionByName(open_).select(F.col("code").alias("end"), F.col("end").alias("end2"), F.col("hops").alias("hops2"), F.col("since").alias("since2"), F.col("path").alias("path2"))
         both = open_.join(ahead, "end")
         moved = stored(both.select("code", F.col("end2").alias("end"), (F.col("hops") + F.col("hops2")).alias("hops"), F.coalesce("since2", "since").alias("since"), F.concat("path", "path2").alias("path")))
         ended = moved.join(ends.select(F.col("code").alias("end")), "end", "left_semi")
         closed, open_ = stored(closed.unionByName(ended)), stored(moved.join(ends.select(F.col("code").alias("end")), "end", "left_anti"))
-        left, reach = open_.count(), 2 * reach
+        left, before = open_.count(), left
     done = closed.withColumn("status", F.when(F.col("hops") == 0, "valid").otherwise("superseded"))
     stuck = open_.withColumns({"end": F.lit(None).cast(one.schema["end"].dataType), "hops": F.lit(None).cast("int"), "since": F.lit(None).cast(one.schema["since"].dataType), "path": F.lit(None).cast(open_.schema["path"].dataType), "status": F.lit("cycle")})
     return done.unionByName(stuck).withColumnRenamed("end", "valid_end")

@@ -132,3 +132,10 @@ def test_risk_rows_equal_the_checks(spark):
     assert rows("risk_rows") == rows("run_checks")
     with pytest.raises(Exception, match="key and a text"):
         spark.sql("SELECT * FROM tessera_risk_rows(TABLE(SELECT 1 AS a))").collect()
+
+
+def test_many_cycles_beside_short_chains(spark):
+    """Paths of cycles don't grow with the number of codes."""
+    rows = spark.range(20_000).selectExpr("id AS code", "CASE WHEN id % 100 = 99 THEN id - 99 ELSE id + 1 END AS next", "1 AS since").union(spark.sql("SELECT 50000L, 50001L, 1"))
+    got = lineage.chain_ends(rows).groupBy("status").count().collect()
+    assert {r.status: r["count"] for r in got} == {"cycle": 20_000, "superseded": 1, "valid": 1}
