@@ -92,8 +92,11 @@ def numbered(rows: DataFrame, order: str, group: str | None = None) -> DataFrame
     placed = stored(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
     counts = placed.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))  # a row for each partition and group
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = counts.select("_part", *keys, "_first", before.alias("_before"))
-    return placed.join(own, ["_part", *keys]).withColumn("i", F.col("_before") + F.col("_row") - F.col("_first")).drop("_part", "_row", "_before", "_first")
+    own = counts.select(F.col("_part").alias("_at"), *(F.col(k).alias("_key") for k in keys), "_first", before.alias("_before"))
+    same = F.col("_part") == F.col("_at")
+    for k in keys:
+        same &= placed[k].eqNullSafe(own["_key"])
+    return placed.join(own, same).withColumn("i", F.col("_before") + F.col("_row") - F.col("_first")).drop("_part", "_at", "_key", "_row", "_before", "_first")
 
 
 def zipped(a: DataFrame, b: DataFrame, place: str, value: str) -> DataFrame:

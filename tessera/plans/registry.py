@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import text, retrieval, dataset, labels, graphs, stateful, extra, review, measures, details, sessions, agents, hybrid, designs, sections, findings, routing, audits  # noqa: E402, F401, I001  they register themselves
+from . import text, retrieval, dataset, labels, graphs, stateful, extra, review, measures, details, sessions, agents, hybrid, designs, sections, findings, routing, audits, verdicts  # noqa: E402, F401, I001  they register themselves
