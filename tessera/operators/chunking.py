@@ -61,6 +61,23 @@ def units(clauses: DataFrame, size: int = SIZE, overlap: int = OVERLAP, whole: i
     return clauses.select("clause_id", "text", "source").mapInPandas(split, _UNIT)
 
 
+def unit_texts(docs: DataFrame, key: str, size: int = SIZE, overlap: int = OVERLAP, whole: int = WHOLE) -> DataFrame:
+    """key and units, the texts of the same chunks in a text's own row, so that nothing is grouped again. Null and
+    blank texts have none."""
+
+    def split(frames):
+        for frame in frames:
+            out = []
+            for text in frame["text"]:
+                text = text or ""
+                spans = [(0, len(text))] if len(text) <= whole else recursive_spans(text, size, overlap)
+                out.append([part for s, e in spans if (part := text[s:e]).strip()])
+            yield pd.DataFrame({key: frame[key], "units": out})
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInPandas(split, f"{key} {kind}, units array<string>")
+
+
 def strides(text: Column, size: int = SIZE, overlap: int = OVERLAP, whole: int = WHOLE) -> tuple[Column, Column]:
     """Where the fixed windows of a text start (array of int), and how long they are at most."""
     n, step = F.length(text), size - overlap

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 from .sampling import hash_order, numbered
 
 #: Places of a text that spans are looked up by.
@@ -36,7 +37,8 @@ def gates(rows: DataFrame, key: str, *, span_margin: float = 0.25, other_margin:
         .when(F.get("_others", F.floor(F.size("_others") / 2).cast("int")) < other_margin, "other").when(F.size("_named") > 0, "kept").otherwise("spare")
     )
     least = F.coalesce(F.array_min(F.transform("_cells", lambda x: x["m"])), F.lit(0.0))
-    judged = own.join(F.broadcast(cut), how="left").select(key, gate.alias("gate"), F.round(least, 4).alias("min_margin"))
+    # written once: the quota, the spare rows and the result read three narrow columns
+    judged = stored(own.join(F.broadcast(cut), how="left").select(key, gate.alias("gate"), F.round(least, 4).alias("min_margin")))
     quota = judged.where("gate = 'kept'").agg(F.floor(F.count("*") * negatives).alias("_most"))
     spare = numbered(judged.where("gate = 'spare'").select(key, F.struct(hash_order(F.col(key), seed).alias("h"), key).alias("o")).distinct(), "o")
     chosen = spare.crossJoin(F.broadcast(quota)).where(F.col("i") < F.col("_most")).select(key, F.lit(True).alias("_chosen"))

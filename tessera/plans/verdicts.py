@@ -3,11 +3,17 @@ contents pages, frames of sections, exported reports."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import chunking
 from ..operators import reports as O
+from ..operators import retrieval as R
 from ..operators import verdicts as V
+from ..sources.tables import stored
 from .registry import query
 from .retrieval import _TOK, BM25, _both, _gold
 
@@ -170,3 +176,52 @@ def exported_reports(t, spark):
     row = F.concat_ws("|", "severity", "check", "title", F.coalesce("description", F.lit("")), F.coalesce("suggestion", F.lit("")))
     both = spark.read.text(md).select(F.lit("md").alias("kind"), F.md5("value").alias("digest")).unionByName(back.select(F.lit("sheet").alias("kind"), F.md5(row).alias("digest")))
     return both.groupBy("kind", "digest").agg(F.count("*").alias("n"))
+
+
+_SIZES = ((350, 50), (700, 100), (1000, 150))
+
+
+@query("recursive_size_ab")
+def recursive_size_ab(t, spark):
+    """The same questions on recursive chunks of three sizes: chunks, the share of questions whose gold text is among
+    the best five, and the mean reciprocal rank."""
+    gold, asked, out = _gold(t), R.tokenised(t("benchmark"), "item_id"), []
+    for size, overlap in _SIZES:
+        words = F.transform("units", lambda u: T.tokens(u))
+        texts = stored(chunking.unit_texts(t("documents").select("doc_id", "text"), "doc_id", size, overlap).select("doc_id", words.alias("units")))
+        m = R.metrics(R.ranked(texts, asked, "doc_id", "item_id", 5), gold, "item_id", "doc_id", 5)
+        scores = m.agg(F.round(F.avg((F.col("mrr") > 0).cast("int")), 6).alias("hit"), F.round(F.avg("mrr"), 6).alias("mrr"), F.count("*").alias("n"))
+        out.append(texts.agg(F.sum(F.size("units")).alias("chunks")).crossJoin(scores).select(F.lit(size).alias("size"), "chunks", "hit", "mrr", "n"))  # one row each
+    return reduce(DataFrame.unionByName, out)
+
+
+#: Kinds of nations by words of a question, and how many of its words are tried where it names none.
+_NAMED, _TRIED = {"ones": ("the", "and"), "twos": ("der", "und"), "threes": ("pour", "dans")}, 3
+_KINDS_OF = ("ones", "twos", "threes")
+
+
+@query("graph_path", f"""WITH q AS (SELECT item_id, lower(text) AS text FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id, 'x 1' || (item_id % 5) || '？' || lower(substr(text, 40, 12)) || ' tion' FROM benchmark WHERE item_id % 2 = 1),
+k AS (SELECT item_id, kind FROM q, (VALUES {", ".join(f"('{k}', '{w}')" for k, ws in _NAMED.items() for w in ws)}) v(kind, word) WHERE contains(text, word) GROUP BY ALL), kn AS (SELECT item_id, kind, n_nationkey, n_regionkey FROM k JOIN nation ON (['ones', 'twos', 'threes'])[n_nationkey % 3 + 1] = kind),
+w AS (SELECT item_id, unnest(list_slice(list_filter(string_split(replace(text, '？', ' '), ' '), lambda x: length(x) >= 2), 1, {_TRIED})) AS word FROM q WHERE item_id NOT IN (SELECT item_id FROM k)), wn AS (SELECT DISTINCT item_id, n_nationkey, n_regionkey FROM w JOIN nation ON contains(lower(n_name), word)),
+s AS (SELECT item_id, n_nationkey, n_regionkey, 'kind' AS way FROM kn UNION SELECT item_id, n_nationkey, n_regionkey, 'word' FROM wn)
+SELECT item_id, way, 'n' || n_nationkey AS id FROM s UNION SELECT item_id, way, 'r' || n_regionkey FROM s UNION SELECT item_id, way, 's' || s_suppkey FROM s JOIN supplier ON s_nationkey = n_nationkey WHERE way = 'kind'""")
+def graph_path(t, spark):
+    """What a question leads to in the graph: by the kinds that it names, with their regions and suppliers; where it
+    names none, by its first three words of two letters, found in names as parts, with their regions only."""
+    b, text = t("benchmark"), F.lower("text")
+    odd = F.concat(F.lit("x 1"), (F.col("item_id") % 5).cast("string"), F.lit("？"), F.lower(F.substring("text", 40, 12)), F.lit(" tion"))
+    q = b.select("item_id", F.when(F.col("item_id") % 2 == 0, text).otherwise(odd).alias("text"))
+    has = lambda words: reduce(lambda a, c: a | c, [F.contains("text", F.lit(w)) for w in words])
+    kinds = F.array_compact(F.array(*(F.when(has(words), kind) for kind, words in _NAMED.items())))
+    q = q.withColumn("kinds", kinds)
+    n = t("nation").select("n_nationkey", "n_regionkey", F.lower("n_name").alias("name"), F.get(F.array(*map(F.lit, _KINDS_OF)), (F.col("n_nationkey") % 3).cast("int")).alias("kind"))
+    by_kind = q.select("item_id", F.explode("kinds").alias("kind")).join(n, "kind").select("item_id", "n_nationkey", "n_regionkey", F.lit("kind").alias("way"))
+    words = F.slice(F.filter(F.split(F.replace("text", F.lit("？"), F.lit(" ")), " "), lambda x: F.length(x) >= 2), 1, _TRIED)
+    # a name's parts, so that words meet them by equality
+    part = n.select("n_nationkey", "n_regionkey", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.transform(F.sequence(F.lit(2), F.length("name") - i + 1), lambda k: F.substring("name", i, k))))).alias("word")).distinct()
+    by_word = q.where(F.size("kinds") == 0).select("item_id", F.explode(words).alias("word")).join(part, "word").select("item_id", "n_nationkey", "n_regionkey", F.lit("word").alias("way"))
+    s = by_kind.unionByName(by_word).distinct()
+    named = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    near = s.select("item_id", "way", F.explode(F.array(named("n", "n_nationkey"), named("r", "n_regionkey"))).alias("id")).distinct()
+    far = s.where("way = 'kind'").join(t("supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey"), "n_nationkey").select("item_id", "way", named("s", "s_suppkey").alias("id")).distinct()
+    return near.unionByName(far)

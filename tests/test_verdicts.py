@@ -112,3 +112,42 @@ def test_frames_of_unknown_kinds(spark):
     assert got[1].sections[0]["items"] == ["a：ha（管控：ca）", "b：hb（管控：cb）"] and got[1].sections[1]["items"] == ["c1", "（超规模）专家论证"]
     assert got[2].sections[0]["items"] == [] and got[2].title.startswith(" crane 该工程 ") and got[3].sections == []
     assert got[3].markdown.split("\n")[2] == "- 危大类别：x（危大级别）"
+
+
+def test_sizes_of_recursive_chunks_against_plain_bm25(spark):
+    import math
+    import re
+    from collections import Counter
+
+    from tessera.operators import chunking
+    from tessera.plans.registry import QUERIES
+    from tessera.plans.verdicts import _SIZES
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = {r.item_id: r.text or "" for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    split = lambda x: [w for w in re.split(r"[\W_]+", x.lower()) if w]
+    golden = {q: {d for d, x in docs.items() if text in x} for q, text in items.items()}
+    golden = {q: ds for q, ds in golden.items() if ds}
+    assert golden
+    got = {r["size"]: r for r in QUERIES["recursive_size_ab"](spark, sf).collect()}
+    for size, overlap in _SIZES:
+        units = []
+        for d, x in docs.items():
+            spans = [(0, len(x))] if len(x) <= chunking.WHOLE else chunking.recursive_spans(x, size, overlap)
+            units += [(d, Counter(split(x[s:e]))) for s, e in spans if x[s:e].strip()]
+        lengths = [max(1, sum(c.values())) for _, c in units]
+        df, mean = Counter(w for _, c in units for w in c), sum(lengths) / len(units)
+        total = hits = 0.0
+        for q in golden:
+            best = {}
+            for (d, c), n in zip(units, lengths, strict=True):
+                score = sum(math.log(1 + (len(units) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * n / mean)) for w in set(split(items[q])) if w in c)
+                if score > best.get(d, 0):
+                    best[d] = score
+            order = [d for d, _ in sorted(best.items(), key=lambda x: (-round(x[1], 6), x[0]))[:5]]
+            first = next((k for k, d in enumerate(order, 1) if d in golden[q]), None)
+            total += 1 / first if first else 0
+            hits += first is not None
+        assert (got[size].chunks, got[size].n) == (len(units), len(golden))
+        assert abs(got[size].mrr - total / len(golden)) < 1e-5 and abs(got[size].hit - hits / len(golden)) < 1e-5
