@@ -159,10 +159,13 @@ def distribution_diff(t, spark):
 
 @query("ratio_assembly", "WITH p AS (SELECT count(*) AS n FROM labels WHERE quality = 1), r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || '|3'), doc_id) AS rn FROM labels) SELECT doc_id, quality FROM r, p WHERE quality = 1 OR rn <= floor(n * 0.4)")
 def ratio_assembly(t, spark):
-    """All positives, and 0.4 negatives for each."""
-    n = t("labels").where("quality = 1").agg(F.count(F.lit(1)).alias("n"))
-    rn = F.row_number().over(Window.partitionBy("quality").orderBy(S.hash_order(F.col("doc_id"), "3"), "doc_id"))
-    return t("labels").withColumn("rn", rn).crossJoin(F.broadcast(n)).where((F.col("quality") == 1) | (F.col("rn") <= F.floor(F.col("n") * 0.4))).select("doc_id", "quality")  # n: one row
+    """All positives, and 0.4 negatives for each. Places are counted by ranges of hashes, so that no label's rows
+    have to fit into a task."""
+    l = t("labels").select("doc_id", "quality")
+    n = l.where("quality = 1").agg(F.count(F.lit(1)).alias("n"))
+    rest = l.where("quality <> 1 OR quality IS NULL").withColumn("o", F.struct(S.hash_order(F.col("doc_id"), "3").alias("h"), "doc_id"))
+    drawn = S.numbered(rest, "o", "quality").crossJoin(F.broadcast(n)).where(F.col("i") < F.floor(F.col("n") * 0.4))  # n: one row
+    return l.where("quality = 1").unionByName(drawn.select("doc_id", "quality"))
 
 
 @query("cartesian_values", "SELECT p_type, a.p_size AS lo, b.p_size AS hi, count(*) AS n FROM (SELECT DISTINCT p_type, p_size FROM part) a JOIN (SELECT DISTINCT p_type, p_size FROM part) b USING (p_type) WHERE a.p_size < b.p_size AND b.p_size - a.p_size < 3 GROUP BY 1, 2, 3")

@@ -13,6 +13,7 @@ from ..operators import chunking
 from ..operators import reports as O
 from ..operators import retrieval as R
 from ..operators import verdicts as V
+from ..sources import files
 from ..sources.tables import stored
 from .registry import query
 from .retrieval import _TOK, BM25, _both, _gold
@@ -225,3 +226,17 @@ def graph_path(t, spark):
     near = s.select("item_id", "way", F.explode(F.array(named("n", "n_nationkey"), named("r", "n_regionkey"))).alias("id")).distinct()
     far = s.where("way = 'kind'").join(t("supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey"), "n_nationkey").select("item_id", "way", named("s", "s_suppkey").alias("id")).distinct()
     return near.unionByName(far)
+
+
+@query("case_texts", """WITH p AS (SELECT 'plan ' || (item_id // 20) AS plan_file, string_agg(coalesce(text, '') || chr(10), '' ORDER BY item_id) AS plan FROM benchmark WHERE item_id // 20 % 4 <> 3 GROUP BY 1),
+c AS (SELECT item_id, CASE WHEN item_id % 7 <> 0 THEN 'plan ' || (item_id // 20) END AS plan_file FROM benchmark) SELECT item_id, c.plan_file, length(coalesce(plan, '')) AS n, md5(coalesce(plan, '')) AS digest FROM c LEFT JOIN p USING (plan_file)""")
+def case_texts(t, spark):
+    """Cases out of JSON lines with the texts of the side files that they name: twenty passages a file, every fourth
+    file missing, every seventh case without one."""
+    cases, sides = files.scratch(spark, "cases"), files.scratch(spark, "sides")
+    named = t("benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("value"), F.floor(F.col("item_id") / 20).alias("k")).withColumn("side", F.concat(F.lit("plan "), F.col("k").cast("string")))
+    named.where("k % 4 <> 3").repartition("side").sortWithinPartitions("side", "item_id").select("value", "side").write.partitionBy("side").text(sides)
+    files.write_jsonl(named.select("item_id", F.when(F.col("item_id") % 7 != 0, F.col("side")).alias("plan_file")), cases)
+    read = files.read_jsonl(spark, cases, "item_id long, plan_file string")
+    whole = files.with_side_text(read, sides, "plan_file", "plan")
+    return whole.select("item_id", "plan_file", F.length("plan").cast("long").alias("n"), F.md5("plan").alias("digest"))

@@ -24,6 +24,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("pathGlobFilter", "*.txt").text(path).select(F.col("value").alias("line"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"))
 
 
+def with_side_text(cases: DataFrame, path: str, name: str, text: str) -> DataFrame:
+    """cases with the whole text of the side file that a column names, "" where they name none or there is none such.
+    A side file is what its own folder (``side=<name>``) below the path holds, one row of a task."""
+    files = cases.sparkSession.read.schema("value string, side string").text(path, wholetext=True)
+    named = files.select(F.col("side").alias("_file"), F.col("value").alias(text))
+    return cases.join(named, F.col(name) == F.col("_file"), "left").drop("_file").withColumn(text, F.coalesce(text, F.lit("")))
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

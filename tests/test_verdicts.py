@@ -151,3 +151,13 @@ def test_sizes_of_recursive_chunks_against_plain_bm25(spark):
             hits += first is not None
         assert (got[size].chunks, got[size].n) == (len(units), len(golden))
         assert abs(got[size].mrr - total / len(golden)) < 1e-5 and abs(got[size].hit - hits / len(golden)) < 1e-5
+
+
+def test_side_texts(spark, tmp_path):
+    from tessera.sources import files
+
+    rows = [("a b", "one\n\ntwo"), ("ü%", "x"), ("empty", "")]
+    spark.createDataFrame(rows, "side string, value string").repartition("side").write.partitionBy("side").text(str(tmp_path / "s"))
+    cases = spark.createDataFrame([(1, "a b"), (2, "ü%"), (3, "none"), (4, None), (5, "empty"), (6, "a b")], "id long, f string")
+    got = {r.id: r.t for r in files.with_side_text(cases, str(tmp_path / "s"), "f", "t").collect()}
+    assert got == {1: "one\n\ntwo\n", 2: "x\n", 3: "", 4: "", 5: "\n", 6: "one\n\ntwo\n"}
