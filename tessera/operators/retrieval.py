@@ -280,23 +280,63 @@ def _holders(passages):
     return run
 
 
+def _found(passages):
+    """The numbers of the passages that some text of a task holds."""
+
+    def run(batches):
+        every = passages.value
+        finder = ahocorasick.Automaton()
+        for k, text in enumerate(every):
+            if text:
+                finder.add_word(text, k)
+        if len(finder):
+            finder.make_automaton()
+        found, empty = set(), {k for k, text in enumerate(every) if not text}
+        for batch in batches:
+            for text in batch.column("text"):
+                if text.is_valid and len(found) < len(every):  # once all are found, no text can tell more
+                    found |= empty
+                    if len(finder):
+                        found.update(k for _, k in finder.iter(text.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["passage"])
+
+    return run
+
+
+def _passage_groups(passages: DataFrame):
+    """PASSAGE_CHARS characters of different passages at a time, each with its rows of a stored table."""
+    size = passages.agg(F.sum(F.length("text"))).first()[0] or 0
+    groups = -(-size // PASSAGE_CHARS) if size else 1
+    for g in range(groups):
+        mine = passages if groups == 1 else passages.where(F.pmod(F.xxhash64("text"), F.lit(groups)) == g)
+        every = [r[0] for r in mine.select("text").distinct().toLocalIterator()]  # about PASSAGE_CHARS characters
+        yield mine, every, passages.sparkSession.createDataFrame([(k, t) for k, t in enumerate(every)], "passage int, text string")
+
+
 def holders(texts: DataFrame, passages: DataFrame, key: str, qid: str) -> DataFrame:
     """qid, key of every text that holds a passage, of any length, as it stands. Texts are read once
     for each PASSAGE_CHARS characters of different passages, which are looked for all together."""
-    spark = texts.sparkSession
+    spark, found = texts.sparkSession, None
     own = stored(passages.where(F.col("text").isNotNull()).select(F.col(qid).cast("long").alias(qid), F.col("text")))
-    size = own.agg(F.sum(F.length("text"))).first()[0] or 0
-    groups, found = -(-size // PASSAGE_CHARS) if size else 1, None
-    for g in range(groups):
-        mine = own if groups == 1 else own.where(F.pmod(F.xxhash64("text"), F.lit(groups)) == g)
-        every = [r[0] for r in mine.select("text").distinct().toLocalIterator()]  # about PASSAGE_CHARS characters
-        named = spark.createDataFrame([(k, t) for k, t in enumerate(every)], "passage int, text string").join(mine, "text").select("passage", qid)
+    for mine, every, numbers in _passage_groups(own):
+        named = numbers.join(mine, "text").select("passage", qid)
         hits = texts.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(_holders(spark.sparkContext.broadcast(every)), "key long, passage int")
         part = hits.join(named, "passage").select(qid, F.col("key").alias(key))
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def held(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """text: the different passages that some text holds. Each task tells once which ones it met, so that neither a
+    text's copies nor a passage's make rows."""
+    spark, found = texts.sparkSession, None
+    for _, every, numbers in _passage_groups(stored(passages.where(F.col("text").isNotNull()).select("text").distinct())):
+        hits = texts.select("text").mapInArrow(_found(spark.sparkContext.broadcast(every)), "passage int").distinct()
+        part = hits.join(numbers, "passage").select("text")
+        found = part if found is None else found.unionByName(part)
+    return stored(found)
+
+
 def top_k(scored: DataFrame, group: str, order: list, k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group in the given order, with their rank."""
     return scored.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(name) <= k)

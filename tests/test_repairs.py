@@ -48,3 +48,15 @@ def test_appendix_rules():
 
 def test_rising_runs():
     assert C.rising_runs([]) == [] and C.rising_runs([(1,), (2,), (2,), (1,), (5,)]) == [(0, 2), (2, 3), (3, 5)]
+
+
+def test_passages_held_make_no_rows_per_copy(spark):
+    from tessera.operators import retrieval as R
+
+    plan = QUERIES["leak_substring"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan and "Join Inner" not in plan
+    texts = spark.createDataFrame([("a b c",), (None,), ("ab",)] * 3, "text string")
+    for words, want in ((["a b", "ab", "ab", "bc", "abc", "", None], {"a b", "ab", ""}), ([None], set()), ([""], {""}), (["zz"], set())):
+        got = [r[0] for r in R.held(texts, spark.createDataFrame([(w,) for w in words], "text string")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert R.held(texts.where("text IS NULL"), spark.createDataFrame([("",)], "text string")).count() == 0
