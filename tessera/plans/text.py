@@ -120,11 +120,13 @@ def normalise_codes(t, spark):
 
 
 @query("info_score", r"""SELECT doc_id, CAST(3 * CAST(regexp_matches(lower(text), 'password|secret|license') AS INT) + 2 * CAST(regexp_matches(text, '[0-9]+ ?[a-z%]') AS INT)
-+ CAST(length(text) BETWEEN 60 AND 320 AS INT) - CAST(regexp_matches(text, '[A-Za-z]{20,}') AS INT) - 6 * CAST(regexp_matches(text, '^(The|In)\b') AS INT) AS INT) AS score FROM documents""")
++ CAST(length(text) BETWEEN 60 AND 320 AS INT) - CAST(regexp_matches(text, '[A-Za-z]{20,}') AS INT) - 6 * CAST(regexp_matches(text, '^(The|In)([^\p{L}\p{M}\p{N}_]|$)') AS INT) AS INT) AS score FROM documents""")
 def info_score(t, spark):
+    """How much a text tells: 3 for a telling word, 2 for a quantity, 1 for 60 to 320 characters; less 1 for a long Latin
+    word, 6 for a first word The or In. A word ends where no letter, mark, digit or underscore of any script follows."""
     hit = lambda c, p: c.rlike(p).cast("int")
     text = F.col("text")
-    score = 3 * hit(F.lower("text"), "password|secret|license") + 2 * hit(text, "[0-9]+ ?[a-z%]") + F.length("text").between(60, 320).cast("int") - hit(text, "[A-Za-z]{20,}") - 6 * hit(text, r"^(The|In)\b")
+    score = 3 * hit(F.lower("text"), "password|secret|license") + 2 * hit(text, "[0-9]+ ?[a-z%]") + F.length("text").between(60, 320).cast("int") - hit(text, "[A-Za-z]{20,}") - 6 * hit(text, r"^(The|In)([^\p{L}\p{M}\p{N}_]|$)")
     return t("documents").select(_ID, score.cast("int").alias("score"))
 
 

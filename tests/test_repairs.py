@@ -1,11 +1,12 @@
 """Row-by-row zips that must fail, escaped lines, and pairs counted without making them."""
 
 import pytest
+from compare import difference
 from pyspark.sql import functions as F
 
 from tessera.operators import clauses as C
 from tessera.operators import sampling as S
-from tessera.plans.registry import QUERIES
+from tessera.plans.registry import ORACLE_SQL, QUERIES
 from tessera.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +61,11 @@ def test_passages_held_make_no_rows_per_copy(spark):
         got = [r[0] for r in R.held(texts, spark.createDataFrame([(w,) for w in words], "text string")).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert R.held(texts.where("text IS NULL"), spark.createDataFrame([("",)], "text string")).count() == 0
+
+
+def test_first_words_end_at_letters_of_any_script(spark, tmp_path):
+    texts = {"In\u00f6zust": 0, "In der": -6, "The": -6, "In\n": -6, "In1": 0, "In_a": 0, "In\u0301": 0, "The\u00e4ter": 0, "In\u4e2d": 0, "Then": 0, "In-": -6, " In": 0, "": 0}
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    rows.toPandas().to_parquet(tmp_path / "documents.parquet")
+    assert [r.score for r in QUERIES["info_score"](spark, str(tmp_path)).orderBy("doc_id").collect()] == list(texts.values())
+    assert difference("info_score", QUERIES, ORACLE_SQL, spark, str(tmp_path)) == ""
