@@ -100,6 +100,11 @@ def _fits(metric: Column, unit: Column) -> Column:
     return out
 
 
+def with_neighbours(own: Column, before: Column, after: Column) -> Column:
+    """A sentence's category: its own, or that of the sentence before, or after."""
+    return F.coalesce(own, before, after)
+
+
 def triples(entities: DataFrame, key: str) -> DataFrame:
     """key, sent, category, subject, metric, value, unit of every quantity (type 参数) of entities (key, sent, sentence,
     type, text, start, end) with a number and unit at most REACH characters behind it, in a unit that fits its name.
@@ -109,21 +114,29 @@ def triples(entities: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy("sent")
     own = per.withColumn("own", category_of(F.col("sentence")))
     beside = lambda f, d: F.when(f("sent", 1).over(w) == F.col("sent") + d, f("own", 1).over(w))
-    placed = own.withColumn("category", F.coalesce("own", beside(F.lag, -1), beside(F.lead, 1)))
-    each = placed.select(key, "sent", "sentence", "ents", "category", F.explode(F.filter("ents", lambda e: e["type"] == "参数")).alias("p"))
+    return bound(own.withColumn("category", with_neighbours(F.col("own"), beside(F.lag, -1), beside(F.lead, 1))), key)
+
+
+def bound(sentences: DataFrame, key: str) -> DataFrame:
+    """The triples of sentences (key, sent, sentence, category, ents: array of type, text, start, end), each from its row
+    alone: where these are at hand, neither entities nor sentences are shuffled."""
+    pattern = rf"(?is)^.{{0,{REACH}}}?(-?[0-9]+(?:\.[0-9]+)?)\s*({UNITS_AS_WRITTEN})(?![a-z])"
+
+    def quantity(e: Column) -> Column:
+        behind = F.substring(F.col("sentence"), e["end"] + 1, F.length("sentence"))
+        return F.struct(e["text"].alias("text"), e["start"].alias("start"), F.regexp_extract(behind, pattern, 1).alias("number"), F.regexp_extract(behind, pattern, 2).alias("unit"))
+
+    quantities = F.filter(F.transform(F.filter("ents", lambda e: e["type"] == "参数"), quantity), lambda p: p["number"] != "")
+    each = sentences.select(key, "sent", "ents", "category", F.explode(quantities).alias("p")).where(_fits(F.col("p.text"), F.col("p.unit")))
 
     def last_before(kind: str) -> Column:
         before = F.filter("ents", lambda e: (e["type"] == kind) & (e["end"] <= F.col("p.start")))
-        return F.element_at(F.array_sort(F.transform(before, lambda e: F.struct(e["end"].alias("end"), e["text"].alias("text")))), -1)["text"]
+        return F.get(F.sort_array(F.transform(before, lambda e: F.struct(e["end"].alias("end"), e["text"].alias("text"))), asc=False), F.lit(0))["text"]
 
-    behind = F.substring("sentence", F.col("p.end") + 1, F.length("sentence"))
-    pattern = rf"(?is)^.{{0,{REACH}}}?(-?[0-9]+(?:\.[0-9]+)?)\s*({UNITS_AS_WRITTEN})(?![a-z])"
-    number, unit = F.regexp_extract(behind, pattern, 1), F.regexp_extract(behind, pattern, 2)
-    bound = each.withColumns({"number": number, "unit": unit}).where((F.col("number") != "") & _fits(F.col("p.text"), F.col("unit")))
-    value = F.col("number").cast("double")
+    value = F.col("p.number").cast("double")
     value = F.when(F.col("p.text").rlike(POSITIVE), F.abs(value)).otherwise(value)
-    subject = F.coalesce(*(F.when(F.size(F.filter("ents", lambda e: (e["type"] == k) & (e["end"] <= F.col("p.start")))) > 0, last_before(k)) for k in SUBJECTS), F.lit(""))  # noqa: B023
-    return bound.select(key, "sent", "category", subject.alias("subject"), F.col("p.text").alias("metric"), value.alias("value"), "unit")
+    subject = F.coalesce(*(last_before(k) for k in SUBJECTS), F.lit(""))
+    return each.select(key, "sent", "category", subject.alias("subject"), F.col("p.text").alias("metric"), value.alias("value"), F.col("p.unit").alias("unit"))
 
 
 def risk_scores(golden: DataFrame, found: DataFrame) -> DataFrame:
