@@ -84,13 +84,17 @@ def entity_list(mentions: DataFrame, key: str) -> DataFrame:
     """Each entity (type, text) of a key, from mentions (key, type, text, layer, sent, pos, sentence): how often, the
     layer and sentence of its first mention, its first three different sentences, and its place: the most frequent
     first, then by type and text."""
-    group, at = [key, "type", "text"], F.struct("sent", "pos")
-    sums = mentions.groupBy(*group).agg(F.count("*").alias("n"), F.min_by("layer", at).alias("layer"), F.min("sent").alias("first_sent"))
-    seen = mentions.where(F.trim("sentence") != "").groupBy(*group, F.md5("sentence").alias("_h")).agg(F.min(at).alias("_at"), F.any_value("sentence").alias("sentence"))
-    rn = F.row_number().over(Window.partitionBy(*group).orderBy("_at"))
-    three = seen.withColumn("_rn", rn).where("_rn <= 3").groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "sentence"))), lambda x: x["sentence"]).alias("sentences"))
+    group = [key, "type", "text"]
+    told = F.when(F.trim("sentence") != "", F.md5("sentence"))
+    # one row for each entity and different sentence, then one for each entity: mentions are grouped once, and
+    # where they come partitioned by key, nothing is shuffled
+    at = F.min(F.struct("sent", "pos", "layer")).alias("_at")
+    seen = mentions.groupBy(*group, told.alias("_h")).agg(F.count("*").alias("n"), at, F.any_value("sentence").alias("sentence"))
+    seen = seen.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(F.col("_h").isNull(), "_at")))
+    three = F.array_sort(F.collect_list(F.when(F.col("_h").isNotNull() & (F.col("_rn") <= 3), F.struct("_rn", "sentence"))))  # three at most
+    one = seen.groupBy(*group).agg(F.sum("n").alias("n"), F.min("_at").alias("_at"), F.transform(three, lambda x: x["sentence"]).alias("sentences"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "type", "text"))
-    return sums.join(three, group, "left").withColumn("sentences", F.coalesce("sentences", F.array().cast("array<string>"))).withColumn("place", place)
+    return one.select(*group, "n", F.col("_at.layer").alias("layer"), F.col("_at.sent").alias("first_sent"), "sentences", place.alias("place"))
 
 
 def contents_page(text: Column) -> Column:

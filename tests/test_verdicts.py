@@ -161,3 +161,10 @@ def test_side_texts(spark, tmp_path):
     cases = spark.createDataFrame([(1, "a b"), (2, "ü%"), (3, "none"), (4, None), (5, "empty"), (6, "a b")], "id long, f string")
     got = {r.id: r.t for r in files.with_side_text(cases, str(tmp_path / "s"), "f", "t").collect()}
     assert got == {1: "one\n\ntwo\n", 2: "x\n", 3: "", 4: "", 5: "\n", 6: "one\n\ntwo\n"}
+
+
+def test_entity_lists_shuffle_texts_once(spark):
+    from tessera.plans.registry import QUERIES
+
+    plan = QUERIES["entity_lists"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and "Join" not in plan
