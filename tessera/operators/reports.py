@@ -57,21 +57,26 @@ def finding_lines(cases: DataFrame, findings: DataFrame, case: str) -> DataFrame
     """case, pos, line: each report's Markdown, line by line, from cases (case, summary) and findings (case, severity,
     check, title, suggestion, description, basis). The gravest come first, then by check and title. Lines are rows,
     so a case may have any number of findings."""
-    head = F.array(*(F.concat(F.lit(x), F.coalesce("summary", F.lit(""))) if x == "> " else F.lit(x) for x in _HEAD))
-    top = cases.select(case, F.posexplode(head).alias("pos", "line"))
     rank = F.when(F.col("severity") == "HIGH", 0).when(F.col("severity") == "MEDIUM", 1).otherwise(2)
     advice = F.coalesce(F.nullif("suggestion", F.lit("")), F.substring("description", 1, 60), F.lit(""))
-    row = F.concat(F.lit("| "), F.concat_ws(" | ", "severity", "check", "title", F.concat(advice, F.lit(" "), F.coalesce(F.get("basis", F.lit(0)), F.lit("")))), F.lit(" |"))
-    line = row.alias("line")
-    pos = F.row_number().over(Window.partitionBy(case).orderBy(rank, "check", "title", row)) + len(_HEAD) - 1
-    return top.unionByName(findings.select(case, pos.alias("pos"), line))
+    # a case's head is one row behind its findings, so that both are grouped once; lines are made of the parts then
+    parts = findings.select(case, rank.alias("rank"), "severity", "check", "title", F.concat(advice, F.lit(" "), F.coalesce(F.get("basis", F.lit(0)), F.lit(""))).alias("tail"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("severity", "check", "title")]
+    heads = cases.select(case, F.lit(3).alias("rank"), *none, F.col("summary").cast("string").alias("tail"))
+    place = F.row_number().over(Window.partitionBy(case).orderBy("rank", "check", "title", "severity", "tail"))
+    placed = parts.unionByName(heads).withColumn("pos", place + len(_HEAD) - 1)
+    head = F.array(*(F.struct(F.lit(k).alias("pos"), (F.concat(F.lit(x), F.coalesce("tail", F.lit(""))) if x == "> " else F.lit(x)).alias("line")) for k, x in enumerate(_HEAD)))
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", "severity", "check", "title", "tail"), F.lit(" |"))
+    lines = F.when(F.col("rank") == 3, head).otherwise(F.array(F.struct(F.col("pos").alias("pos"), row.alias("line"))))
+    return placed.select(case, F.explode(lines).alias("l")).select(case, "l.pos", "l.line")
 
 
 def export(lines: DataFrame, findings: DataFrame, case: str) -> tuple[str, str]:
     """Writes reports as Markdown files, each report's lines together and in order, and the findings as a sheet (CSV
-    with a head, which spreadsheets open; Spark has no writer of their own format). Gives both folders."""
+    with a head, which spreadsheets open; Spark has no writer of their own format), both compressed (gzip), as texts of
+    reports repeat themselves. Gives both folders."""
     spark = lines.sparkSession
     md, sheet = scratch(spark, "reports"), scratch(spark, "sheet")
-    lines.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), case, "pos").sortWithinPartitions(case, "pos").select(F.col("line").alias("value")).write.text(md)
-    findings.select(case, "severity", "check", "title", "description", "suggestion").write.options(header=True, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(sheet)
+    lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), case).sortWithinPartitions(case, "pos").select(F.col("line").alias("value")).write.text(md, compression="gzip")
+    findings.select(case, "severity", "check", "title", "description", "suggestion").write.options(compression="gzip", header=True, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(sheet)
     return md, sheet

@@ -168,3 +168,17 @@ def test_entity_lists_shuffle_texts_once(spark):
 
     plan = QUERIES["entity_lists"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and "Join" not in plan
+
+
+def test_lines_of_reports_are_dealt_out_once(spark):
+    from pathlib import Path
+
+    case = spark.createDataFrame([(1, "sum"), (1, "again"), (2, None)], "case long, summary string")
+    found = spark.createDataFrame([(k % 4, "LOW", "C1", str(k), "", "much to say " * 50, None) for k in range(200)], "case long, severity string, check string, title string, suggestion string, description string, basis array<string>")
+    lines = O.finding_lines(case, found, "case")
+    plan = lines.repartition(4, "case").sortWithinPartitions("case", "pos")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert lines.count() == 3 * 7 + 200 and lines.where("case = 3").agg(F.min("pos"), F.max("pos")).first()[:] == (7, 56)
+    for folder in O.export(lines, found, "case"):
+        files = [f for f in Path(folder).iterdir() if f.name.startswith("part-")]
+        assert files and all(f.name.endswith(".gz") for f in files)
