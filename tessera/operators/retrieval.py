@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import in_parts
 from ..functions.text import tokens
 from ..functions.vectors import SIZE, state_vector
 from ..sources.tables import stored
@@ -36,7 +37,7 @@ def idf(n: Column, df: Column) -> Column:
 #: (query, word) pairs that are broadcast at most; more are asked in groups. They come to the driver as Arrow
 #: columns (about 150 MB for five million of ten letters) and go to the workers as two arrays and the words.
 ASKED_PAIRS = 5_000_000
-_CELLS = 1 << 20  # pairs of a posting and a query that asks its word, for memory
+_CELLS = 1 << 18  # pairs of a posting and a query that asks its word, for memory
 
 
 class Asked:
@@ -63,12 +64,12 @@ def _count_words(asked):
 
     def run(batches):
         known = pa.array(asked.value.words, pa.string())
-        for batch in batches:
+        for batch in in_parts(batches):
             units = batch.column("units")
-            lists = units.values
-            first = units.offsets.to_numpy()
-            unit_ends = lists.offsets.to_numpy()
-            number = pc.index_in(lists.values, value_set=known)
+            lists = units.flatten()
+            first = units.offsets.to_numpy() - units.offsets[0].as_py()
+            unit_ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            number = pc.index_in(lists.flatten(), value_set=known)
             hit = np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False))
             unit = np.searchsorted(unit_ends, hit, side="right") - 1
             code, tf = np.unique(unit * np.int64(max(1, len(known))) + number.drop_null().to_numpy().astype(np.int64), return_counts=True)
@@ -90,7 +91,7 @@ class _Best:
     that came since the last thinning, and these are let in only if they reach the query's k-th score."""
 
     def __init__(self, n_queries: int, k: int):
-        self.k, self.most = k, max(1 << 20, n_queries * k)
+        self.k, self.most = k, max(1 << 16, n_queries * k)
         self.bound = np.zeros(n_queries)
         self.held: list[tuple[np.ndarray, ...]] = []  # query, key, unit, score, units met
         self.n = 0
@@ -159,7 +160,7 @@ def _score(asked, idf: np.ndarray, avgdl: float, k: int, k1: float, b: float, me
         order = np.argsort(a.word, kind="stable")
         by_word, starts = a.query[order], np.searchsorted(a.word[order], np.arange(n_words + 1))
         best = {name: _Best(n_queries, k) for name in measures}
-        for batch in batches if n_queries else ():
+        for batch in in_parts(batches) if n_queries else ():
             key = batch.column("key").to_numpy()
             flat = {c: batch.column(c).flatten().to_numpy() for c in ("dl", "unit", "word", "tf")}
             base = np.r_[0, np.cumsum(pc.list_value_length(batch.column("dl")).to_numpy())]
@@ -268,7 +269,7 @@ def _holders(passages):
         empty = [k for k, text in enumerate(every) if not text]
         if len(finder):
             finder.make_automaton()
-        for batch in batches:
+        for batch in in_parts(batches):
             keys, at = [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if text is not None:
@@ -408,14 +409,12 @@ def dense_ranked(texts: DataFrame, queries: DataFrame, key: str, qid: str, k: in
         def run(batches):
             ids, vectors = shared.value
             best = _Best(len(ids), k)
-            for batch in batches if len(ids) else ():
-                for at in range(0, len(batch), 1_000):
-                    part = batch.slice(at, 1_000)
-                    own = part.column("key").to_numpy()
-                    score = np.round(np.stack([vector(x) for x in part.column("text").to_pylist()]) @ vectors.T, 6)
-                    row, query = np.nonzero((score > 0) & (score >= best.bound))
-                    best.base, best.key = np.arange(len(own) + 1), own
-                    best._rank(row, query, row, score[row, query])
+            for part in in_parts(batches, rows=1_000) if len(ids) else ():
+                own = part.column("key").to_numpy()
+                score = np.round(np.stack([vector(x) for x in part.column("text").to_pylist()]) @ vectors.T, 6) if len(part) else np.zeros((0, len(ids)))
+                row, query = np.nonzero((score > 0) & (score >= best.bound))
+                best.base, best.key = np.arange(len(own) + 1), own
+                best._rank(row, query, row, score[row, query])
             query, own, _, score, _ = best.all()
             yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(own), pa.array(score)], names=["qid", "key", "score"])
 

@@ -69,3 +69,40 @@ def test_first_words_end_at_letters_of_any_script(spark, tmp_path):
     rows.toPandas().to_parquet(tmp_path / "documents.parquet")
     assert [r.score for r in QUERIES["info_score"](spark, str(tmp_path)).orderBy("doc_id").collect()] == list(texts.values())
     assert difference("info_score", QUERIES, ORACLE_SQL, spark, str(tmp_path)) == ""
+
+
+def test_batches_in_parts():
+    import pyarrow as pa
+
+    from tessera.functions.batches import in_parts
+
+    texts = ["x" * (k % 7) * 100 for k in range(500)] + ["y" * 5_000, None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(503)), pa.array(texts), pa.array([[[t or ""], []] for t in texts])], names=["k", "text", "units"])
+    for most, rows in ((2_000, 10_000), (1 << 20, 7), (1, 1)):
+        parts = list(in_parts([batch, batch.slice(0, 0)], most, rows))
+        assert all(len(p) <= max(1, rows) and (p.nbytes <= most or len(p) <= 1) for p in parts)
+        assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+
+
+def test_counts_of_words_in_parts_of_batches(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.functions import batches
+    from tessera.operators import retrieval as R
+
+    class Words:
+        value = type("Asked", (), {"words": ["a", "b"]})
+
+    units = pa.array([[["a", "b", "a"], ["c"]], [], [["b"]], [["a"], [], ["b", "b"]]] * 40)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(160)), units], names=["key", "units"])
+    whole = pa.Table.from_batches(R._count_words(Words)([batch])).to_pylist()
+    monkeypatch.setattr(R, "in_parts", lambda x: batches.in_parts(x, 200))
+    parts = list(R._count_words(Words)([batch]))
+    assert len(parts) > 20 and pa.Table.from_batches(parts).to_pylist() == whole
+    assert whole[3] == {"key": 3, "dl": [1, 1, 2], "unit": [0, 2], "word": [0, 1], "tf": [1, 2]}
+
+
+def test_best_rows_are_thinned_early():
+    from tessera.operators import retrieval as R
+
+    assert R._Best(10, 5).most <= 1 << 16 and R._Best(1 << 20, 5).most == 5 << 20
