@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import in_parts
+
 #: From the strongest to the weakest separator; a separator stays with the text before it.
 SEPARATORS = ("\n\n", "\n", "。", "；", "！", "？", ";", "，", "、", " ")
 SIZE, OVERLAP, WHOLE = 700, 100, 1200
@@ -49,33 +51,35 @@ def units(clauses: DataFrame, size: int = SIZE, overlap: int = OVERLAP, whole: i
     """Child chunks of clause_id, text, source: one if the text has at most ``whole`` characters.
     Blank chunks are left out but keep their number."""
 
-    def split(frames):
-        for frame in frames:
+    kinds = pa.schema([(name, pa.int32() if kind == "int" else pa.string()) for name, kind in (x.split() for x in _UNIT.split(", "))])
+
+    def split(batches):
+        for batch in in_parts(batches):
             rows = []
-            for clause, text, source in zip(frame["clause_id"], frame["text"], frame["source"], strict=True):
+            for clause, text, source in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 text = text or ""
                 spans = [(0, len(text))] if len(text) <= whole else recursive_spans(text, size, overlap)
                 rows += [(f"{clause}#{k}", clause, source, text[s:e], s, e, len(text)) for k, (s, e) in enumerate(spans) if text[s:e].strip()]
-            yield pd.DataFrame(rows, columns=["uid", "clause_id", "source", "text", "start", "end", "parent_len"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(list(zip(*rows)) or [()] * len(kinds), kinds.types, strict=True)], schema=kinds)
 
-    return clauses.select("clause_id", "text", "source").mapInPandas(split, _UNIT)
+    return clauses.select("clause_id", "text", "source").mapInArrow(split, _UNIT)
 
 
 def unit_texts(docs: DataFrame, key: str, size: int = SIZE, overlap: int = OVERLAP, whole: int = WHOLE) -> DataFrame:
     """key and units, the texts of the same chunks in a text's own row, so that nothing is grouped again. Null and
     blank texts have none."""
 
-    def split(frames):
-        for frame in frames:
+    def split(batches):
+        for batch in in_parts(batches):
             out = []
-            for text in frame["text"]:
+            for text in batch.column("text").to_pylist():
                 text = text or ""
                 spans = [(0, len(text))] if len(text) <= whole else recursive_spans(text, size, overlap)
                 out.append([part for s, e in spans if (part := text[s:e]).strip()])
-            yield pd.DataFrame({key: frame[key], "units": out})
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.list_(pa.string()))], names=[key, "units"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInPandas(split, f"{key} {kind}, units array<string>")
+    return docs.select(key, "text").mapInArrow(split, f"{key} {kind}, units array<string>")
 
 
 def strides(text: Column, size: int = SIZE, overlap: int = OVERLAP, whole: int = WHOLE) -> tuple[Column, Column]:
