@@ -7,9 +7,12 @@ from collections import deque
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import in_parts
+
 
 def overlaps(s1: str, e1: str, s2: str, e2: str) -> Column:
     return (F.col(s1) < F.col(e2)) & (F.col(s2) < F.col(e1))
@@ -21,15 +24,15 @@ def tag(docs: DataFrame, lexicon: list[tuple[str, str, int]], patterns: list[tup
     kinds = [(name, re.compile(p)) for name, p in patterns]
     rank = {term: (k, kind) for k, (term, kind, _) in reversed([*enumerate(sorted(lexicon, key=lambda x: (-len(x[0]), x[2], x[0])))])}
 
-    def run(frames):
+    def run(batches):
         finder = ahocorasick.Automaton()
         for term, (k, kind) in rank.items():
             finder.add_word(term, (k, kind, len(term)))
         if len(finder):
             finder.make_automaton()
-        for frame in frames:
+        for batch in in_parts(batches):
             rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text, taken = text or "", bytearray(len(text or ""))
                 found = [(name, m.start(), m.end()) for name, p in kinds for m in p.finditer(text)]
                 met = [(k, end + 1 - n, end + 1, kind) for end, (k, kind, n) in finder.iter(text)] if len(finder) else []
@@ -38,9 +41,10 @@ def tag(docs: DataFrame, lexicon: list[tuple[str, str, int]], patterns: list[tup
                     if not any(taken[s:e]):
                         taken[s:e] = b"\1" * (e - s)
                         rows.append((doc, kind, s, e, text[s:e]))
-            yield pd.DataFrame(rows, columns=["doc_id", "type", "start", "end", "term"])
+            columns = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(list(zip(*rows)) or [()] * 5, columns, strict=True)], names=["doc_id", "type", "start", "end", "term"])
 
-    return docs.mapInPandas(run, "doc_id long, type string, start int, end int, term string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, type string, start int, end int, term string")
 
 
 class Scan:
