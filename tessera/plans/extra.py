@@ -167,7 +167,9 @@ def section_report(t, spark):
 def hash_vectors(t, spark):
     """256 hashed counts of letters and letter pairs, scaled to length 1, for each turn."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+
+    from ..functions.batches import in_parts
 
     def places(low: str) -> np.ndarray:
         """Weights of the hashed letters and letter pairs: h * 33 + code point from 5381, over all places at once."""
@@ -178,8 +180,11 @@ def hash_vectors(t, spark):
         size = np.linalg.norm(v)
         return v / size if size else v
 
-    def run(frames):
-        for frame in frames:
-            yield pd.DataFrame({"conv_id": frame["conv_id"], "turn": frame["turn"], "vector": [places((x or "").lower()).tolist() for x in frame["text"]]})
+    def run(batches):
+        for batch in in_parts(batches, rows=1_000):
+            flat = np.concatenate([places((x or "").lower()) for x in batch.column("text").to_pylist()] or [np.zeros(0)])
+            vector = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 256), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), vector], names=["conv_id", "turn", "vector"])
 
-    return t("conversations").select("conv_id", "turn", "text").mapInPandas(run, "conv_id long, turn long, vector array<double>")
+    own = t("conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "text")
+    return own.mapInArrow(run, "conv_id long, turn long, vector array<double>")
