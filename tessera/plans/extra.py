@@ -52,6 +52,8 @@ def char_bioe(t, spark):
     """A tag for each covered place; the longest span's tag wins."""
     s = (F.col("l_suppkey") % 40).cast("int")
     spans = t("lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_returnflag").alias("type"), s.alias("s"), (s + F.least("l_quantity", F.lit(12.0))).cast("int").alias("e"))
+    # lines are dealt out by their order once, so that the places made of them aren't
+    spans = spans.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g")
     c = spans.withColumn("pos", F.explode(F.sequence("s", F.col("e") - 1)))
     tag = F.concat(F.when(F.col("pos") == F.col("s"), "B-").when(F.col("pos") == F.col("e") - 1, "E-").otherwise("I-"), "type")
     return c.groupBy("g", "pos").agg(F.max_by(tag, F.struct(F.col("e") - F.col("s"), F.negative("s"), "type")).alias("tag"))
@@ -61,25 +63,14 @@ def char_bioe(t, spark):
 def bioe_decode(t, spark):
     """Spans from a sequence of tags; a span ends at its end tag, or before anything that doesn't go on with it."""
 
-    class Open(P.Scan):
-        start = None
-
-        def take(self, pos, tag):
-            head, _, name = tag.partition("-")
-            out = self.end() if self.start is not None and (head == "B" or name != self.kind or pos != self.last + 1) else []
-            if self.start is None:
-                self.start, self.kind = pos, name
-            self.last = pos
-            return out + (self.end() if head == "E" else [])
-
-        def end(self):
-            if self.start is None:
-                return []
-            start, self.start = self.start, None
-            return [(*self.key, self.kind, start, self.last + 1)]
-
-    tags = char_bioe(t, spark)
-    return P.in_order(tags, ["g"], ["pos", "tag"], Open, "g long, type string, s int, e int")
+    w = Window.partitionBy("g").orderBy("pos")
+    parts = F.split("tag", "-", 2)
+    tags = char_bioe(t, spark).select("g", "pos", F.get(parts, F.lit(0)).alias("head"), F.get(parts, F.lit(1)).alias("type"))
+    before = F.lag(F.struct("pos", "head", "type")).over(w)
+    # all tags of a span have its type, so that the tag before tells whether one goes on with it
+    goes_on = (before["head"] != "E") & (F.col("head") != "B") & (before["type"] == F.col("type")) & (before["pos"] + 1 == F.col("pos"))
+    runs = tags.withColumn("first", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("first").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("g", "run", "type").agg(F.min("pos").alias("s"), (F.max("pos") + 1).alias("e")).select("g", "type", "s", "e")
 
 
 @query("episodic_recall", f"WITH q AS (SELECT item_id, list_distinct({_TOK}) AS w FROM benchmark), x AS (SELECT item_id, unnest(w) AS term FROM q), c AS (SELECT conv_id, turn, unnest(list_distinct({_TOK})) AS term FROM conversations), s AS (SELECT item_id, conv_id, turn, count(*) AS n FROM x JOIN c USING (term) GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, conv_id, turn) AS rn FROM s) SELECT item_id, conv_id, turn, n FROM r WHERE rn <= 3")

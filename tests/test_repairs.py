@@ -106,3 +106,8 @@ def test_best_rows_are_thinned_early():
     from tessera.operators import retrieval as R
 
     assert R._Best(10, 5).most <= 1 << 16 and R._Best(1 << 20, 5).most == 5 << 20
+
+
+def test_decoded_tags_need_no_python(spark):
+    plan = QUERIES["bioe_decode"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan and plan.count("Exchange") == 1
