@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import in_parts
+
 # Characters that stand for others or go, and what marks a copy's origin.
 REPLACED = str.maketrans({" ": " ", "　": " ", "（": "(", "）": ")", "，": ",", "\t": " ", **{chr(0xFF10 + d): str(d) for d in range(10)}})
 DROPPED = "[â\x00�]"
@@ -67,7 +69,7 @@ def cleaned(docs: DataFrame, term: str | None = None) -> DataFrame:
 
     def run(batches):
         found = re.compile(term) if term else None
-        for batch in batches:
+        for batch in in_parts(batches):
             clean, offsets, spans = [], [], []
             for text in batch.column("text").to_pylist():
                 now, places = clean_with_offsets(text)
