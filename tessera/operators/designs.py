@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,9 @@ from .sampling import hash_order, numbered
 
 #: Shares of a tiered sample, and the largest share of appendices in its first tier.
 TAIL, FUZZY, APPENDIX = 0.4, 0.3, 0.4
+#: Values of a group at most, for pairs and for triples. Groups have multiples of 8 values: Parquet packs values by 8,
+#: so what repeats then also repeats as bytes.
+_GROUP = {2: 1024, 3: 128}
 
 
 def tier_allocation(counts: dict[str, int], total: int) -> dict[str, int]:
@@ -62,19 +66,29 @@ def triple_of(number: Column) -> tuple[Column, Column, Column]:
 
 
 def combinations_of(values: DataFrame, column: str, size: int) -> DataFrame:
-    """All combinations of two or three different values: columns first, second (and third), in order. Each is made
-    from its own number, so no group of values is gathered and no cross join made; rows spread over all tasks from
-    the start. Nulls are left out."""
+    """All combinations of two or three different values: columns first, second (and third), in order. Values are
+    grouped by place, and each combination of groups is a cell of bounded size with a number of its own. A value goes
+    to the cells of its group, and combinations are made inside cells alone: none is shuffled, cells spread over all
+    tasks, and files are small, as a task's rows repeat few values. Nulls are left out."""
     if size not in (2, 3):
         raise ValueError("combinations of two or three")
+    names, spark = ("first", "second", "third")[:size], values.sparkSession
     own = numbered(values.where(F.col(column).isNotNull()).select(column).distinct(), column)
-    n = own.count()
-    total = n * (n - 1) // 2 if size == 2 else n * (n - 1) * (n - 2) // 6
-    rows = values.sparkSession.range(total)
-    out = rows.select(*(p.alias(name) for p, name in zip(pair_of(F.col("id")) if size == 2 else triple_of(F.col("id")), ("first", "second", "third"), strict=False)))
-    for name in ("first", "second", "third")[:size]:
-        out = out.join(own.select(F.col("i").alias(name), F.col(column).alias(f"_{name}")), name).drop(name).withColumnRenamed(f"_{name}", name)
-    return out.select(*("first", "second", "third")[:size])
+    n, parallel = own.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = math.ceil((4 * parallel * math.factorial(size)) ** (1 / size))  # groups that make four cells for each task
+    width = 8 * math.ceil(max(16, min(_GROUP[size], n / spread)) / 8)
+    groups = max(1, -(-n // width))
+    total = math.comb(groups + size - 1, size)
+    tasks = max(parallel, total // 64)
+    # groups may repeat in a cell: those of a cell are a combination of different numbers, less 0, 1 and 2
+    numbers = pair_of(F.col("id")) if size == 2 else triple_of(F.col("id"))
+    cells = spark.range(total).select(F.col("id").alias("cell"), *((g - k).alias(name) for k, (g, name) in enumerate(zip(numbers, names, strict=True))))
+    grouped = own.select(F.floor(F.col("i") / width).cast("long").alias("group"), column)
+    out = None
+    for k, name in enumerate(names):
+        side = cells.select("cell", F.col(name).alias("group")).join(grouped, "group").select("cell", F.col(column).alias(name)).repartition(tasks, "cell")
+        out = side if out is None else out.join(side, "cell").where(F.col(names[k - 1]) < F.col(name))
+    return out.select(*names)
 
 
 def grid_of(rows: DataFrame, lo: Column, hi: Column, points: int, choices: dict[str, list[str]]) -> DataFrame:

@@ -52,3 +52,17 @@ def test_numbers_far_out(spark):
         assert 0 <= x < y < z and z * (z - 1) * (z - 2) // 6 + y * (y - 1) // 2 + x == n
     a, b = D.pair_of(F.col("n"))
     assert all(0 <= x < y and y * (y - 1) // 2 + x == n for n, x, y in rows.select("n", a, b).collect())
+
+
+def test_pairs_are_made_where_their_values_meet(spark, tmp_path):
+    """Without broadcasts, values are shuffled and pairs are not; files of pairs take a fraction of a byte for each."""
+    values = spark.range(2000).select((F.col("id") * 3).alias("v"))
+    at, was = str(tmp_path / "pairs"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        D.combinations_of(values, "v", 2).write.parquet(at)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    rows = spark.read.parquet(at)
+    assert rows.count() == rows.distinct().count() == 2000 * 1999 // 2 and rows.where("first >= second OR first % 3 > 0 OR second % 3 > 0").isEmpty()
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < rows.count() // 2
