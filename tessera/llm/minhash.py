@@ -154,30 +154,35 @@ def link_classes(members: DataFrame, sets: DataFrame, *, percent: int, prune_fir
     about = own_elements(sets) if prune_first else sized
     about = cut(about.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size")).join(nodes, "node"))
     state = cut(members.select("node").distinct().withColumn("root", F.col("node")))
-    left = _mixed(members.drop("n").join(about, "node").withColumn("root", F.col("node")))
+    left = cut(members.drop("n").join(about, "node").withColumn("root", F.col("node")))
     drop_with_shuffles(members, about)
     for turn in range(PIVOTS):
-        if left.isEmpty():
-            break
         one = F.struct(F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), F.col("own").alias("own_b"))
-        pivot = left.groupBy("bucket").agg(F.max_by(one, F.struct("meets", "node")).alias("p")).select("bucket", "p.*")
+        # One row for each bucket of more than one component: so one join tells these, and meets their pivots.
+        pivot = left.groupBy("bucket").agg(F.max_by(one, F.struct("meets", "node")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket", "p.*")
         met = cut(left.join(pivot, "bucket").where("node <> b"))  # a pivot has met all of its bucket and leaves it
+        if met.isEmpty():
+            drop_with_shuffles(left, met, sets)
+            return state
         most = F.least(F.col("size") - F.col("own"), F.col("size_b") - F.col("own_b"))
         may = met.where((F.col("root") != F.col("root_b")) & (100 * most >= percent * (F.col("size") + F.col("size_b") - most)))
         links = cut(verify(may.select(F.col("node").alias("a"), "b").distinct(), sets, percent).where("linked").select("a", "b"))
         state, was = _joined(state, links), state
-        rest = met.select("bucket", "node", "meets", "size", "own").join(state, "node")
-        nxt = _mixed(rest)
-        if turn == 0 and not prune_first and not nxt.isEmpty():
-            own = own_elements(cut(sets.join(nxt.select("node"), "node", "left_semi")))
+        nxt = cut(met.select("bucket", "node", "meets", "size", "own").join(state, "node"))
+        if turn == 0 and not prune_first:
+            mixed = _mixed(nxt)
+            own = own_elements(cut(sets.join(mixed.select("node"), "node", "left_semi")))
             fit = own.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size"))
-            nxt = _mixed(nxt.drop("size", "own").join(fit, "node"))
+            drop(nxt)
+            nxt = cut(mixed.drop("size", "own").join(fit, "node"))
+            drop(mixed)
         drop_with_shuffles(left, met, links, *([was] if state is not was else []))
         left = nxt
-    if not left.isEmpty():
-        links = cut(compare_blocks(left, sets, percent))
+    mixed = _mixed(left)
+    if not mixed.isEmpty():
+        links = cut(compare_blocks(mixed, sets, percent))
         state = _joined(state, links)
-    drop_with_shuffles(left, sets)
+    drop_with_shuffles(left, mixed, sets)
     return state
 
 

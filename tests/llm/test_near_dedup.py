@@ -76,6 +76,18 @@ def test_empty(spark):
     assert near_dedup.near_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_members_meet_pivots_without_a_pass_of_their_own(spark, monkeypatch):
+    """Many texts that share a passage, in groups too far apart to be linked: mixed buckets are told by the join
+    that meets their pivots, and by a pass of its own only once, before blocks are compared."""
+    r = np.random.default_rng(5)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(g * 10 + k, " ".join([*common, *(f"g{g}x{i}" for i in range(22)), *(f"n{g}x{k}x{i}" for i in r.integers(0, 9, k % 3))])) for g in range(40) for k in range(4)]
+    passes, mixed = [], near_dedup.link_classes.__globals__["_mixed"]
+    monkeypatch.setitem(near_dedup.link_classes.__globals__, "_mixed", lambda members: passes.append(members.count()) or mixed(members))
+    assert ran(spark, rows) == brute(rows)
+    assert len(passes) == 1
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(1)
     a = r.integers(0, 1 << 63, 700).astype(np.uint64)
