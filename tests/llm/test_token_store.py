@@ -53,6 +53,32 @@ def test_many_random_texts():
     assert encoded(texts) == [library(t) for t in texts]
 
 
+def test_units_are_encoded_together(monkeypatch):
+    """Different words go to the library as few texts, whatever stands around them, and a full table is emptied."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices([*PIECES, " é", " 漢x", " a", "a", ".\nB"], k=rng.randint(0, 25))) + f" w{k}x, y{k}! é{k}." for k in range(3000)]
+    want = [library(t) for t in texts]
+    coder, calls = T.UnitCoder(PATH), []
+    lib = coder.lib
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return lib.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(coder, "lib", Counted())
+    for size in (T.KEPT_UNITS, 5000):
+        monkeypatch.setattr(T, "KEPT_UNITS", size)
+        for at in range(0, 3000, 1000):
+            assert [np.frombuffer(b, "<u2").tolist() for b in coder.encode(pa.array(texts[at : at + 1000]))] == want[at : at + 1000]
+    plain = T.UnitCoder(PATH)
+    calls.clear()
+    lib = plain.lib
+    monkeypatch.setattr(plain, "lib", Counted())
+    plain.encode(pa.array([" ".join(f"q{chr(97 + k % 26)}z{k}" for k in range(9000))]))
+    assert sum(calls) < 10
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 7, 1000, 40_000):
