@@ -8,7 +8,8 @@ language's texts a text is (fit) tells whether it is in that language at all.
 
 Training takes at most ``per_language`` distinct labelled texts of each language, those with the
 smallest hash, so the sample has a bound and depends neither on partitions nor on copies. Only they
-reach the driver, as counts over whole texts. Prediction is a map over all rows, whole texts included.
+reach the driver, as counts over whole texts, of which it holds those above zero. Prediction is a map
+over all rows, whole texts included.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if
 no labelled row exists. A null lang is not learned from. Repeated rows have equal results. Columns
@@ -17,13 +18,15 @@ other than doc_id, text and lang are ignored, and lang is read in training only.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, in_parts, table
+from .shared import cut, free_memory, in_parts, table
 
 DIMENSIONS = 1 << 12
 GRAMS = (1, 2, 3)
@@ -111,7 +114,7 @@ def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, *, c: float = 1.0, round
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            own = x[rows[i]].astype(np.float32)
+            own = x[rows[i]].astype(np.float32, copy=False)
             g = y[i] * (own @ w + bias) - 1
             new = min(max(a[i] - g / square[i], 0.0), c)
             if new != a[i]:
@@ -125,6 +128,36 @@ def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, *, c: float = 1.0, round
     return np.r_[w, np.float32(bias)]
 
 
+class Counts:
+    """Rows of counts in order of (lang, row_hash). Only counts above zero are held, as places and float16
+    values; x[k] and x[[k, ...]] are dense, in float32."""
+
+    def __init__(self, rows: Iterable[Row]):
+        keys, places, values, first = [], bytearray(), bytearray(), [0]
+        for r in rows:
+            keys.append((r["lang"], r["row_hash"]))
+            places += r["places"]
+            values += r["counts"]
+            first.append(len(places) // 2)
+        self.order = sorted(range(len(keys)), key=keys.__getitem__)
+        self.labels = np.array([keys[k][0] for k in self.order], dtype=object)
+        self.places, self.values, self.first = np.frombuffer(places, np.uint16), np.frombuffer(values, np.float16), first
+        self.shape = (len(keys), DIMENSIONS)
+
+    def _fill(self, out: np.ndarray, k: int) -> np.ndarray:
+        a, b = self.first[self.order[k]], self.first[self.order[k] + 1]
+        out[self.places[a:b]] = self.values[a:b]
+        return out
+
+    def __getitem__(self, rows) -> np.ndarray:
+        if np.ndim(rows) == 0:
+            return self._fill(np.zeros(DIMENSIONS, dtype=np.float32), rows)
+        out = np.zeros((len(rows), DIMENSIONS), dtype=np.float32)
+        for own, k in zip(out, rows, strict=True):
+            self._fill(own, k)
+        return out
+
+
 class Model:
     """Pairs of classes with a separating line each: families, and the languages of each family."""
 
@@ -140,7 +173,7 @@ class Model:
     def fit(self, x: np.ndarray, labels: np.ndarray) -> Model:
         for k, name in enumerate(self.languages):
             here = np.flatnonzero(labels == name)
-            total = np.sum([x[here[at : at + 500]].astype(np.float32).sum(axis=0) for at in range(0, len(here), 500)], axis=0)
+            total = np.sum([x[here[at : at + 500]].astype(np.float32, copy=False).sum(axis=0) for at in range(0, len(here), 500)], axis=0)
             self.means[k] = total / np.linalg.norm(total)
         own = np.array([family(x) for x in labels])
         for kind, names in [(own, list(self.families)), *((labels, group) for group in self.families.values())]:
@@ -207,7 +240,9 @@ def _least_hashes(most: int):
 def _count_rows(batches):
     for batch in in_parts(batches, 1_000):
         x = counts(batch.column("text").to_pylist()).astype(np.float16)
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("row_hash"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "row_hash", "x"])
+        places = [np.flatnonzero(r).astype(np.uint16) for r in x]
+        own = [pa.array([p.tobytes() for p in places], pa.binary()), pa.array([r[p].tobytes() for r, p in zip(x, places, strict=True)], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("row_hash"), *own], names=["lang", "row_hash", "places", "counts"])
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
@@ -221,16 +256,13 @@ def sample(docs: DataFrame, per_language: int) -> DataFrame:
 
 def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> Model:
     """A model of docs(text, lang). At most ``per_language`` distinct texts of each lang are used."""
-    counted = cut(sample(docs, per_language).select("lang", "row_hash", "text").mapInArrow(_count_rows, "lang string, row_hash long, x binary"))
-    rows = sorted((r["lang"], r["row_hash"], bytes(r["x"])) for r in counted.toLocalIterator())  # per_language rows a language
-    labels = np.array([lang for lang, _, _ in rows], dtype=object)
-    model = Model(list(dict.fromkeys(labels)))
-    if rows:
-        x = np.empty((len(rows), DIMENSIONS), dtype=np.float16)
-        for k, (_, _, own) in enumerate(rows):
-            x[k] = np.frombuffer(own, dtype=np.float16)
-        del rows
-        model.fit(x, labels)
+    counted = cut(sample(docs, per_language).select("lang", "row_hash", "text").mapInArrow(_count_rows, "lang string, row_hash long, places binary, counts binary"))
+    x = Counts(counted.toLocalIterator())  # per_language rows a language
+    model = Model(list(dict.fromkeys(x.labels)))
+    if len(x.labels):
+        model.fit(x, x.labels)
+    del x
+    free_memory()
     return model
 
 

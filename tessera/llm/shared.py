@@ -142,11 +142,16 @@ def in_parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        free_memory()
+
+
+def free_memory() -> None:
+    """Gives back to the system what numpy and Arrow have freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def in_sizes(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:

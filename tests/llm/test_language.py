@@ -1,5 +1,8 @@
+import tracemalloc
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tessera.llm")
@@ -63,3 +66,20 @@ def test_texts_in_no_learned_language_go(spark):
     assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text)}
     assert L.known_only(mixed, model, least_fit=0.0).count() == len(kept) + len(rows)
     assert L.known_only(mixed, L.train(docs.limit(0))).count() == 0
+
+
+def test_training_holds_counts_above_zero_only(spark):
+    """2,000 texts as dense half floats would be 16 MB, and were held twice."""
+    docs = spark.range(2_000).selectExpr("concat('word ', id, if(id % 2 = 0, ' und', ' and')) AS text", "if(id % 2 = 0, 'de', 'en') AS lang").cache()
+    texts = [r.text for r in docs.limit(50).collect()]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 50, "row_hash": list(range(50, 0, -1)), "text": texts})
+    held = L.Counts(r for b in L._count_rows([batch]) for r in b.to_pylist())
+    dense = L.counts(texts).astype(np.float16).astype(np.float32)[::-1]
+    assert held.shape == (50, L.DIMENSIONS) and np.array_equal(held[np.arange(50)], dense) and np.array_equal(held[7], dense[7])
+    tracemalloc.start()
+    try:
+        model = L.train(docs)
+        assert tracemalloc.get_traced_memory()[1] < 14_000_000
+    finally:
+        tracemalloc.stop()
+    assert model.languages == ["de", "en"]
