@@ -56,12 +56,15 @@ def sketch(values: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
             break
         with np.errstate(over="ignore"):
             h = mix(values + _ROUND * np.uint64(i + 1))
-        bins = ((h >> np.uint64(48)) * np.uint64(size) >> np.uint64(16)).astype(np.int64) if i < size else i - size
-        np.minimum.at(out.reshape(-1), of * size + bins, (np.uint64(i) << np.uint64(48)) | (h & _LOW48))
+        at = of * size
+        at += ((h >> np.uint64(48)) * np.uint64(size) >> np.uint64(16)).view(np.int64) if i < size else i - size
+        h &= _LOW48
+        h |= np.uint64(i) << np.uint64(48)
+        np.minimum.at(out.reshape(-1), at, h)
         empty = (out == _EMPTY).any(axis=1)
-        if 2 * empty.sum() <= len(rows):
+        kept = empty[of]
+        if 4 * np.count_nonzero(kept) <= 3 * len(of):  # by elements: sets with many of them are full first
             done[rows[~empty]] = out[~empty]
-            kept = empty[of]
             values, of = values[kept], (np.cumsum(empty) - 1)[of[kept]]
             rows, out = rows[empty], out[empty]
     done[rows] = out

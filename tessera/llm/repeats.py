@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import mix
+from .words import mix, unique
 
 _HELD = 1 << 20  # keys that a task holds before it sends them
 
@@ -59,12 +59,12 @@ class Repeats:
             own, starts = np.unique(part[order], return_index=True)
             rows, known = [], []
             for k, mine in zip(own.tolist(), np.split(values, starts[1:]), strict=True):
-                mine = np.unique(mine)
+                mine = unique(mine)
                 third = _third(mine, width)
                 rows.append((k, False, mine[~third].tobytes()))
                 if owned:
                     known.append(mine[third] & np.uint64(0xFFFFFFFF))
-            more = np.unique(np.concatenate(known)) if known else keys[:0]
+            more = unique(np.concatenate(known)) if known else keys[:0]
             if len(more):
                 rows.append((turn, True, more.tobytes()))
             cols = [pa.array([r[0] for r in rows], pa.int32()), pa.array([owned] * len(rows), pa.bool_()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())]
@@ -93,10 +93,10 @@ class Repeats:
             width = np.uint64(32 if owned else 20)
             key = values >> width
             again = np.r_[False, key[1:] == key[:-1]] | np.r_[key[1:] == key[:-1], False] if len(key) else np.zeros(0, bool)
-            full = np.unique(key[again]) | np.uint64(part) << (np.uint64(64) - width)
+            full = unique(key[again]) | np.uint64(part) << (np.uint64(64) - width)
             out = [(mix(full).view(np.int64), False)]
             if owned:
-                out.append((self.owner_of(np.unique(values[again] & np.uint64(0xFFFFFFFF))), True))
+                out.append((self.owner_of(unique(values[again] & np.uint64(0xFFFFFFFF))), True))
             for values_, is_owner in out:
                 yield pa.RecordBatch.from_arrays([pa.array(values_), pa.array(np.full(len(values_), is_owner))], names=["value", "owner"])
 
@@ -110,16 +110,16 @@ class Repeats:
                         continue
                     if now != place:
                         if held:
-                            yield from found(*place[:2], np.unique(np.concatenate(held)))
+                            yield from found(*place[:2], unique(np.concatenate(held)))
                         place, held, n = now, [], 0
                     held.append(values)
                     n += len(values)
                     if n > 4 * _HELD:
-                        merged = np.unique(np.concatenate(held))
+                        merged = unique(np.concatenate(held))
                         yield from found(*place[:2], merged)
                         held, n = [merged[~_third(merged, np.uint64(32 if now[0] else 20))]], 0
             if held:
-                yield from found(*place[:2], np.unique(np.concatenate(held)))
+                yield from found(*place[:2], unique(np.concatenate(held)))
 
         return run
 

@@ -34,13 +34,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .minhash import band_keys, busy_buckets, link_classes, list_array, node_hash, sketch
 from .repeats import Repeats
 from .shared import bitmap_bits, build_bitmap, cut, drop_with_shuffles, in_parts, table
-from .words import MARKS, Words, distinct, mix, shingles
+from .words import MARKS, Words, distinct, mix, shingles, unique
 
 LEAST_WORDS = 40
 LONG = 100
@@ -95,7 +95,7 @@ def windows(words: Words, window: int, spread: int) -> tuple[np.ndarray, np.ndar
 def _lines(words: Words, least: int):
     """(first word, end word) of the lines of at least ``least`` words."""
     starts = np.flatnonzero(np.r_[True, words.raw[:-1] == 10]) if len(words.raw) else np.zeros(0, np.int64)
-    edges = np.unique(np.r_[starts, words.at])
+    edges = unique(np.r_[starts, words.at])
     first = np.searchsorted(words.start, edges)
     end = np.r_[first[1:], len(words.start)]
     long = np.flatnonzero(end - first >= least)
@@ -131,7 +131,7 @@ def pieces(words: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray
     least = _slide(np.minimum, group, REACH)
     at = np.arange(REACH, len(group) - REACH)
     marked = (group[at] < least[: len(at)]) & (group[at] < least[REACH + 1 :][: len(at)]) & (line[at - REACH] == line[at + REACH + 4])
-    starts = np.unique(np.r_[at[marked], lines.first[:-1]])
+    starts = unique(np.r_[at[marked], lines.first[:-1]])
     size = np.diff(np.r_[starts, len(line)])
     whole = size == lines.counts()[line[starts]]  # is a line already
     return lines.place[starts][~whole], (lines.place[starts] + size)[~whole]
@@ -205,7 +205,8 @@ def _hits(near_keys, near_sets, repeats: Repeats, window: int, spread: int):
             keys = own.keys(rows)
             again = has(keys.reshape(-1), True).reshape(keys.shape)
             hit = has(own.node[:, 0] ^ _SET) | np.isin(own.node[:, 0], own.node[rows, 0])
-            hit = np.setdiff1d(np.flatnonzero(hit), rows)
+            hit[rows] = False
+            hit = np.flatnonzero(hit)
             at, both = windows(words, window, spread)
             shared = has(both[:, 0] ^ _WINDOW)
             at, both = at[shared], both[shared]
@@ -243,6 +244,31 @@ def _elements(near):
     return run
 
 
+_SPAN = "doc_id long, text_key long, kept boolean, first_word int, end_word int, from_id long"
+
+
+def _merged(batches):
+    """Spans from the paragraphs of each text in order: those that touch or overlap become one. The last
+    span of a batch is met by the next batch as if it were a paragraph."""
+    names = [x.split()[0] for x in _SPAN.split(", ")]
+    last = None
+    for batch in batches:
+        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+        cols = [np.r_[a, b] for a, b in zip(last, cols, strict=True)] if last else cols
+        if not len(cols[0]):
+            continue
+        new = np.r_[True, np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)]  # another text
+        first, end = cols[3].astype(np.int64), cols[4].astype(np.int64)
+        over = np.cumsum(new) << 32
+        reach = np.maximum.accumulate(end + over) - over
+        at = np.flatnonzero(new | np.r_[True, first[1:] > reach[:-1]])
+        spans = [*(c[at] for c in cols[:4]), np.maximum.reduceat(cols[4], at), np.minimum.reduceat(cols[5], at)]
+        last = [c[-1:] for c in spans]
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1]) for c in spans], names=names)
+    if last:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=names)
+
+
 def _spans(docs: DataFrame, *, least_words: int, window: int, spread: int, percent: int) -> DataFrame:
     """Spans with the hash of their text, text_key."""
     spark = docs.sparkSession
@@ -265,19 +291,19 @@ def _spans(docs: DataFrame, *, least_words: int, window: int, spread: int, perce
     roots = link_classes(members, sets, percent=percent, prune_first=False)
     place = F.struct("doc_id", "text_key", "first_word")
     classes = places.groupBy("node").agg(F.min(place).alias("lo"), F.max("doc_id").alias("hi"))
-    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    met = rooted.groupBy("root").agg(F.min("lo").alias("least"), F.max("hi").alias("hi")).where("least.doc_id < hi").select("root", "least")
-    shared = cut(rooted.join(met, "root").select("node", "least"))
+    rooted = cut(classes.join(roots, "node", "left"))
+    drop_with_shuffles(roots)
+    # Most nodes have no links and are their own components: only the others are grouped once more.
+    alone, linked = rooted.where("root IS NULL AND lo.doc_id < hi").select("node", F.col("lo").alias("least")), rooted.where("root IS NOT NULL")
+    met = linked.groupBy("root").agg(F.min("lo").alias("least"), F.max("hi").alias("hi")).where("least.doc_id < hi").select("root", "least")
+    shared = cut(alone.unionByName(linked.join(met, "root").select("node", "least")))
+    drop_with_shuffles(rooted)
     again = places.join(shared, "node").select(
         "doc_id", "text_key", "first_word", (F.col("first_word") + F.col("n_words")).alias("end_word"), (F.col("least") == place).alias("kept"), F.col("least.doc_id").alias("from_id")
     )
-    # Spans of one text, from its paragraphs in order.
-    w = Window.partitionBy("doc_id", "text_key", "kept").orderBy("first_word", "end_word", "from_id")
-    reach = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("first_word") <= reach, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    spans = again.withColumn("island", island).groupBy("doc_id", "text_key", "kept", "island").agg(
-        F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.min("from_id").alias("from_id")
-    )
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = again.repartition(n, "doc_id", "text_key", "kept").sortWithinPartitions("doc_id", "text_key", "kept", "first_word", "end_word")
+    spans = dealt.mapInArrow(_merged, _SPAN)
     named = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
     long = spans.where(F.col("end_word") - F.col("first_word") >= least_words)
     return long.select(named("doc_id").alias("doc_id"), "text_key", "first_word", "end_word", "kept", named("from_id").alias("component_id"))

@@ -1,10 +1,12 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tessera.llm")
 from tessera.llm import substring_dedup as S
+from tessera.llm.words import unique
 
 
 def words(t):
@@ -105,3 +107,28 @@ def test_empty(spark):
 def test_bands_miss_few_pairs():
     missed = (1 - (S.PERCENT / 100) ** S.ROWS) ** S.BANDS
     assert missed <= (1 - (S.PERCENT / 100) ** 3) ** 24 < 1 / 500_000
+
+
+def test_merged_spans_do_not_depend_on_batches():
+    """Spans merge as by brute force, also where a text's paragraphs, or a span, lie in several batches."""
+    draw, names = np.random.default_rng(5), [x.split()[0] for x in S._SPAN.split(", ")]
+    rows = sorted((int(d), int(t), bool(k), int(a), int(a + n), int(f)) for d, t, k, a, n, f in zip(*(draw.integers(0, m, 400) for m in (4, 2, 2, 300, 9, 5)), strict=True))
+    want = []
+    for *text, a, b, f in rows:
+        if want and want[-1][:3] == text and a <= want[-1][4]:
+            want[-1][4:] = max(want[-1][4], b), min(want[-1][5], f)
+        else:
+            want.append([*text, a, b, f])
+    types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64())
+    for size in (1, 7, 400):
+        cut = [list(zip(*rows[at : at + size], strict=True)) for at in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names) for cols in cut]
+        got = [[*r.values()] for b in S._merged(iter(batches)) for r in b.to_pylist()]
+        assert got == want
+    assert list(S._merged(iter(()))) == []
+
+
+def test_unique_as_numpy():
+    for n in (0, 1, 1_000):
+        values = np.random.default_rng(n).integers(0, 500, n).astype(np.uint64)
+        assert np.array_equal(unique(values), np.unique(values)) and unique(values).dtype == np.uint64
