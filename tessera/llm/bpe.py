@@ -36,9 +36,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import in_parts, table
+from .shared import in_sizes, table
 
 LEAF = 16_384
+#: Bytes of texts encoded together.
+_PART = 1 << 20
 #: Words whose ids a worker keeps; the table is emptied when it is full.
 KEPT_WORDS = 400_000
 #: Tokens of a window's edge that must be tokens of that side.
@@ -72,27 +74,20 @@ class Coder:
         splits = [s for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"]
         self.pretokens = regex.compile(splits[0]["pattern"]["Regex"])
         self.bytes = _byte_symbols()
-        self.words: dict[str, tuple[bytes, bytes]] = {"": (b"", b"")}
+        self.spelt = pa.array([(self.tokens[i] + " ").encode("utf-8") if i in self.tokens else None for i in range(max(self.tokens, default=-1) + 1)], pa.large_binary())
+        self.words: dict[str, bytes] = {"": b""}
 
-    def known(self, words: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids (little-endian, 4 bytes each) and decoded text of every word, a space after each token.
-        A-Z are lowered and marks after a letter cut off first: both are encoded alike either way, and
+    def known(self, words: list[str]) -> list[bytes]:
+        """Ids (little-endian, 4 bytes each) of every word. A-Z are lowered and marks after a letter cut off first: both are encoded alike either way, and
         fewer words have to be known."""
         own = [self._core(w) for w in words]
         new = [w for w in {x for pair in own for x in pair} if w not in self.words]
         if len(self.words) + len(new) > KEPT_WORDS:
-            self.words = {"": (b"", b"")}
+            self.words = {"": b""}
             new = list({x for pair in own for x in pair})
         for w, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[w] = (pack(e.ids), "".join([self.tokens[i] + " " for i in e.ids]).encode("utf-8"))
-        out = []
-        for core, marks in own:
-            ids, text = self.words[core]
-            if marks:
-                more, after = self.words[marks]
-                ids, text = ids + more, text + after
-            out.append((ids, text))
-        return out
+            self.words[w] = pack(e.ids)
+        return [self.words[core] + self.words[marks] if marks else self.words[core] for core, marks in own]
 
     @staticmethod
     def _core(word: str) -> tuple[str, str]:
@@ -105,7 +100,7 @@ class Coder:
         return (core, word[len(core) :]) if core[-1:].lower()[-1:].isalpha() else (word, "")
 
     def ids_of(self, words: list[str]) -> bytes:
-        return b"".join([ids for ids, _ in self.known(words)])
+        return b"".join(self.known(words))
 
     def decode(self, ids) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
@@ -187,25 +182,28 @@ def coder(path: str) -> Coder:
 def _short(path: str, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         c = coder(path)
-        for batch in in_parts(batches, 2_000):
+        for batch in in_sizes(batches, "text", _PART):
             words = pc.split_pattern(pc.replace_substring_regex(batch.column("text"), r"[\t\n\r]", " "), " ")
             numbered = words.values.dictionary_encode()
-            known = c.known(numbered.dictionary.to_pylist())
-            ends = words.offsets.to_numpy()
-            ids = _gathered([ids for ids, _ in known], numbered.indices, ends)
-            decoded = _gathered([text for _, text in known], numbered.indices, ends)
-            yield _out(batch.column("doc_id"), ids, [x[:-1] for x in decoded], digest)
+            known = pa.array(c.known(numbered.dictionary.to_pylist()), pa.large_binary())
+            at, ids = _gathered(known, numbered.indices)
+            place, spelt = _gathered(c.spelt, pa.array(np.frombuffer(ids, "<u4", count=at[-1] // 4)))
+            ends = at[words.offsets.to_numpy()]  # of each text's ids
+            yield _out(batch.column("doc_id"), _slices(ids, ends), [x[:-1] for x in _slices(spelt, place[ends // 4])], digest)
 
     return run
 
 
-def _gathered(values: list[bytes], numbers: pa.Array, ends: np.ndarray) -> list[memoryview]:
-    """For each text its words' values, one after another."""
-    every = pa.array(values, pa.large_binary()).take(numbers)
-    _, offsets, data = every.buffers()
-    at = np.frombuffer(offsets, dtype=np.int64, count=len(numbers) + 1)[ends].tolist()
-    whole = memoryview(data) if data is not None else memoryview(b"")
-    return [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+def _gathered(values: pa.Array, numbers: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """The values of these numbers, one after another: where each starts and the last ends, and their bytes."""
+    if not len(numbers):
+        return np.zeros(1, np.int64), memoryview(b"")
+    _, offsets, data = values.take(numbers).buffers()
+    return np.frombuffer(offsets, dtype=np.int64, count=len(numbers) + 1), memoryview(data) if data is not None else memoryview(b"")
+
+
+def _slices(whole: memoryview, ends: np.ndarray) -> list[memoryview]:
+    return [whole[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def _out(rows, ids, decoded, digest: bool, first: str = "doc_id") -> pa.RecordBatch:

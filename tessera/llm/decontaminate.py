@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .minhash import list_array
-from .shared import build_bitmap, cut, in_parts, table
+from .shared import Bitmap, build_bitmap, cut, in_sizes, table
 from .words import MARKS, Words, mix
 
 #: 1: a place that counts, 0: one that is ignored.
@@ -37,12 +37,13 @@ MASKS = ("111111", "11011011", "101101101", "1110000111", "1110111", "101011011"
 COVERAGE = 0.5
 GAP = 3
 STRETCH = 6
-_PART = 500
+_PART = 1 << 20  # bytes of texts handled together, for memory
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
-def seeds(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, place of the first word in all words) of all masks at all words."""
+def seeds(words: Words, near: Bitmap | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, place of the first word in all words) of all masks at all words; with ``near``, those
+    that it may have. One mask's hashes are held at a time, and what is returned."""
     h, text = words.hash, words.text_of()
     out, at = [], []
     for number, mask in enumerate(MASKS):
@@ -53,9 +54,14 @@ def seeds(words: Words) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
             for k, place in enumerate(mask):
                 if place == "1":
-                    total = (total + h[k : k + n]) * _K
+                    total += h[k : k + n]
+                    total *= _K
         inside = np.flatnonzero(text[:n] == text[len(mask) - 1 :])
-        out.append(mix(total[inside]))
+        total = mix(total[inside])
+        if near is not None:
+            hit = near.has(total)
+            total, inside = total[hit], inside[hit]
+        out.append(total)
         at.append(inside)
     return (np.concatenate(out), np.concatenate(at)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
@@ -65,7 +71,7 @@ def _keys(words: Words) -> list[bytes]:
 
 
 def _item_seeds(batches):
-    for batch in batches:
+    for batch in in_sizes(batches, "text", _PART // 8):  # all seeds are returned
         words = Words(batch.column("text"), MARKS)
         keys = _keys(words)
         h, at = seeds(words)
@@ -77,7 +83,7 @@ def _item_seeds(batches):
 
 
 def _item_words(batches):
-    for batch in batches:
+    for batch in in_sizes(batches, "text", _PART):
         words = Words(batch.column("text"), MARKS)
         own = [words.hash[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(_keys(words), pa.binary()), pa.array(own, pa.binary())], names=["item_id", "item_key", "item_words"])
@@ -87,11 +93,9 @@ def _hits(near):
     """Documents with at least one hash that an item may have: their words and those hashes."""
 
     def run(batches):
-        for part in in_parts(batches, _PART):
+        for part in in_sizes(batches, "text", _PART):
             words = Words(part.column("text"), MARKS)
-            h, at = seeds(words)
-            hit = near.value.has(h)
-            h, at = h[hit], at[hit]
+            h, at = seeds(words, near.value)
             if not len(h):
                 continue
             order = np.argsort(at, kind="stable")

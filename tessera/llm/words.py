@@ -11,7 +11,7 @@ import pyarrow as pa
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BLOCK = 1 << 20  # bytes handled together
+_BLOCK = 1 << 17  # bytes hashed together
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

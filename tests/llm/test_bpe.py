@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tessera.llm")
@@ -93,3 +94,18 @@ def test_long_texts_of_the_table_are_joined(spark):
 
 def test_empty_table(spark):
     assert bpe.encode_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_short_texts_are_encoded_a_mebibyte_at_a_time(monkeypatch):
+    """2,000 texts of 4 KB, and a batch of empty ones."""
+    c, asked = bpe.coder(PATH), []
+    known = c.known
+    monkeypatch.setattr(c, "known", lambda words: (asked.append(sum(map(len, words))), known(words))[1])
+    texts = [" ".join(f"w{k}x{j}" for j in range(500)) for k in range(2000)]
+    for some in (texts, [""] * 3):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(some)), pa.int64()), pa.array(some)], names=["doc_id", "text"])
+        got = pa.Table.from_batches(bpe._short(PATH, True)([batch])).to_pylist()
+        assert [r["doc_id"] for r in got] == list(range(len(some)))
+        assert [tuple(r.values())[1:] for r in got[:3]] == [expected(t) for t in some[:3]]
+    assert max(asked) <= 1 << 20
+    assert all(isinstance(ids, bytes) for ids in c.words.values())
